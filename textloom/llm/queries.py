@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.common import table
+from textloom.llm.decontaminate import leaks
 from textloom.llm.sentences import dedup_sentences
 from textloom.llm.simhash import simhash_groups
 from textloom.llm.tokens import pack_tokens, token_counts
@@ -25,12 +26,16 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_sentences(docs).select("doc_id", "text", "removed_bytes", "removed_runs")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_packing, op3_simhash_near_dedup, op5_substring_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op2_token_packing, op3_simhash_near_dedup, op5_substring_dedup, op9_benchmark_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

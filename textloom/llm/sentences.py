@@ -9,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import unused
+from textloom.llm.common import quoted, unused
 from textloom.llm.words import Buffer, Words, buffer, range_hash, slices, words
-from textloom.storage import written
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -173,4 +172,4 @@ def dedup_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     out = both.withColumns({number: F.coalesce(F.size(F.when(F.col(spans).isNotNull(), F.col(spans))), F.lit(0)), text_col: F.struct(text.alias("old"), cut(text, F.col(spans), F.col(again)).alias("new"))})
     out = out.withColumns({removed: F.octet_length(f"{text_col}.old") - F.octet_length(f"{text_col}.new"), text_col: F.col(f"{text_col}.new")})
-    return out.select(*df.columns, *([removed, number] if report else []))
+    return out.select(*[quoted(c) for c in df.columns], *([removed, number] if report else []))
