@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from textloom.llm.common import table
 from textloom.llm.decontaminate import leaks
 from textloom.llm.langid import language_id
+from textloom.llm.ppm import lm_scores
 from textloom.llm.sentences import dedup_sentences
 from textloom.llm.simhash import simhash_groups
 from textloom.llm.tokens import pack_tokens, token_counts
@@ -31,6 +32,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_sentences(docs).select("doc_id", "text", "removed_bytes", "removed_runs")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,7 +45,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_packing, op3_simhash_near_dedup, op4_language_id, op5_substring_dedup, op9_benchmark_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op2_token_packing, op3_simhash_near_dedup, op4_language_id, op5_substring_dedup, op7_lm_scoring, op9_benchmark_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
