@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.llm.common import table
 from textloom.llm.decontaminate import leaks
@@ -13,6 +14,7 @@ from textloom.llm.ppm import lm_scores
 from textloom.llm.sentences import dedup_sentences
 from textloom.llm.simhash import simhash_groups
 from textloom.llm.tokens import pack_tokens, token_counts
+from textloom.llm.warc import reassembled, segmented
 
 
 def op2_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +34,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_sentences(docs).select("doc_id", "text", "removed_bytes", "removed_runs")
 
 
+def op6_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, written as segmented records with chunked bodies and put together again."""
+    out = reassembled(segmented(table(spark, sf_dir, "pages")))
+    page = F.regexp_extract("record_id", r"(\d+)$", 1).cast("bigint")
+    return out.select(page.alias("page_id"), "target_uri", "status", F.decode("body", "UTF-8").alias("html"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
@@ -45,8 +54,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_packing, op3_simhash_near_dedup, op4_language_id, op5_substring_dedup, op7_lm_scoring, op9_benchmark_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op2_token_packing, op3_simhash_near_dedup, op4_language_id, op5_substring_dedup, op6_warc_reassembly, op7_lm_scoring, op9_benchmark_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc_reassembly": "SELECT page_id, url AS target_uri, 'ok' AS status, html FROM pages WHERE html IS NOT NULL"}
