@@ -11,6 +11,7 @@ from textloom.llm.common import table
 from textloom.llm.decontaminate import leaks
 from textloom.llm.langid import language_id
 from textloom.llm.ppm import lm_scores
+from textloom.llm.retrieval_packing import retrieval_packed
 from textloom.llm.sentences import dedup_sentences
 from textloom.llm.simhash import simhash_groups
 from textloom.llm.tokens import pack_tokens, token_counts
@@ -45,6 +46,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval_packed(table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,7 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_packing, op3_simhash_near_dedup, op4_language_id, op5_substring_dedup, op6_warc_reassembly, op7_lm_scoring, op9_benchmark_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op2_token_packing, op3_simhash_near_dedup, op4_language_id, op5_substring_dedup, op6_warc_reassembly, op7_lm_scoring, op8_retrieval_packing, op9_benchmark_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
