@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import table
 from textloom.llm.decontaminate import leaks
 from textloom.llm.langid import language_id
+from textloom.llm.nndescent import near_duplicates
 from textloom.llm.ppm import lm_scores
 from textloom.llm.retrieval_packing import retrieval_packed
 from textloom.llm.sentences import dedup_sentences
@@ -18,6 +19,10 @@ from textloom.llm.tokens import pack_tokens, token_counts
 from textloom.llm.warc import reassembled, segmented
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings")).pairs
+
+
 def op2_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_packing, op3_simhash_near_dedup, op4_language_id, op5_substring_dedup, op6_warc_reassembly, op7_lm_scoring, op8_retrieval_packing, op9_benchmark_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_token_packing, op3_simhash_near_dedup, op4_language_id, op5_substring_dedup, op6_warc_reassembly, op7_lm_scoring, op8_retrieval_packing, op9_benchmark_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
