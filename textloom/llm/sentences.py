@@ -69,11 +69,12 @@ def sentence_bounds(text: Buffer, w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(text: Buffer, w: Words, sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text number, start byte, end byte in the batch) of the run that starts at each sentence.
+    """(hash, text number, start byte, end byte in the batch) of the runs that start and that end at each sentence.
 
     A run is the shortest one of at least the given numbers of sentences and
-    words; where the text ends before that, no run starts.  The hash is of the
-    sequence of words and of the sentence ends.
+    words from where it starts, or back from where it ends, so that a passage
+    is covered up to both its ends; where the text has less, there is none.
+    The hash is of the sequence of words and of the sentence ends.
     """
     cut, bounds = sentence_bounds(text, w)
     m = len(cut)
@@ -86,7 +87,11 @@ def runs(text: Buffer, w: Words, sentences: int, min_words: int) -> tuple[np.nda
     i = np.arange(m)
     to = np.maximum(i + sentences, np.searchsorted(first_word, first_word[:-1] + min_words))
     ok = to <= bounds[1:][of]
-    i, to = i[ok], to[ok]
+    end = np.arange(1, m + 1)
+    begin = np.minimum(end - sentences, np.searchsorted(first_word, first_word[1:] - min_words, "right") - 1)
+    back = begin >= bounds[:-1][of]
+    pair = np.unique(np.concatenate([i[ok] * (m + 1) + to[ok], begin[back] * (m + 1) + end[back]]))
+    i, to = pair // (m + 1), pair % (m + 1)
     stops = np.append(cut, len(text.data))
     return range_hash(h, i, to), of[i], cut[i], stops[to]
 
@@ -173,3 +178,18 @@ def dedup_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = both.withColumns({number: F.coalesce(F.size(F.when(F.col(spans).isNotNull(), F.col(spans))), F.lit(0)), text_col: F.struct(text.alias("old"), cut(text, F.col(spans), F.col(again)).alias("new"))})
     out = out.withColumns({removed: F.octet_length(f"{text_col}.old") - F.octet_length(f"{text_col}.new"), text_col: F.col(f"{text_col}.new")})
     return out.select(*[quoted(c) for c in df.columns], *([removed, number] if report else []))
+
+
+def shortened(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", sentences: int = 2, min_words: int = 15) -> DataFrame:
+    """dedup_sentences() in the columns of df, with length_col brought up to date if df has it.
+
+    A row whose text lost everything is dropped; rows without text stay.
+    """
+    (removed, _) = unused(df, "removed_bytes", "removed_runs")
+    out = dedup_sentences(df, id_col, text_col, sentences, min_words)
+    text = quoted(text_col)
+    out = out.where((F.coalesce(quoted(removed), F.lit(0)) == 0) | (F.length(F.trim(text)) > 0))
+    if length_col and length_col in df.columns:
+        kind = df.schema[length_col].dataType
+        out = out.withColumn(length_col, F.when(quoted(removed) > 0, F.length(text).cast(kind)).otherwise(quoted(length_col)))
+    return out.select(*[quoted(c) for c in df.columns])
