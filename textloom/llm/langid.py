@@ -213,7 +213,7 @@ def fit(
     fitted = [r for i, r in enumerate(seen) if i % 5 != 4]
     order = np.random.default_rng(0).permutation(len(fitted))
     w, bias = ftrl([fitted[i] for i in order], 1 << bits, max(1, len(classes)), epochs, alpha, beta, l1, l2)
-    scores = np.array([v @ w[s] + bias for s, v, _ in held]).reshape(len(held), -1)
+    scores = np.array([v @ w[s] + bias for s, v, _ in held]).reshape(len(held), max(1, len(classes)))
     label = np.array([c for _, _, c in held], np.int64)
     accuracy = float((scores.argmax(axis=1) == label).mean()) if len(held) else -1.0
     return Model(classes, (w * idf[:, None] * SCALE).astype(np.float32), bias.astype(np.float32), temperature(scores, label), bits, len(fitted), accuracy)

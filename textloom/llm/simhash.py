@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import components
+from textloom.llm.common import components, quoted, unused
 from textloom.llm.graph import connected_components
+from textloom.llm.sentences import row_key
 from textloom.llm.words import Buffer, lowered, mix, slices, words
 from textloom.storage import dropped, written
 
@@ -315,6 +316,7 @@ def simhash_groups(
     least_share: float = 0.7,
     shingle: int = 3,
     bucket: int = 1 << 18,
+    order_col: str | None = None,
 ) -> DataFrame:
     """(doc_id, text_hash, group_id, group_size, kept) of every row that has a copy.
 
@@ -331,14 +333,16 @@ def simhash_groups(
     of Jaccard similarity 0.8 in a sample), and send each code to p + 1 pairs of
     buckets instead of about p * p / 2, p being the bits of the prefix.
 
+    order_col, if given, orders the rows of a group instead of the id.
+
     Nulls: a row without text belongs to no group; a null doc_id takes part and
     is never kept while the group has another id.  Empty texts, and texts
     without words, are copies only of texts equal to them.  Repeated rows are
     copies of each other; one is kept.  Ties go to the lower id.  Empty table:
     no rows.  Other columns are ignored.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text")).where("text is not null")
+    place = df[order_col or id_col]
+    rows = df.select(F.struct(place.isNull().alias("last"), place.alias("place"), df[id_col].alias("id")).alias("id"), df[text_col].cast("string").alias("text")).where("text is not null")
     signed = written(_signed(rows, tables, shingle), "signed")
     # a distinct text's node is its hash: the same on every machine, and edges need no join to name it
     texts = signed.where("n_words > 0").dropDuplicates(["exact"]).withColumnRenamed("exact", "node")
@@ -348,6 +352,23 @@ def simhash_groups(
     every = signed.select("id", "exact").join(labels.withColumnRenamed("node", "exact"), "exact", "left")
     every = every.withColumn("component", F.coalesce("component", "exact"))
     group = Window.partitionBy("component")
-    order = Window.partitionBy("component").orderBy(F.col("id").asc_nulls_last(), "exact")
+    order = Window.partitionBy("component").orderBy("id", "exact")
     out = every.withColumn("group_id", F.min("id").over(group)).withColumn("group_size", F.count("*").over(group)).withColumn("kept", F.row_number().over(order) == 1)
-    return out.where("group_size > 1").select(F.col("id").cast(kind).alias("doc_id"), F.col("exact").alias("text_hash"), "group_id", "group_size", "kept")
+    return out.where("group_size > 1").select(F.col("id.id").alias("doc_id"), F.col("exact").alias("text_hash"), F.col("group_id.id").alias("group_id"), "group_size", "kept")
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """df with one row of each group of simhash_groups(), the one it names as kept; other rows stay as they are.
+
+    Of rows equal in id and text one stays.
+    """
+    key, copy, drop = unused(df, "row_key", "row_copy", "row_drop")
+    text = df[text_col].cast("string")
+    keyed = df.withColumn(key, row_key(df[id_col], text))
+    groups = simhash_groups(keyed.select(quoted(key).alias("id"), quoted(id_col).alias("order"), quoted(text_col).alias("text")), "id", "text", order_col="order", **options)
+    # the kept row's own repeats have its key: of them the first stays
+    lost = written(groups.groupBy("doc_id").agg(F.max(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).where("kept = 0 or n > 1"), "lost")
+    lost = lost.select(F.col("doc_id").alias(key), (F.col("kept") == 0).alias(drop))
+    both = keyed.join(lost, key, "left")
+    again = both.where(quoted(drop) == F.lit(False)).dropDuplicates([key])
+    return both.where(quoted(drop).isNull()).unionByName(again).select(*[quoted(c) for c in df.columns])
