@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import blobs
 from textloom.llm.words import Buffer, lowered, mix, slices, words
-from textloom.storage import written
+from textloom.storage import dropped, written
 
 PART = 1 << 14
 K1, B = 1.2, 0.75
@@ -79,15 +79,21 @@ def statistics(vectors: DataFrame, bits: int) -> tuple[np.ndarray, int, int]:
     return total, n, size
 
 
-def shard_keys(slots: np.ndarray, idf: np.ndarray) -> tuple[int, int]:
-    """Two terms drawn with weights idf squared, alike for like documents: documents in the order of these keys stand near their neighbours."""
+def shard_keys(slots: np.ndarray, ends: np.ndarray, idf: np.ndarray) -> list[np.ndarray]:
+    """Two terms of each document drawn with weights idf squared, alike for like documents: in the order of these keys documents stand near their neighbours.
+
+    Document i has slots[ends[i]:ends[i + 1]], at least one.
+    """
     out = []
+    weight = np.maximum(idf[slots].astype(np.float64), 1e-6) ** 2
     for k in (1, 2):
         h = mix(slots.astype(np.uint64) + np.uint64(k * 0x51ED270B7F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        u = ((h >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
-        best = int(np.argmin(-np.log(u) / np.maximum(idf[slots], 1e-6) ** 2))
-        out.append(int(mix(slots[best : best + 1].astype(np.uint64) + np.uint64(7))[0] >> np.uint64(1)))
-    return out[0], out[1]
+        draw = -np.log(((h >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53) / weight
+        least = np.repeat(np.minimum.reduceat(draw, ends[:-1]), np.diff(ends))
+        at = np.flatnonzero(draw == least)
+        first = at[np.searchsorted(at, ends[:-1])]
+        out.append((mix(slots[first].astype(np.uint64) + np.uint64(7)) >> np.uint64(1)).view(np.int64))
+    return out
 
 
 def score_matrix(ptr: np.ndarray, slot: np.ndarray, count: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float, dense_share: int = 32) -> np.ndarray:
@@ -180,8 +186,12 @@ def retrieval_packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = shared.value
         for batch in batches:
-            keys = [shard_keys(np.frombuffer(s, np.int32), idf) for s in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], [*batch.schema.names, "k1", "k2"])
+            if not batch.num_rows:
+                continue
+            lists = batch.column(2).to_pylist()
+            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in lists])])
+            keys = shard_keys(np.frombuffer(b"".join(lists), np.int32), ends, idf)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, keys)], [*batch.schema.names, "k1", "k2"])
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = shared.value
@@ -220,6 +230,8 @@ def retrieval_packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             number += m
 
     shards = max(1, -(-n // shard_docs))
-    placed = vectors.mapInArrow(keyed, f"id {kind}, n_words int, slots binary, counts binary, k1 bigint, k2 bigint")
+    # a table of its own: the range partitioning below reads the keys twice
+    placed = written(vectors.mapInArrow(keyed, f"id {kind}, n_words int, slots binary, counts binary, k1 bigint, k2 bigint"), "keyed")
+    dropped(vectors)
     placed = placed.repartitionByRange(shards, F.col("k1"), F.col("k2"), F.col("id"))
     return placed.mapInArrow(pack, f"shard int, window int, doc_ids array<{kind}>, starts array<int>, lengths array<int>, scores array<float>, n_words int")
