@@ -127,7 +127,7 @@ class Remote(Embedder):
 
 
 #: Providers whose clients can be registered; each is reached as provider://model.
-PROVIDERS = ("azure_openai", "catsu", "cloudflare", "cohere", "deepinfra", "gemini", "jina", "litellm", "mistral", "mixedbread", "model2vec", "nomic", "openai", "sentence-transformers", "together", "voyageai")
+PROVIDERS = ("azure_openai", "cloudflare", "cohere", "deepinfra", "gemini", "jina", "litellm", "mistral", "mixedbread", "model2vec", "nomic", "openai", "sentence-transformers", "together", "voyageai")
 _models: dict[str, Callable[[], Embedder]] = {"hashing": Hashing}
 _patterns: list[tuple[re.Pattern, Callable[[str], Embedder]]] = [(re.compile(r"hashing-(\d+)"), lambda name: Hashing(int(name.split("-")[1])))]
 _providers: dict[str, Callable[[str], Embedder]] = {}

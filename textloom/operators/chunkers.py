@@ -85,9 +85,9 @@ def chunk_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = F.filter(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda i: (i == 0) | (i + overlap < n))
     cut = parts.select("doc_id", "_w", F.posexplode(at).alias("pos", "_i"))
     text = F.array_join(F.slice("_w", F.col("_i") + 1, F.lit(chunk_size)), " ")
-    # between windows the joining space is lost: a window starts pos characters early
-    before = F.when(F.col("_i") == 0, 0).otherwise(F.length(F.array_join(F.slice("_w", F.lit(1), F.col("_i")), " ")))
-    start = before if overlap else before - F.greatest(F.col("pos") - 1, F.lit(0))
+    before = F.when(F.col("_i") == 0, 0).otherwise(F.length(F.array_join(F.slice("_w", F.lit(1), F.col("_i")), " ")) + 1)
+    # without overlap the space between windows is lost: each starts a character earlier than the one before
+    start = before if overlap else before - F.col("pos")
     out = cut.select("doc_id", "pos", text.alias("text"), start.alias("start_index"), F.least(F.lit(chunk_size), F.size("_w") - F.col("_i")).alias("token_count"))
     return out.select("doc_id", "pos", "text", "start_index", (F.col("start_index") + F.length("text")).alias("end_index"), "token_count")
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 TABLES = "array<struct<content:string,start_index:int,end_index:int>>"
 CODE = "array<struct<content:string,language:string,start_index:int,end_index:int>>"
@@ -12,10 +11,8 @@ IMAGES = "array<struct<alias:string,content:string,start_index:int,end_index:int
 PIECE = "pos int, text string, start_index int, end_index int, token_count int"
 CHUNK_COLUMNS = ["id", "doc_id", "pos", "text", "start_index", "end_index", "token_count", "context", "embedding", "metadata"]
 
-DOCUMENT = T.StructType.fromDDL("doc_id bigint, content string, metadata map<string,string>")
-CHUNK = T.StructType.fromDDL(
-    "id string, doc_id bigint, pos int, text string, start_index int, end_index int, token_count int, context string, embedding array<float>, metadata map<string,string>"
-)
+DOCUMENT = "doc_id bigint, content string, metadata map<string,string>"
+CHUNK = "id string, doc_id bigint, pos int, text string, start_index int, end_index int, token_count int, context string, embedding array<float>, metadata map<string,string>"
 
 _OID = "6ba7b8129dad11d180b400c04fd430c8"
 
