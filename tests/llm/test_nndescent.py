@@ -33,7 +33,7 @@ def test_edge_cases(spark):
     rows += [(8, [0.0, 0.0, 0.0], 0.5), (9, [1.0, 0.0], 0.5), (10, [float("nan"), 0.0, 1.0], 0.5), (11, [float("inf"), 0.0, 1.0], 0.5), (1, e[0], 0.5)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, similarity double")
     got = {(r["id_a"], r["id_b"]): round(r["similarity"], 3) for r in near_duplicates(df).pairs.collect()}
-    assert got == {(1, 2): 1.0, (1, 3): 1.0}
+    assert got == {(1, 2): 1.0, (1, 3): 1.0, (2, 3): 1.0}
     none = near_duplicates(df.limit(0))
     assert none.pairs.collect() == [] and none.recall == 1
     assert near_duplicates(df.where("vec_id = 4")).pairs.collect() == []

@@ -365,9 +365,9 @@ def near_duplicates(
 ) -> NearDuplicates:
     """Pairs of vectors with a cosine of at least threshold, and the audit's recall.
 
-    Vectors equal after normalisation are one node; its ids are linked to their
-    least one with similarity 1, and pairs between different nodes are stated
-    for the nodes' least ids.  Lists start from sign buckets and descend until
+    Vectors equal after normalisation are one node, so that copies don't fill
+    the lists; the pairs of nodes are stated for all their ids, and those of a
+    node with each other with similarity 1.  Lists start from sign buckets and descend until
     a round renews less than settled of all entries or max_rounds are done.
     While the audit finds less than least_recall of the true edges of its
     sample, bucket tables are added and the descent goes on, twice at most.
@@ -411,9 +411,11 @@ def near_duplicates(
         more += 1
         extra = bucket_lists(nodes, dim, bits, range(tables * more, tables * (more + 1)), k, parts)
         state = written(_merged(state.unionByName(extra), k, parts), "lists")
-    name = nodes.select("node", "id")
-    named = pairs.join(name.select(F.col("node").alias("a"), F.col("id").alias("ia")), "a").join(name.select(F.col("node").alias("b"), F.col("id").alias("ib")), "b")
-    named = named.where("ia <> ib").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "similarity")
-    same = rows.select("node", "id").distinct().join(name.select("node", F.col("id").alias("id_a")), "node").where("id <> id_a").select("id_a", F.col("id").alias("id_b"), F.lit(1.0).alias("similarity"))
+    ids = rows.select("node", "id").distinct()
+    ia, ib = ids.select(F.col("node").alias("a"), F.col("id").alias("ia")), ids.select(F.col("node").alias("b"), F.col("id").alias("ib"))
+    named = pairs.join(ia, "a").join(ib, "b").where("ia <> ib").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "similarity")
+    several = ids.groupBy("node").count().where("count > 1").select("node")
+    equal = ids.join(several, "node")
+    same = equal.withColumnRenamed("id", "id_a").join(equal.withColumnRenamed("id", "id_b"), "node").where("id_a < id_b").select("id_a", "id_b", F.lit(1.0).alias("similarity"))
     out = named.unionByName(same).groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
     return NearDuplicates(out, recall, true, rounds)
