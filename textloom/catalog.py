@@ -275,7 +275,7 @@ def _neighbours(score: str, order: str, where: str = "true") -> str:
 
 def _nearest(spark: SparkSession, sf_dir: str, metric: str, where: str | None = None) -> DataFrame:
     vectors = load(spark, sf_dir, "embeddings")
-    out = nearest(vectors.where(where) if where else vectors, vectors, 5, metric, "vec_id", query_id="vec_id").withColumnRenamed("vec_id", "query_id")
+    out = nearest(vectors.where(where) if where else vectors, vectors, 5, metric, "vec_id", query_id="vec_id")
     return out.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 

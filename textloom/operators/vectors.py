@@ -101,12 +101,12 @@ def nearest(
                     # all ties with the last place go on: the final ranking settles them by id
                     least = np.partition(-better * s, k - 1, axis=1)[:, k - 1 : k]
                     i, j = np.nonzero(-better * s <= least)
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(i + a)), picked.column(0).take(pa.array(j)), pa.array(s[i, j])], [query_id, "id", "score"])
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(i + a)), picked.column(0).take(pa.array(j)), pa.array(s[i, j])], ["query_id", "id", "score"])
 
-        return rows.mapInArrow(look, f"{query_id} {qkind}, id {kind}, score double")
+        return rows.mapInArrow(look, f"query_id {qkind}, id {kind}, score double")
 
     found = reduce(DataFrame.unionByName, [search(p) for p in range(parts)])
-    place = Window.partitionBy(query_id).orderBy(_ranked("score", metric), "id")
+    place = Window.partitionBy("query_id").orderBy(_ranked("score", metric), "id")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= limit)
 
 
@@ -218,8 +218,7 @@ def store(chunks: DataFrame, path: str, kind: str = "qdrant", model: Any = "hash
     from textloom.functions.embeddings import with_embeddings
 
     rows = chunk_ids(chunks, collection)
-    has = "embedding" in rows.columns and rows.schema["embedding"].dataType.typeName() == "array"
-    if not has or kind == "refresh":
+    if "embedding" not in rows.columns:
         rows = with_embeddings(rows, model)
     else:
         made = with_embeddings(rows.where("embedding is null"), model)

@@ -18,7 +18,7 @@ from textloom.sources import files
 
 KINDS = ("fetcher", "vision", "chef", "chunker", "refinery", "porter", "handshake")
 #: Options as users state them, and the parameters that they mean.
-NAMES = {"tokenizer": "tokenizer_", "delim": "delimiters", "include_delim": "include", "embedding_model": "embedding_model"}
+NAMES = {"tokenizer": "tokenizer_", "delim": "delimiters", "include_delim": "include"}
 
 
 class Component(NamedTuple):
@@ -122,6 +122,10 @@ def sql_function(spark: SparkSession, name: str, pieces: Callable) -> None:
     spark.udtf.register(name, udtf(Cut, returnType="pos int, text string, start_index int, end_index int, token_count int"))
 
 
+def _embeddings(chunks: DataFrame, embedding_model: Any = "hashing") -> DataFrame:
+    return with_embeddings(chunks, embedding_model)
+
+
 def _handshake(kind: str) -> Callable:
     def run(chunks: DataFrame, path: str, model: Any = "hashing", collection: str = "chunks") -> DataFrame:
         return vectors.store(chunks, path, kind, model, collection)
@@ -146,10 +150,9 @@ for _kind, _alias, _run in [
     ("chunker", "slumber", c.chunk_guided),
     ("chunker", "teraflopai", c.chunk_segments),
     ("refinery", "overlap", refine_overlap),
-    ("refinery", "embeddings", with_embeddings),
+    ("refinery", "embeddings", _embeddings),
     ("porter", "json", sinks.write_json),
     ("porter", "datasets", sinks.write_parquet),
     *[("handshake", k, _handshake(k)) for k in vectors.STORES],
 ]:
     register(_kind, _alias, _run)
-NAMES["embedding_model"] = "embedding_model"
