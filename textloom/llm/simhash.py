@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -71,49 +72,51 @@ def check_code(w: np.ndarray) -> np.ndarray:
     return np.packbits(total * 2 > len(u), bitorder="little").view(np.uint64)
 
 
-class Trie:
-    """Binary trie over sorted codes below a shared prefix, level by level.
+class Nodes(NamedTuple):
+    """A level of a trie: node i holds codes start[i]:end[i]; child[i, bit] is its child in the next level or -1."""
 
-    Node i of a level holds codes starts[i]:starts[i+1]; child[i, bit] is its
-    child in the next level or -1.
+    start: np.ndarray
+    end: np.ndarray
+    leaf: np.ndarray
+    child: np.ndarray
+
+
+def trie(codes: np.ndarray, depth: int, leaf: int) -> list[Nodes]:
+    """Binary trie over sorted codes below a shared prefix of depth bits, level by level.
+
+    A node of few codes, or of equal ones, is a leaf and has no nodes below,
+    so that the trie has fewer nodes than there are codes.
     """
+    out: list[Nodes] = []
+    start, end = np.zeros(1, np.int64), np.full(1, len(codes))
+    for d in range(depth, 65):
+        ends = (end - start <= leaf) | (codes[start] == codes[end - 1])
+        child = np.full((len(start), 2), -1, np.int32)
+        out.append(Nodes(start, end, ends, child))
+        if ends.all():
+            break
+        a, z = start[~ends], end[~ends]
+        ones = np.concatenate([[0], np.cumsum((codes >> np.uint64(63 - d)) & ONE, dtype=np.int64)])
+        middle = z - (ones[z] - ones[a])
+        low, high = np.stack([a, middle], axis=1).ravel(), np.stack([middle, z], axis=1).ravel()
+        there = high > low
+        child[~ends] = np.where(there, np.cumsum(there) - 1, -1).reshape(-1, 2)
+        start, end = low[there], high[there]
+    return out
+
 
-    def __init__(self, codes: np.ndarray, depth: int):
-        self.starts: list[np.ndarray] = []
-        self.children: list[np.ndarray] = []
-        starts = np.array([0, len(codes)], np.int64)
-        self.depth = depth
-        for d in range(depth, 64):
-            bit = (codes >> np.uint64(63 - d)) & ONE
-            ones = np.concatenate([[0], np.cumsum(bit, dtype=np.int64)])
-            zeros = np.diff(starts) - (ones[starts[1:]] - ones[starts[:-1]])
-            size = np.stack([zeros, np.diff(starts) - zeros], axis=1).ravel()
-            there = size > 0
-            child = np.where(there, np.cumsum(there) - 1, -1).reshape(-1, 2)
-            self.starts.append(starts)
-            self.children.append(child.astype(np.int32))
-            if (np.diff(starts) <= 1).all() and d > depth + 1:
-                break  # below, every node has one child: nothing left to split
-            starts = np.concatenate([[0], np.cumsum(size[there])])
-        self.starts.append(starts)
-
-    def sizes(self, level: int, node: np.ndarray) -> np.ndarray:
-        s = self.starts[level]
-        return s[node + 1] - s[node]
-
-
-def trie_join(a: np.ndarray, b: np.ndarray | None, depth: int, used: int, budget: int, leaf: int = 16, chunk: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_join(a: np.ndarray, b: np.ndarray | None, depth: int, used: int, budget: int, leaf: int = 4, chunk: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of sorted codes a and b (of a with itself if b is None) within budget differing bits.
 
     Both tries are walked together from depth, where used bits already differ.
     A pair of nodes goes to its child pairs, one more error where the bits
-    differ, and is given up as soon as the errors exceed the budget.  Where few
-    codes are left under a pair, they are compared.  The frontier is worked off
-    in chunks, deepest first, so memory stays bounded.
+    differ, and is given up as soon as the errors exceed the budget.  Where one
+    node of a pair is a leaf, their codes are compared.  The frontier is worked
+    off in chunks, deepest first, so memory stays bounded.
     """
     own = b is None
-    ta = Trie(a, depth)
-    tb = ta if own else Trie(b, depth)
+    ta = trie(a, depth, leaf)
+    tb = ta if own else trie(b, depth, leaf)
     other = a if own else b
     stack = [(0, np.zeros(1, np.int32), np.zeros(1, np.int32), np.full(1, used, np.int8))]
     while stack:
@@ -121,17 +124,20 @@ def trie_join(a: np.ndarray, b: np.ndarray | None, depth: int, used: int, budget
         if len(x) > chunk:
             stack += [(level, x[i : i + chunk], y[i : i + chunk], err[i : i + chunk]) for i in range(0, len(x), chunk)]
             continue
-        sx, sy = ta.sizes(level, x), tb.sizes(level, y)
-        done = sx * sy <= leaf
-        if level >= min(len(ta.starts), len(tb.starts)) - 1:
-            done[:] = True
+        na, nb = ta[level], tb[level]
+        done = na.leaf[x] | nb.leaf[y]
         if done.any():
-            yield from _leaves(a, other, ta.starts[level][x[done]], sx[done], tb.starts[level][y[done]], sy[done], own & (x[done] == y[done]), budget)
+            p, q = x[done], y[done]
+            # of nodes of equal codes, one pair decides for all
+            sure = (a[na.start[p]] == a[na.end[p] - 1]) & (other[nb.start[q]] == other[nb.end[q] - 1])
+            keep = ~sure | (np.bitwise_count(a[na.start[p]] ^ other[nb.start[q]]) <= budget)
+            p, q = p[keep], q[keep]
+            yield from _leaves(a, other, na.start[p], na.end[p] - na.start[p], nb.start[q], nb.end[q] - nb.start[q], own & (p == q), budget)
         go = ~done
         if not go.any():
             continue
         x, y, err = x[go], y[go], err[go]
-        cx, cy = ta.children[level][x], tb.children[level][y]
+        cx, cy = na.child[x], nb.child[y]
         nx, ny, ne = [], [], []
         for i, j in itertools.product((0, 1), (0, 1)):
             e = err + np.int8(i != j)
