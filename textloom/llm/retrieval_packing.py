@@ -116,18 +116,19 @@ def score_matrix(ptr: np.ndarray, slot: np.ndarray, count: np.ndarray, length: n
     is_dense = np.repeat(dense, size)
     k = int(dense.sum())
     scores = np.zeros((n, n), np.float32)
-    for a in range(0, k, 2048):
-        pick = is_dense & (number >= a) & (number < a + 2048)
-        q, d = np.zeros((n, min(2048, k - a)), np.float32), np.zeros((n, min(2048, k - a)), np.float32)
+    for a in range(0, k, 1024):
+        pick = is_dense & (number >= a) & (number < a + 1024)
+        q, d = np.zeros((n, min(1024, k - a)), np.float32), np.zeros((n, min(1024, k - a)), np.float32)
         q[doc[pick], number[pick] - a] = 1
         d[doc[pick], number[pick] - a] = impact[pick]
-        scores += q @ d.T
+        for i in range(0, n, 512):
+            scores[i : i + 512] += q[i : i + 512] @ d.T
     flat = scores.reshape(-1)
     rare = np.flatnonzero(~dense & (size > 1))
     total = np.cumsum(size[rare].astype(np.int64) ** 2)
     at = 0
     while at < len(rare):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 21), "right")))
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 19), "right")))
         s, f = size[rare[at:to]], first[rare[at:to]]
         reps = np.repeat(np.arange(to - at), s * s)
         r = np.arange(len(reps)) - np.repeat(np.cumsum(s * s) - s * s, s * s)
