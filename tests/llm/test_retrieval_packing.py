@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from textloom.llm.retrieval_packing import retrieval_packed, score_matrix, windows
+from textloom.llm.retrieval_packing import Shard, retrieval_packed, windows
 
 
 def brute_scores(docs, idf, mean):
@@ -44,10 +44,11 @@ def test_shard_against_brute_force(seed, share):
         ptr.append(len(slot))
     idf = np.random.default_rng(seed).random(64).astype(np.float32) + 0.1
     length = np.array([len(d) for d in docs])
-    got = score_matrix(np.array(ptr), np.array(slot, np.int32), np.array(count, np.float32), length, idf, length.mean(), share)
+    shard_ = Shard(np.array(ptr), np.array(slot, np.int32), np.array(count, np.float32), length, idf, length.mean(), share)
+    got = np.concatenate([shard_.rows(a, min(a + 7, len(docs))) for a in range(0, len(docs), 7)])
     others = ~np.eye(len(docs), dtype=bool)  # a document is never its own neighbour
     assert np.allclose(got[others], brute_scores(docs, idf, length.mean())[others], rtol=1e-4)
-    found = windows(got, length, 40)
+    found = windows(shard_, length, 40, 9)
     assert [[d for d, _ in row] for row in found] == brute_windows(got, length, 40)
 
 

@@ -96,58 +96,77 @@ def shard_keys(slots: np.ndarray, ends: np.ndarray, idf: np.ndarray) -> list[np.
     return out
 
 
-def score_matrix(ptr: np.ndarray, slot: np.ndarray, count: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float, dense_share: int = 32) -> np.ndarray:
-    """BM25 of every document (column) for every document as a query (row): all distinct terms of the row's document.
+class Shard:
+    """The inverted index of a shard, which scores its documents for each other by BM25, some rows at a time.
 
-    The shard's inverted index: terms in at least one in dense_share of its
-    documents are columns of a matrix product, the lists of the others are
-    joined with themselves. The diagonal lacks terms that no other document has.
+    Document i has the distinct terms slot[ptr[i]:ptr[i + 1]], each count times.
+    Terms in at least one in dense_share of the documents are columns of a
+    matrix product, the lists of the others are looked up entry by entry.
     """
-    n = len(ptr) - 1
-    doc = np.repeat(np.arange(n), np.diff(ptr))
-    norm = K1 * (1 - B + B * length / max(mean, 1e-9))
-    impact = (idf[slot] * count * (K1 + 1) / (count + norm[doc])).astype(np.float32)
-    order = np.argsort(slot, kind="stable")
-    term, doc, impact = slot[order], doc[order], impact[order]
-    first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(term)))
-    dense = size * dense_share > n
-    number = np.repeat(np.cumsum(dense) - 1, size)
-    is_dense = np.repeat(dense, size)
-    k = int(dense.sum())
-    scores = np.zeros((n, n), np.float32)
-    for a in range(0, k, 1024):
-        pick = is_dense & (number >= a) & (number < a + 1024)
-        q, d = np.zeros((n, min(1024, k - a)), np.float32), np.zeros((n, min(1024, k - a)), np.float32)
-        q[doc[pick], number[pick] - a] = 1
-        d[doc[pick], number[pick] - a] = impact[pick]
-        for i in range(0, n, 512):
-            scores[i : i + 512] += q[i : i + 512] @ d.T
-    flat = scores.reshape(-1)
-    rare = np.flatnonzero(~dense & (size > 1))
-    total = np.cumsum(size[rare].astype(np.int64) ** 2)
-    at = 0
-    while at < len(rare):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 19), "right")))
-        s, f = size[rare[at:to]], first[rare[at:to]]
-        reps = np.repeat(np.arange(to - at), s * s)
-        r = np.arange(len(reps)) - np.repeat(np.cumsum(s * s) - s * s, s * s)
-        i, j = f[reps] + r // s[reps], f[reps] + r % s[reps]
-        np.add.at(flat, doc[i] * n + doc[j], impact[j])
-        at = to
-    return scores
-
-
-def windows(scores: np.ndarray, length: np.ndarray, width: int) -> list[list[tuple[int, float]]]:
+
+    def __init__(self, ptr: np.ndarray, slot: np.ndarray, count: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float, dense_share: int = 32):
+        self.n = n = len(ptr) - 1
+        doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(ptr))
+        norm = K1 * (1 - B + B * length / max(mean, 1e-9))
+        impact = (idf[slot] * count * (K1 + 1) / (count + norm[doc])).astype(np.float32)
+        order = np.argsort(slot, kind="stable")
+        term, doc, impact = slot[order], doc[order], impact[order]
+        first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(term)))
+        dense = size * dense_share > n
+        self.columns = int(dense.sum())
+        often = np.repeat(dense, size)
+        self.column = np.repeat((np.cumsum(dense) - 1).astype(np.int32), size)[often]
+        self.column_doc, self.column_impact = doc[often], impact[often]
+        # entries of the other terms, but of those that no other document has
+        rare = np.repeat(~dense & (size > 1), size)
+        own = np.where(~dense & (size > 1), size, 0)
+        begin = np.cumsum(own) - own
+        self.doc, self.impact = doc[rare], impact[rare]
+        self.first, self.size = np.repeat(begin, size)[rare].astype(np.int32), np.repeat(own, size)[rare].astype(np.int32)
+
+    def rows(self, a: int, z: int) -> np.ndarray:
+        """Scores of all documents (columns) for documents a to z as queries; a document's own score lacks terms that it alone has."""
+        out = np.zeros((z - a, self.n), np.float32)
+        for c in range(0, self.columns, 1024):
+            width = min(1024, self.columns - c)
+            pick = (self.column >= c) & (self.column < c + width)
+            at, doc = self.column[pick] - c, self.column_doc[pick]
+            d = np.zeros((self.n, width), np.float32)
+            d[doc, at] = self.column_impact[pick]
+            q = np.zeros((z - a, width), np.float32)
+            mine = (doc >= a) & (doc < z)
+            q[doc[mine] - a, at[mine]] = 1
+            out += q @ d.T
+        flat = out.reshape(-1)
+        entry = np.flatnonzero((self.doc >= a) & (self.doc < z))
+        total = np.cumsum(self.size[entry], dtype=np.int64)
+        at = 0
+        while at < len(entry):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 19), "right")))
+            e = entry[at:to]
+            size = self.size[e]
+            r = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            j = np.repeat(self.first[e], size) + r
+            np.add.at(flat, np.repeat((self.doc[e] - a).astype(np.int64) * self.n, size) + self.doc[j], self.impact[j])
+            at = to
+        return out
+
+
+def windows(shard: Shard, length: np.ndarray, width: int, block: int = 512) -> list[list[tuple[int, float]]]:
     """Windows of (document, score for the seed): each unused document in order seeds one, then the best unused that fit follow."""
     unused = length > 0
     out = []
+    scores, low = None, 0
     for seed in range(len(length)):
         if not unused[seed]:
             continue
         unused[seed] = False
         row, left = [(seed, 0.0)], width - int(length[seed])
-        own = scores[seed]
+        if left > 0 and (scores is None or seed >= low + len(scores)):
+            low = seed
+            scores = shard.rows(low, min(low + block, len(length)))
+        own = scores[seed - low] if left > 0 else None
         while left > 0:
             fits = unused & (length <= left)
             best = int(np.argmax(np.where(fits, own, -1.0)))
@@ -212,9 +231,9 @@ def retrieval_packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             counts = np.frombuffer(b"".join(own.column("counts").to_pylist()), np.uint16).astype(np.float32)
             length = own.column("n_words").to_numpy().astype(np.int64)
             ptr = np.concatenate([[0], np.cumsum([len(x) for x in slots])])
-            scores = score_matrix(ptr, np.concatenate(slots), counts, length, idf, mean)
+            shard = Shard(ptr, np.concatenate(slots), counts, length, idf, mean)
             full = length // width
-            found = windows(scores, length - full * width, width)
+            found = windows(shard, length - full * width, width)
             pieces = [[(d, k * width, width, 0.0)] for d in np.flatnonzero(full).tolist() for k in range(int(full[d]))]
             pieces += [[(d, int(full[d]) * width, int(length[d] - full[d] * width), s) for d, s in row] for row in found]
             ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int32))
