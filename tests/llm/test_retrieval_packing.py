@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from textloom.llm.retrieval_packing import Shard, retrieval_packed, windows
+from textloom.llm.retrieval_packing import Shard, neighbours, ordered, retrieval_packed, shards_of, statistics, term_vectors, terms_of, windows
 
 
 def brute_scores(docs, idf, mean):
@@ -77,3 +77,40 @@ def test_packing(spark):
     assert sum(a == b for a, b in zip(same, firsts, strict=True)) > 0.9 * len(firsts)  # rounding may turn near ties
     many = retrieval_packed(df, width=100, shard_docs=16)
     assert Counter((d, s + k) for r in many.collect() for d, s, m in zip(r["doc_ids"], r["starts"], r["lengths"], strict=True) for k in range(m)) == want
+
+
+def test_neighbours_come_from_all_shards(spark):
+    # two documents share their six rare words and stand far apart in every order
+    rng = random.Random(7)
+    texts = {i: " ".join([*(f"{a}{i % 150}" for a in "abcdef"), *(f"w{rng.randint(0, 60)}" for _ in range(14))]) for i in range(300)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    for options in ({"shard_docs": 16}, {"shard_docs": 16, "list_docs": 4, "round_seeds": 20, "last_docs": 10}):
+        rows = retrieval_packed(df, width=40, **options).collect()
+        assert sorted(d for r in rows for d in r["doc_ids"]) == sorted(texts)
+        assert all(r["n_words"] == 40 for r in rows)
+        assert sum(abs(a - b) == 150 for a, b in (r["doc_ids"] for r in rows)) == 150
+
+
+def test_lists_against_all_documents(spark):
+    rng = random.Random(11)
+    docs = [[f"w{rng.randint(0, rng.choice([20, 300]))}" for _ in range(rng.randint(5, 40))] for _ in range(200)]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id bigint, text string")
+    vectors = term_vectors(df, "doc_id", "text", 20)
+    frequency, n, size = statistics(vectors, 20)
+    idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
+    placed, length = ordered(vectors, 3)
+    assert length.tolist() == [len(d) for d in docs]
+    terms = terms_of(placed, np.arange(200))
+    asked = np.arange(0, 200, 3)
+    room = np.array([15 if i % 2 else 100 for i in asked])
+    unused = np.arange(200) % 5 != 1
+    ptr = np.concatenate([[0], np.cumsum([len(terms[i]) for i in asked])])
+    shards = shards_of(placed, 1000, 9)
+    assert shards.count() > 20
+    got = neighbours(shards, (asked, room, ptr, np.concatenate([terms[i] for i in asked])), unused, spark.sparkContext.broadcast(idf), size / n, 10, block=16)
+    count = Counter(w for d in docs for w in set(d))
+    scores = brute_scores(docs, {w: math.log1p((n - c + 0.5) / (c + 0.5)) for w, c in count.items()}, size / n)
+    for i, r, (places, found) in zip(asked, room, got, strict=True):
+        left = [j for j in range(200) if j != i and unused[j] and len(docs[j]) <= r and scores[i, j] > 0]
+        assert set(places.tolist()) <= set(left)
+        assert np.allclose(found, sorted(scores[i, left], reverse=True)[:10], rtol=1e-4)

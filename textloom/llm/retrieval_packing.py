@@ -1,8 +1,9 @@
 """Packing of documents with their nearest neighbours under BM25.
 
-An inverted index is kept in shards of lexically close documents.  In each
-shard every unused document in turn is the seed of a window, which is filled
-with the unused documents that the index scores highest for it.
+An inverted index is kept in shards.  Unused documents in turn are the seeds
+of windows.  Every seed queries all shards, their lists are merged, and its
+window is filled with the unused documents of all the table that score highest
+for it; when its list is used up it queries all shards again for those left.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import blobs
-from textloom.llm.words import Buffer, lowered, mix, slices, words
+from textloom.llm.words import Buffer, lowered, slices, words
 from textloom.storage import dropped, written
 
 PART = 1 << 14
@@ -79,82 +80,77 @@ def statistics(vectors: DataFrame, bits: int) -> tuple[np.ndarray, int, int]:
     return total, n, size
 
 
-def shard_keys(slots: np.ndarray, ends: np.ndarray, idf: np.ndarray) -> list[np.ndarray]:
-    """Two terms of each document drawn with weights idf squared, alike for like documents: in the order of these keys documents stand near their neighbours.
-
-    Document i has slots[ends[i]:ends[i + 1]], at least one.
-    """
-    out = []
-    weight = np.maximum(idf[slots].astype(np.float64), 1e-6) ** 2
-    for k in (1, 2):
-        h = mix(slots.astype(np.uint64) + np.uint64(k * 0x51ED270B7F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        draw = -np.log(((h >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53) / weight
-        least = np.repeat(np.minimum.reduceat(draw, ends[:-1]), np.diff(ends))
-        at = np.flatnonzero(draw == least)
-        first = at[np.searchsorted(at, ends[:-1])]
-        out.append((mix(slots[first].astype(np.uint64) + np.uint64(7)) >> np.uint64(1)).view(np.int64))
-    return out
-
-
 class Shard:
-    """The inverted index of a shard, which scores its documents for each other by BM25, some rows at a time.
+    """The inverted index of a shard, which scores its documents by BM25 for given queries.
 
     Document i has the distinct terms slot[ptr[i]:ptr[i + 1]], each count times.
-    Terms in at least one in dense_share of the documents are columns of a
-    matrix product, the lists of the others are looked up entry by entry.
+    A term that is in more than one in dense_share**2 of the pairs of a query
+    and a document is a column of a matrix product; the lists of the others are
+    looked up entry by entry.
     """
 
     def __init__(self, ptr: np.ndarray, slot: np.ndarray, count: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float, dense_share: int = 32):
-        self.n = n = len(ptr) - 1
-        doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(ptr))
+        self.n, self.ptr, self.slot, self.share = len(ptr) - 1, ptr, slot, dense_share**2
+        doc = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(ptr))
         norm = K1 * (1 - B + B * length / max(mean, 1e-9))
         impact = (idf[slot] * count * (K1 + 1) / (count + norm[doc])).astype(np.float32)
         order = np.argsort(slot, kind="stable")
-        term, doc, impact = slot[order], doc[order], impact[order]
-        first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, len(term)))
-        dense = size * dense_share > n
-        self.columns = int(dense.sum())
-        often = np.repeat(dense, size)
-        self.column = np.repeat((np.cumsum(dense) - 1).astype(np.int32), size)[often]
-        self.column_doc, self.column_impact = doc[often], impact[often]
-        # entries of the other terms, but of those that no other document has
-        rare = np.repeat(~dense & (size > 1), size)
-        own = np.where(~dense & (size > 1), size, 0)
-        begin = np.cumsum(own) - own
-        self.doc, self.impact = doc[rare], impact[rare]
-        self.first, self.size = np.repeat(begin, size)[rare].astype(np.int32), np.repeat(own, size)[rare].astype(np.int32)
+        self.term, self.doc, self.impact = slot[order], doc[order], impact[order]
 
     def rows(self, a: int, z: int) -> np.ndarray:
-        """Scores of all documents (columns) for documents a to z as queries; a document's own score lacks terms that it alone has."""
-        out = np.zeros((z - a, self.n), np.float32)
-        for c in range(0, self.columns, 1024):
-            width = min(1024, self.columns - c)
-            pick = (self.column >= c) & (self.column < c + width)
-            at, doc = self.column[pick] - c, self.column_doc[pick]
-            d = np.zeros((self.n, width), np.float32)
-            d[doc, at] = self.column_impact[pick]
-            q = np.zeros((z - a, width), np.float32)
-            mine = (doc >= a) & (doc < z)
-            q[doc[mine] - a, at[mine]] = 1
+        """Scores of all documents (columns) for documents a to z as queries."""
+        return self.scores(self.ptr[a : z + 1] - self.ptr[a], self.slot[self.ptr[a] : self.ptr[z]])
+
+    def scores(self, ptr: np.ndarray, slot: np.ndarray, docs: int | None = None) -> np.ndarray:
+        """Scores of the first docs documents, or all (columns), for queries of distinct terms slot[ptr[i]:ptr[i + 1]]."""
+        n, m = self.n if docs is None else docs, len(ptr) - 1
+        out = np.zeros((m, n), np.float32)
+        order = np.argsort(slot, kind="stable")
+        asked, query = slot[order], np.repeat(np.arange(m, dtype=np.int32), np.diff(ptr))[order]
+        inside = slice(None) if n == self.n else self.doc < n
+        term, doc, impact = self.term[inside], self.doc[inside], self.impact[inside]
+        shared = np.intersect1d(asked, term)
+        q0, q1 = np.searchsorted(asked, shared), np.searchsorted(asked, shared, "right")
+        d0, d1 = np.searchsorted(term, shared), np.searchsorted(term, shared, "right")
+        dense = (q1 - q0) * (d1 - d0) * self.share > n * m
+        columns = np.flatnonzero(dense)
+        for c in range(0, len(columns), 1024):
+            of = columns[c : c + 1024]
+            (qe, qc), (de, dc) = _spans(q0[of], q1[of]), _spans(d0[of], d1[of])
+            q, d = np.zeros((m, len(of)), np.float32), np.zeros((n, len(of)), np.float32)
+            q[query[qe], qc] = 1
+            d[doc[de], dc] = impact[de]
             out += q @ d.T
         flat = out.reshape(-1)
-        entry = np.flatnonzero((self.doc >= a) & (self.doc < z))
-        total = np.cumsum(self.size[entry], dtype=np.int64)
-        at = 0
-        while at < len(entry):
-            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 19), "right")))
-            e = entry[at:to]
-            size = self.size[e]
-            r = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            j = np.repeat(self.first[e], size) + r
-            np.add.at(flat, np.repeat((self.doc[e] - a).astype(np.int64) * self.n, size) + self.doc[j], self.impact[j])
-            at = to
+        rare = np.flatnonzero(~dense)
+        entry, of = _spans(q0[rare], q1[rare])
+        first, size = d0[rare][of], (d1 - d0)[rare][of]
+        for a, z in slices(len(entry), size, 1 << 19):
+            e, k = _spans(first[a:z], first[a:z] + size[a:z])
+            np.add.at(flat, query[entry[a:z]][k].astype(np.int64) * n + doc[e], impact[e])
         return out
 
 
+def _spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges first[i]:last[i], one after the other, and the i of each."""
+    size = last - first
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size), np.repeat(np.arange(len(size)), size)
+
+
+def best(query: np.ndarray, place: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most best entries of each query, best first; ties go to the lower place."""
+    order = np.lexsort((place, -score, query))
+    query, place, score = query[order], place[order], score[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
+    keep = rank < most
+    return query[keep], place[keep], score[keep]
+
+
 def windows(shard: Shard, length: np.ndarray, width: int, block: int = 512) -> list[list[tuple[int, float]]]:
-    """Windows of (document, score for the seed): each unused document in order seeds one, then the best unused that fit follow."""
+    """Windows of (document, score for the seed) of one shard alone: each unused document in order seeds one, then the best unused that fit follow.
+
+    retrieval_packed() fills the same windows where one list holds all documents.
+    """
     unused = length > 0
     out = []
     scores, low = None, 0
@@ -169,17 +165,212 @@ def windows(shard: Shard, length: np.ndarray, width: int, block: int = 512) -> l
         own = scores[seed - low] if left > 0 else None
         while left > 0:
             fits = unused & (length <= left)
-            best = int(np.argmax(np.where(fits, own, -1.0)))
-            if not fits[best]:
+            top = int(np.argmax(np.where(fits, own, -1.0)))
+            if not fits[top]:
                 break
-            unused[best] = False
-            row.append((best, float(own[best])))
-            left -= int(length[best])
+            unused[top] = False
+            row.append((top, float(own[top])))
+            left -= int(length[top])
         out.append(row)
     return out
 
 
-def retrieval_packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2048, bits: int = 20, shard_docs: int = 4096) -> DataFrame:
+class Filling:
+    """The windows, while they are filled. Documents are known by their places in the order of ids.
+
+    window[i] is the seed of the window that holds document i, -1 before; rank
+    and score are those in it. open: the room left in windows that may take more.
+    """
+
+    STEP = 1024
+
+    def __init__(self, length: np.ndarray, width: int):
+        n = len(length)
+        self.length, self.width = length, width
+        self.unused = length > 0
+        self.window, self.rank, self.score = np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n, np.float32)
+        self.taken: dict[int, int] = {}
+        self.open: dict[int, int] = {}
+        padded = np.full(-(-max(n, 1) // self.STEP) * self.STEP, np.iinfo(np.int32).max, np.int64)
+        padded[:n][self.unused] = length[self.unused]
+        self.free = padded.reshape(-1, self.STEP)  # lengths of unused documents
+        self.least = self.free.min(axis=1)
+
+    def put(self, doc: int, seed: int, score: float) -> None:
+        k = self.taken.get(seed, 0)
+        self.taken[seed] = k + 1
+        self.window[doc], self.rank[doc], self.score[doc], self.unused[doc] = seed, k, score, False
+        i, j = divmod(doc, self.STEP)
+        self.free[i, j] = np.iinfo(np.int32).max
+        self.least[i] = self.free[i].min()
+
+    def fill(self, seed: int, places: np.ndarray, scores: np.ndarray, whole: bool) -> None:
+        """Fill the window of seed from its list; whole: no other unused document that fits has a score.
+
+        A seed whose cut list is used up before it began waits for a new list.
+        """
+        if seed not in self.open:
+            if not self.unused[seed]:
+                return
+            if not whole and not self.unused[places].any():
+                return
+            self.put(seed, seed, 0.0)
+            self.open[seed] = self.width - int(self.length[seed])
+        left = self.open[seed]
+        for doc, score in zip(places.tolist(), scores.tolist(), strict=True):
+            if left and self.unused[doc] and self.length[doc] <= left:
+                self.put(doc, seed, score)
+                left -= int(self.length[doc])
+        while whole and left and self.least.min() <= left:
+            i = int(np.argmax(self.least <= left))
+            doc = i * self.STEP + int(np.argmax(self.free[i] <= left))
+            self.put(doc, seed, 0.0)
+            left -= int(self.length[doc])
+        self.open[seed] = left
+        if whole or not left or self.least.min() > left:
+            del self.open[seed], self.taken[seed]
+
+    def close(self) -> None:
+        """Close the windows that no unused document fits in."""
+        least = self.least.min()
+        for seed in [s for s, left in self.open.items() if left < least]:
+            del self.open[seed], self.taken[seed]
+
+
+def ordered(vectors: DataFrame, parts: int) -> tuple[DataFrame, np.ndarray]:
+    """vectors with the place of each row in the order of ids, nulls last, and n_words by place; repeated ids in the order of a hash of their terms."""
+
+    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, at = TaskContext.get(), 0
+        for batch in batches:
+            part = np.full(batch.num_rows, context.partitionId() if context else 0, np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part), pa.array(np.arange(at, at + batch.num_rows))], [*batch.schema.names, "part", "row"])
+            at += batch.num_rows
+
+    keys = [F.col("id").asc_nulls_last(), F.xxhash64("slots", "counts", "n_words")]
+    schema = f"id {vectors.schema['id'].dataType.simpleString()}, n_words int, slots binary, counts binary, part int, row bigint"
+    rows = written(vectors.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(number, schema), "ordered")
+    size = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
+    begin = np.concatenate([[0], np.cumsum([size.get(k, 0) for k in range(parts)])])
+    starts = F.array(*[F.lit(int(x)) for x in begin[:-1]])
+    placed = rows.withColumn("place", F.element_at(starts, F.col("part") + 1) + F.col("row").cast("int")).drop("part", "row")
+    length = np.zeros(int(begin[-1]), np.int32)
+    for batch in (b for b in placed.select("place", "n_words").toArrow().to_batches()):
+        length[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return placed, length
+
+
+SHARD = "places binary, lengths binary, slots binary, ends binary, counts binary"
+
+
+def shards_of(placed: DataFrame, width: int, shard_docs: int) -> DataFrame:
+    """One row for each shard of at most shard_docs documents, those of the shortest rests first. lengths: the words in all, and in the rest after full windows."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        rows = pa.Table.from_batches(held) if held else None
+        blocks = -(-rows.num_rows // shard_docs) if held else 0
+        for k in range(blocks):
+            a, z = rows.num_rows * k // blocks, rows.num_rows * (k + 1) // blocks
+            own = rows.slice(a, z - a)
+            length = own.column("n_words").to_numpy()
+            order = np.argsort(length % width, kind="stable")
+            own, length = own.take(pa.array(order)), length[order]
+            lists = own.column("slots").to_pylist()
+            ends = np.cumsum([len(x) // 4 for x in lists]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [blobs([x]) for x in (own.column("place").to_numpy().astype(np.int32), np.stack([length, length % width]).astype(np.int32), b"".join(lists), ends, b"".join(own.column("counts").to_pylist()))],
+                [x.split()[0] for x in SHARD.split(", ")],
+            )
+
+    return placed.select("place", "n_words", "slots", "counts").mapInArrow(cut, SHARD)
+
+
+def neighbours(shards: DataFrame, queries: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], unused: np.ndarray, idf, mean: float, most: int, block: int = 1024) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, scores) of the most best unused documents for each query, over all shards.
+
+    queries: place, room, ptr and slots; query i has the terms
+    slots[ptr[i]:ptr[i + 1]] and documents longer than room[i] are passed over,
+    as are those of score 0 and the query itself. A list shorter than most is whole.
+    """
+    sc = shards.sparkSession.sparkContext
+    shared = sc.broadcast((*queries, np.packbits(unused), len(unused)))
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, room, ptr, slots, bits, n = shared.value
+        free = np.unpackbits(bits, count=n).astype(bool)
+        blocks = [(a, min(a + block, len(place))) for a in range(0, len(place), block)]
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        floor = np.zeros(len(place), np.float32)
+        for batch in batches:
+            for b in range(batch.num_rows):
+                docs, lengths, terms, ends, counts = (np.frombuffer(batch.column(k)[b].as_py(), t) for k, t in enumerate((np.int32, np.int32, np.int32, np.int64, np.uint16)))
+                length, rest = lengths.reshape(2, -1)
+                keep = free[docs] & (rest <= room.max(initial=0))
+                if not keep.any():
+                    continue
+                size = np.diff(np.concatenate([[0], ends]))
+                entries = np.repeat(keep, size)
+                docs, length, rest = docs[keep], length[keep], rest[keep]
+                own = np.concatenate([[0], np.cumsum(size[keep])])
+                shard = Shard(own, terms[entries], counts[entries].astype(np.float32), length, idf.value, mean)
+                for k, (a, z) in enumerate(blocks):
+                    m = int(np.searchsorted(rest, room[a:z].max(), "right"))
+                    if not m:
+                        continue
+                    out = shard.scores(ptr[a : z + 1] - ptr[a], slots[ptr[a] : ptr[z]], m)
+                    if rest[m - 1] > room[a:z].min():
+                        out[rest[:m] > room[a:z, None]] = 0
+                    out[place[a:z, None] == docs[:m]] = 0
+                    good = (out > 0) & (out >= floor[a:z, None])
+                    if m > most and np.count_nonzero(good) > 4 * most * (z - a):
+                        floor[a:z] = np.maximum(floor[a:z], np.partition(out, m - most, axis=1)[:, m - most])
+                        good = (out > 0) & (out >= floor[a:z, None])
+                    i, j = np.nonzero(good)
+                    new = (i, docs[j], out[i, j])
+                    held[k] = best(*(np.concatenate(x) for x in zip(held[k], new, strict=True)), most) if k in held else best(*new, most)
+                    q, _, score = held[k]
+                    first, number = np.searchsorted(q, np.arange(z - a)), np.bincount(q, minlength=z - a)
+                    full = np.flatnonzero(number == most)
+                    floor[a + full] = np.maximum(floor[a + full], score[first[full] + most - 1])
+        for k, (q, p, score) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(blobs([x.astype(t)]) for x, t in ((q, np.int32), (p, np.int32), (score, np.float32)))], ["block", "query", "place", "score"])
+
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists: list[list[np.ndarray]] = [[], [], []]
+        for batch in batches:
+            for k, (name, t) in enumerate((("query", np.int32), ("place", np.int32), ("score", np.float32))):
+                lists[k] += [np.frombuffer(x, t) for x in batch.column(name).to_pylist()]
+        top = best(*map(np.concatenate, lists), most)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), *(blobs([x]) for x in top)], ["block", "query", "place", "score"])
+
+    schema = "block int, query binary, place binary, score binary"
+    # few tasks, so that each brings the lists of many shards together before they are sent on
+    found = shards.coalesce(2 * sc.defaultParallelism).mapInArrow(search, schema).groupBy("block").applyInArrow(merge, schema)
+    none = (np.zeros(0, np.int32), np.zeros(0, np.float32))
+    out = [none] * len(queries[0])
+    for k, q, p, score in found.toLocalIterator():
+        q, p, score = np.frombuffer(bytes(q), np.int32), np.frombuffer(bytes(p), np.int32), np.frombuffer(bytes(score), np.float32)
+        first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+        for i, a, z in zip(q[first].tolist(), first.tolist(), [*first[1:].tolist(), len(q)], strict=True):
+            out[k * block + i] = (p[a:z], score[a:z])
+    shared.destroy()
+    return out
+
+
+def terms_of(placed: DataFrame, wanted: np.ndarray) -> dict[int, np.ndarray]:
+    """The distinct terms of the documents at the wanted places."""
+
+    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), wanted)))
+
+    rows = placed.where(F.col("place").between(int(wanted.min()), int(wanted.max()))).select("place", "slots")
+    got = rows.mapInArrow(pick, "place int, slots binary").toArrow()
+    return {p: np.frombuffer(x, np.int32) for p, x in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)}
+
+
+def retrieval_packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2048, bits: int = 20, shard_docs: int = 4096, list_docs: int = 64, round_seeds: int = 16384, last_docs: int = 2048) -> DataFrame:
     """(shard, window, doc_ids, starts, lengths, scores, n_words): every word of every document in exactly one window.
 
     A window holds at most width words. A longer document gives windows of its
@@ -188,70 +379,103 @@ def retrieval_packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the BM25 scores for the seed, which stands first with score 0.
 
     Document frequencies and the mean length are those of all documents, by
-    slots of 2**bits hashed terms. A shard has at most shard_docs documents,
-    neighbours in the order of shard_keys(), and its index answers each of its
-    documents exactly; documents in different shards are never neighbours.
+    slots of 2**bits hashed terms. The index has shards of at most shard_docs
+    documents and every seed queries all of them, exactly.
+
+    Windows are filled in rounds. In a round the open windows and the next
+    unused documents, in the order of ids, at most round_seeds in all, get the
+    list_docs unused documents that fit and score best. In that order each
+    takes the best of its list that is still unused and fits. A window whose
+    list is used up stays open and asks again in the next round, a seed whose
+    list is used up before it begins waits. So every document taken is the best
+    of all the table's that were unused and fit. Where no other document that
+    fits has a score, those of score 0 follow in the order of ids. When no more
+    than last_docs are unused, lists hold all of them. The sizes decide the
+    turn in which windows take documents, not what a seed may find.
+
+    shard is the number of the seed's block of shard_docs documents in the
+    order of ids, window a number in it.
 
     Null and wordless texts are in no window.  Null ids are kept and seed last.
-    Repeated rows are packed each.  Ties in score go to the lower id, then the
-    order of the keys.  Empty table: no rows.  Other columns are ignored.
+    Repeated rows are packed each.  Ties in score go to the lower id, then to
+    a hash of the terms.  Empty table: no rows.  Other columns are ignored.
     """
     vectors = written(term_vectors(df, id_col, text_col, bits).where("n_words > 0"), "vectors")
     frequency, n, size = statistics(vectors, bits)
     idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
     mean = size / max(1, n)
-    shared = df.sparkSession.sparkContext.broadcast(idf)
+    sc = df.sparkSession.sparkContext
+    shared = sc.broadcast(idf)
     kind = vectors.schema["id"].dataType.simpleString()
-
-    def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf = shared.value
+    placed, length = ordered(vectors, max(1, -(-n // shard_docs)))
+    dropped(vectors)
+    shards = written(shards_of(placed, width, shard_docs), "shards")
+
+    filling = Filling(length % width, width)
+    terms: dict[int, np.ndarray] = {}
+    while filling.unused.any():
+        filling.close()
+        left = int(filling.unused.sum())
+        asking = list(filling.open)[:round_seeds]
+        last = left <= last_docs and len(asking) <= last_docs
+        most = left if last else list_docs
+        number = left if last else 0 if left <= last_docs else min(max(0, round_seeds - len(asking)), max(256, left // 16))
+        asking += np.flatnonzero(filling.unused)[:number].tolist()
+        terms = {k: terms[k] for k in filling.open if k in terms}
+        if missing := [k for k in asking if k not in terms]:
+            terms |= terms_of(placed, np.array(missing, np.int32))
+        slots = [terms[k] for k in asking]
+        room = np.array([filling.open.get(k, width - int(filling.length[k])) for k in asking], np.int32)
+        order = np.argsort(room, kind="stable")  # blocks of like room, which pass over the same documents
+        queries = (np.array(asking, np.int32)[order], room[order], np.concatenate([[0], np.cumsum([len(slots[k]) for k in order])]), np.concatenate([slots[k] for k in order]))
+        found = dict(zip(order.tolist(), neighbours(shards, queries, filling.unused, shared, mean, most), strict=True))
+        for k, seed in enumerate(asking):
+            filling.fill(seed, *found[k], last or len(found[k][0]) < most)
+    dropped(shards)
+
+    at = sc.broadcast((filling.window, filling.rank, filling.score))
+
+    def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window, rank, score = at.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column(2).to_pylist()
-            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in lists])])
-            keys = shard_keys(np.frombuffer(b"".join(lists), np.int32), ends, idf)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, keys)], [*batch.schema.names, "k1", "k2"])
-
-    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf = shared.value
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held).combine_chunks()
-        rows = rows.take(pc.sort_indices(rows, [("k1", "ascending"), ("k2", "ascending"), ("id", "ascending")]))
-        context = TaskContext.get()
-        blocks = -(-rows.num_rows // shard_docs)
-        cut = np.linspace(0, rows.num_rows, blocks + 1).astype(int)
-        number = 0
-        for a, z in zip(cut, cut[1:], strict=False):
-            own = rows.slice(a, z - a)
-            own = own.take(pc.sort_indices(own, [("id", "ascending"), ("k1", "ascending"), ("k2", "ascending")], null_placement="at_end"))
-            slots = [np.frombuffer(x, np.int32) for x in own.column("slots").to_pylist()]
-            counts = np.frombuffer(b"".join(own.column("counts").to_pylist()), np.uint16).astype(np.float32)
-            length = own.column("n_words").to_numpy().astype(np.int64)
-            ptr = np.concatenate([[0], np.cumsum([len(x) for x in slots])])
-            shard = Shard(ptr, np.concatenate(slots), counts, length, idf, mean)
-            full = length // width
-            found = windows(shard, length - full * width, width)
-            pieces = [[(d, k * width, width, 0.0)] for d in np.flatnonzero(full).tolist() for k in range(int(full[d]))]
-            pieces += [[(d, int(full[d]) * width, int(length[d] - full[d] * width), s) for d, s in row] for row in found]
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int32))
-            flat = [x for p in pieces for x in p]
-            lists = [
-                pa.ListArray.from_arrays(ends, own.column("id").combine_chunks().take(pa.array([x[0] for x in flat], pa.int64()))),
-                *(pa.ListArray.from_arrays(ends, pa.array([x[k] for x in flat], t)) for k, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.float32()))),
-            ]
-            m = len(pieces)
+            place, words_ = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            full, rest = words_ // width, words_ % width
+            # windows of their own come before the one that holds the rest
+            k, own = _spans(np.zeros_like(full), full)
+            tail = np.flatnonzero(rest)
+            row = np.concatenate([own, tail])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(m, context.partitionId() if context else 0, np.int32)), pa.array(np.arange(number, number + m, dtype=np.int32)), *lists, pa.array([sum(x[2] for x in p) for p in pieces], pa.int32())],
-                ["shard", "window", "doc_ids", "starts", "lengths", "scores", "n_words"],
+                [
+                    batch.column(0).take(pa.array(row)),
+                    *(pa.array(np.concatenate(x).astype(t)) for x, t in (((place[own], window[place[tail]]), np.int32), ((k, np.full(len(tail), -1)), np.int32), ((np.zeros(len(own)), rank[place[tail]]), np.int32), ((k * width, full[tail] * width), np.int32), ((np.full(len(own), width), rest[tail]), np.int32), ((np.zeros(len(own)), score[place[tail]]), np.float32))),
+                ],
+                ["id", "seed", "piece", "rank", "start", "length", "score"],
             )
-            number += m
 
-    shards = max(1, -(-n // shard_docs))
-    # a table of its own: the range partitioning below reads the keys twice
-    placed = written(vectors.mapInArrow(keyed, f"id {kind}, n_words int, slots binary, counts binary, k1 bigint, k2 bigint"), "keyed")
-    dropped(vectors)
-    placed = placed.repartitionByRange(shards, F.col("k1"), F.col("k2"), F.col("id"))
-    return placed.mapInArrow(pack, f"shard int, window int, doc_ids array<{kind}>, starts array<int>, lengths array<int>, scores array<float>, n_words int")
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in whole_shards(batches):
+            seed, piece = own.column("seed").to_numpy(), own.column("piece").to_numpy()
+            first = np.flatnonzero(np.append(True, (seed[1:] != seed[:-1]) | (piece[1:] != piece[:-1])))
+            ends = pa.array(np.append(first, len(seed)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, own.column(c).combine_chunks()) for c in ("id", "start", "length", "score")]
+            total = np.add.reduceat(own.column("length").to_numpy(), first)
+            yield pa.RecordBatch.from_arrays([pa.array(own.column("shard").to_numpy()[first]), pa.array(np.arange(len(first), dtype=np.int32)), *lists, pa.array(total.astype(np.int32))], ["shard", "window", "doc_ids", "starts", "lengths", "scores", "n_words"])
+
+    def whole_shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            shard = batch.column("shard").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                if a == z:
+                    continue
+                if held and held[-1].column("shard")[0].as_py() != shard[a]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, z - a))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    rows = placed.select("id", "place", "n_words").mapInArrow(pieces, f"id {kind}, seed int, piece int, rank int, start int, length int, score float")
+    rows = rows.withColumn("shard", F.floor(F.col("seed") / shard_docs).cast("int")).repartition("shard").sortWithinPartitions("shard", "seed", "piece", "rank")
+    return rows.mapInArrow(gather, f"shard int, window int, doc_ids array<{kind}>, starts array<int>, lengths array<int>, scores array<float>, n_words int")
