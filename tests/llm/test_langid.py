@@ -70,3 +70,24 @@ def test_edge_cases(spark):
     none = language_id(df.withColumn("lang", df["lang"].substr(1, 0)).where("doc_id > 90").drop("lang").withColumnRenamed("pred_lang", "lang").where("false"))
     assert none.collect() == []
     assert filtered(df).columns == df.columns
+
+
+UNKNOWN = {
+    "ru": "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.",
+    "el": "Όλες οι ευτυχισμένες οικογένειες μοιάζουν μεταξύ τους, κάθε δυστυχισμένη είναι διαφορετική.",
+    "zh": "幸福的家庭都是相似的,不幸的家庭各有各的不幸。我们今天去学校读书。",
+    "fi": "Kaikki onnelliset perheet ovat toistensa kaltaisia, mutta jokainen onneton perhe on onneton omalla tavallaan.",
+    "symbols": "@@## $$%% ^^&& **(( ))__ ++== ~~`` || \\\\ // <<>> {}[] " * 5,
+    "letters": "xqzjv kwpfq zzxvk qjwhx vbnmq wxkzj qpfgv jxqkz vwqzx kjhqv " * 5,
+    "digits": "123 456 7890 12 3456 789 " * 10,
+}
+
+
+def test_unknown_languages_and_junk_are_rejected(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(UNKNOWN.values())], docs.schema)
+    got = {r["doc_id"]: r for r in language_id(docs.unionByName(odd)).collect()}
+    assert [k for i, k in enumerate(UNKNOWN) if got[-1 - i]["accepted"]] == []
+    clean = [r for k, r in got.items() if k >= 0]
+    assert sum(r["accepted"] for r in clean) >= 0.98 * len(clean)
+    assert filtered(docs.unionByName(odd)).where("doc_id < 0").count() == 0

@@ -24,6 +24,7 @@ from textloom.llm.words import slices
 ORDERS = (1, 2, 3)
 M1, M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 PART = 1 << 12
+COMMON = 100
 
 
 class Model(NamedTuple):
@@ -34,6 +35,9 @@ class Model(NamedTuple):
     bits: int
     rows: int  # rows fitted on
     held_out: float  # accuracy on the calibration rows, -1 without any
+    common: np.ndarray  # slots that at least one in COMMON fitted rows has, and at least two
+    min_prob: float  # below this the calibration rows give no ground for a label
+    min_common: float  # least share of common n-grams of a text in a known language
 
 
 def grams(texts: pa.Array, bits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -215,39 +219,66 @@ def fit(
     w, bias = ftrl([fitted[i] for i in order], 1 << bits, max(1, len(classes)), epochs, alpha, beta, l1, l2)
     scores = np.array([v @ w[s] + bias for s, v, _ in held]).reshape(len(held), max(1, len(classes)))
     label = np.array([c for _, _, c in held], np.int64)
-    accuracy = float((scores.argmax(axis=1) == label).mean()) if len(held) else -1.0
-    return Model(classes, (w * idf[:, None] * SCALE).astype(np.float32), bias.astype(np.float32), temperature(scores, label), bits, len(fitted), accuracy)
+    right = scores.argmax(axis=1) == label
+    accuracy = float(right.mean()) if len(held) else -1.0
+    heat = temperature(scores, label)
+    common = np.bincount(np.concatenate([s for s, _, _ in fitted] or [np.zeros(0, np.int32)]), minlength=1 << bits) >= max(2, len(fitted) / COMMON)
+    p = np.exp((scores - scores.max(axis=1, keepdims=True)) / heat)
+    share = np.array([(v / (idf[s] * SCALE))[common[s]].sum() for s, v, _ in held])
+    floors = level(1 / p.sum(axis=1), right, 1 / max(1, len(classes)), 0.75), level(share, right, 0.0, 0.95)
+    return Model(classes, (w * idf[:, None] * SCALE).astype(np.float32), bias.astype(np.float32), heat, bits, len(fitted), accuracy, common, *floors)
+
+
+def level(value: np.ndarray, right: np.ndarray, chance: float, margin: float) -> float:
+    """The value, more being better, up to which calibration rows are wrong more often than right, or margin of the way from chance to their low end if that is more.
+
+    The low end is the value that one row in 200 is under, and the most that is
+    returned. Without rows it is chance.
+    """
+    if not len(value):
+        return chance
+    order = np.argsort(value, kind="stable")
+    value, right = value[order], right[order]
+    low = float(value[len(value) // 200])
+    falls = np.flatnonzero(np.cumsum(right) * 2 < np.arange(1, len(right) + 1))
+    fallen = min(float(np.nextafter(value[falls[-1]], 2)), low) if len(falls) else 0.0
+    return max(fallen, chance + margin * max(0.0, low - chance))
 
 
 SCALE = 10.0  # brings the shares, which sum to 1, to the scale that the step sizes suit
 
 
 def predict(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class number, calibrated probability, number of n-grams) of each text."""
+    """(class number, calibrated probability, share of common n-grams) of each text."""
     n = len(texts)
-    scores, size = np.tile(model.bias.astype(np.float64), (n, 1)), np.zeros(n, np.int64)
+    scores, share = np.tile(model.bias.astype(np.float64), (n, 1)), np.zeros(n)
     for a, z, slot, ends in grams(texts, model.bits):
         rows = np.take(model.weights, slot, axis=0)
         k = np.diff(ends)
         some = np.flatnonzero(k)
         if len(some):
             scores[a + some] += np.add.reduceat(rows, ends[:-1][some], axis=0) / k[some][:, None]
-        size[a:z] = k
+            share[a + some] = np.add.reduceat(model.common[slot].astype(np.int64), ends[:-1][some]) / k[some]
     p = scores / model.temperature
     p = np.exp(p - p.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
-    return p.argmax(axis=1), p.max(axis=1), size
+    return p.argmax(axis=1), p.max(axis=1), share
 
 
 def identified(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "pred_lang", prob_col: str = "pred_prob") -> DataFrame:
-    """df with the language of each text and its calibrated probability; both are null for a text that is null or blank."""
+    """df with the language of each text and its calibrated probability.
+
+    Both are null for a text that is null or blank, has no letters, or has too
+    few n-grams that are common in the rows fitted on: its language is unknown.
+    """
 
     @F.arrow_udf("struct<lang string, prob double>")
     def guess(texts: pa.Array) -> pa.Array:
-        which, p, _ = predict(texts, model)
-        blank = pc.fill_null(pc.equal(pc.utf8_length(pc.utf8_trim_whitespace(texts)), 0), True)
-        lang = pc.if_else(blank, None, pa.array([model.classes[i] for i in which], pa.string()))
-        prob = pc.if_else(blank, None, pa.array(p))
+        which, p, share = predict(texts, model)
+        letters = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False)
+        unknown = pc.invert(pc.and_(letters, pa.array(share >= model.min_common)))
+        lang = pc.if_else(unknown, None, pa.array([model.classes[i] for i in which], pa.string()))
+        prob = pc.if_else(unknown, None, pa.array(p))
         return pa.StructArray.from_arrays([lang, prob], ["lang", "prob"])
 
     both = "_guess_" + prob_col
@@ -258,13 +289,15 @@ def identified(df: DataFrame, model: Model, text_col: str = "text", lang_col: st
     return out.withColumns({lang_col: F.col(f"{both}.lang"), prob_col: F.col(f"{both}.prob")}).drop(both)
 
 
-def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", min_prob: float = 0.3, **options) -> DataFrame:
+def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", min_prob: float | None = None, **options) -> DataFrame:
     """(doc_id, pred_lang, pred_prob, accepted) of every row.
 
-    The model is fitted by fit(); a row is accepted if its text isn't blank and
-    the probability of its best language is at least min_prob.
+    The model is fitted by fit(); a row is accepted if its language is known
+    and its probability is at least min_prob, by default the model's, which
+    comes from the calibration rows.
 
-    A null, empty or blank text has no language and isn't accepted.  Null ids
+    A null, empty or blank text, one without letters and one whose n-grams are
+    hardly known have no language and aren't accepted.  Null ids
     and repeated rows are kept.  Without any labelled row no text has a
     language.  Ties go to the first label in alphabetical order.  Empty table:
     no rows.  Other columns are ignored.
@@ -272,11 +305,11 @@ def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     model = fit(df, text_col, label_col, **options)
     rows = df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"))
     out = identified(rows, model)
-    return out.select("doc_id", "pred_lang", "pred_prob", F.coalesce(F.col("pred_prob") >= min_prob, F.lit(False)).alias("accepted"))
+    return out.select("doc_id", "pred_lang", "pred_prob", F.coalesce(F.col("pred_prob") >= (model.min_prob if min_prob is None else min_prob), F.lit(False)).alias("accepted"))
 
 
-def filtered(df: DataFrame, text_col: str = "text", label_col: str = "lang", min_prob: float = 0.3, **options) -> DataFrame:
+def filtered(df: DataFrame, text_col: str = "text", label_col: str = "lang", min_prob: float | None = None, **options) -> DataFrame:
     """The rows of df that language_id() accepts, in its columns."""
     lang, prob = unused(df, "pred_lang", "pred_prob")
     model = fit(df, text_col, label_col, **options)
-    return identified(df, model, text_col, lang, prob).where(quoted(prob) >= min_prob).select(*[quoted(c) for c in df.columns])
+    return identified(df, model, text_col, lang, prob).where(quoted(prob) >= (model.min_prob if min_prob is None else min_prob)).select(*[quoted(c) for c in df.columns])
