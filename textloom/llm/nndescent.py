@@ -3,9 +3,9 @@
 The graph starts from random-hyperplane buckets and is refined by joins of
 neighbours' neighbours: each node brings the vectors of its neighbours and
 reverse neighbours together, and the pairs among them that improve a list are
-kept.  Where a list is full of near duplicates, it is enlarged to the whole
-component of the threshold graph.  An audit compares a sample of nodes with
-every vector.
+kept.  Where a list is full of near duplicates, it is enlarged to the node's
+whole component of the threshold graph.  An audit compares a sample of nodes
+with every vector.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import blobs
+from textloom.llm.common import blobs, quoted
+from textloom.llm.common import components as components_of
 from textloom.llm.graph import connected_components
 from textloom.llm.words import mix
 from textloom.storage import dropped, written
@@ -27,9 +28,9 @@ STATE = "node bigint, nbrs binary, sims binary, fresh binary"
 
 
 class NearDuplicates(NamedTuple):
-    pairs: DataFrame  # id_a, id_b, similarity
-    recall: float  # of the audited nodes' edges, before more rounds could help no further
-    audited: int  # their true edges
+    classes: DataFrame  # id, class_id, n_links
+    recall: float  # share of the audited nodes' links that were found
+    audited: int  # their true links
     rounds: int
 
 
@@ -54,15 +55,14 @@ def _spans(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(key))
 
 
-def prepared(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    """(node, id, vec) of usable rows, vec normalised float32, and the dimension: that of most rows.
+def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, vec) of the rows with an id and a vector of numbers, vec as floats."""
+    rows = df.select(quoted(id_col).alias("id"), quoted(vec_col).cast("array<float>").alias("vec"))
+    return rows.where("id is not null and vec is not null and size(vec) > 0").where(~F.exists("vec", lambda x: x.isNull()))
 
-    Rows without id, without vector, with null, infinite or no numbers in it,
-    of length 0 or of another dimension are left out. node is a hash of vec.
-    """
-    rows = df.select(df[id_col].alias("id"), df[vec_col].cast("array<float>").alias("vec")).where("id is not null and vec is not null and size(vec) > 0")
-    top = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    dim = top["d"] if top else 1
+
+def prepared(rows: DataFrame, dim: int) -> DataFrame:
+    """(node, id, vec) of the vectors of dim numbers that have a length, vec normalised float32. node is a hash of vec."""
 
     def unit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -77,8 +77,7 @@ def prepared(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
             node = np.array([xxhash.xxh3_64_intdigest(v) for v in vecs], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(node), batch.column(0).filter(pa.array(good)), blobs(vecs)], ["node", "id", "vec"])
 
-    kept = rows.where(F.size("vec") == dim).where(~F.exists("vec", lambda x: x.isNull()))
-    return kept.mapInArrow(unit, f"node bigint, id {rows.schema['id'].dataType.simpleString()}, vec binary"), dim
+    return rows.where(F.size("vec") == dim).mapInArrow(unit, f"node bigint, id {rows.schema['id'].dataType.simpleString()}, vec binary")
 
 
 def _best(node: np.ndarray, nbr: np.ndarray, sim: np.ndarray, fresh: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -256,7 +255,7 @@ def descended(state: DataFrame, vectors: DataFrame, dim: int, k: int, parts: int
 
 
 def _edges(state: DataFrame, least: float) -> DataFrame:
-    """(a, b, full) of the listed pairs of at least the given similarity; full says that a's whole list is."""
+    """(a, b) of the listed pairs of at least the given similarity, a < b."""
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,112 +275,111 @@ def _saturated(state: DataFrame, least: float, k: int) -> DataFrame:
     return state.mapInArrow(pick, "node bigint")
 
 
-def _confirmed(edges: DataFrame, vectors: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """The edges with their similarity in full precision, those below the threshold left out."""
-    v = vectors.select("node", "vec")
-    both = edges.join(v.select(F.col("node").alias("a"), F.col("vec").alias("va")), "a").join(v.select(F.col("node").alias("b"), F.col("vec").alias("vb")), "b")
+def _confirmed(edges: DataFrame, nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """The edges whose similarity in full precision reaches the threshold, with the numbers of ids at either end."""
+    v = nodes.select("node", "vec", "m")
+    both = edges.join(v.select(F.col("node").alias("a"), F.col("vec").alias("va"), F.col("m").alias("ma")), "a")
+    both = both.join(v.select(F.col("node").alias("b"), F.col("vec").alias("vb"), F.col("m").alias("mb")), "b")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sim = np.einsum("ij,ij->i", _floats(batch.column(2), dim), _floats(batch.column(3), dim), dtype=np.float64)
             ok = pa.array(sim >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(sim).filter(ok)], ["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in (0, 1, 4, 5)], ["a", "b", "ma", "mb"])
+
+    return both.select("a", "b", "va", "vb", "ma", "mb").mapInArrow(compare, "a bigint, b bigint, ma bigint, mb bigint")
 
-    return both.select("a", "b", "va", "vb").mapInArrow(compare, "a bigint, b bigint, similarity double")
 
+LINKS = "node bigint, links bigint, root bigint"
 
-def _enlarged(components: DataFrame, vectors: DataFrame, dim: int, threshold: float, block: int = 1024) -> DataFrame:
-    """All pairs above the threshold within components(node, component), compared block by block."""
+
+def _enlarged(components: DataFrame, nodes: DataFrame, dim: int, threshold: float, block: int = 1024) -> DataFrame:
+    """(node, links, root): the links of saturated nodes within components(node, component, full).
+
+    The list of a saturated node is enlarged to all of its component: it is
+    compared with every other node there, block by block. A task returns for
+    its pair of blocks the number of ids that each node is linked to, and a
+    forest that connects the same nodes as its links, but no pairs.
+    """
     sizes = components.groupBy("component").agg(F.count("*").alias("size"))
-    rows = components.join(sizes, "component").join(vectors.select("node", "vec"), "node")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
+    rows = components.join(sizes, "component").join(nodes.select("node", "vec", "m"), "node")
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "vec")
-    rows = rows.withColumn("key", F.xxhash64("component", "low", "high")).select("key", "component", "low", "high", "own", "node", "vec")
+    rows = rows.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "vec", "m", "full")
+    rows = rows.withColumn("key", F.xxhash64("component", "low", "high")).select("key", "low", "high", "own", "node", "vec", "m", "full")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held)
-        key = table.column("key").to_numpy()
+        key, node, own, low, high, m = (table.column(c).to_numpy() for c in ("key", "node", "own", "low", "high", "m"))
+        full = table.column("full").to_numpy()
         order = np.argsort(key, kind="stable")
-        node, own = table.column("node").to_numpy(), table.column("own").to_numpy()
-        low, high = table.column("low").to_numpy(), table.column("high").to_numpy()
         x = _floats(table.column("vec"), dim)
         for a, z in zip(*_spans(key[order]), strict=True):
             rows = order[a:z]
-            i, j = rows[own[rows] == low[rows]], rows[own[rows] == high[rows]]
-            for part in np.array_split(i, max(1, -(-len(i) // block))):
-                # float64 sums decide the pairs close to the threshold
-                s = x[part] @ x[j].T
-                p, q = np.nonzero(s >= threshold - 1e-4)
-                same = low[rows[0]] == high[rows[0]]
-                p, q = (p[keep], q[keep]) if same and (keep := node[part][p] < node[j][q]) is not None else (p, q)
-                for k in range(0, len(p), 1 << 18):
-                    u, v = part[p[k : k + (1 << 18)]], j[q[k : k + (1 << 18)]]
-                    sim = np.einsum("ij,ij->i", x[u], x[v], dtype=np.float64)
-                    ok = sim >= threshold
-                    u, v, sim = node[u[ok]], node[v[ok]], sim[ok]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(sim)], ["a", "b", "similarity"])
-
-    return rows.repartition("key").mapInArrow(compare, "a bigint, b bigint, similarity double")
-
-
-def _audit(vectors: DataFrame, pairs: DataFrame, dim: int, threshold: float, sample: int) -> tuple[int, int]:
-    """(true edges of the sampled nodes, those of them among the pairs)."""
-    rows = vectors.orderBy(F.xxhash64("node", F.lit(1))).limit(sample).select("node", "vec").collect()
-    if not rows:
-        return 0, 0
-    nodes = np.array([r["node"] for r in rows])
-    y = np.frombuffer(b"".join(bytes(r["vec"]) for r in rows), np.float32).reshape(-1, dim)
-
-    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, x = batch.column(0).to_numpy(), _floats(batch.column(1), dim)
-            i, j = np.nonzero(x @ y.T >= threshold - 1e-4)
-            sim = np.einsum("ij,ij->i", x[i], y[j], dtype=np.float64)
-            ok = (sim >= threshold) & (node[i] != nodes[j])
-            u, v = node[i[ok]], nodes[j[ok]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
-
-    true = vectors.select("node", "vec").mapInArrow(find, "a bigint, b bigint").distinct()
-    got = true.join(pairs.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).first()
-    return got["n"], got["hits"]
-
-
-def near_duplicates(
-    df: DataFrame,
-    id_col: str = "vec_id",
-    vec_col: str = "embedding",
-    threshold: float = 0.9,
-    k: int = 16,
-    tables: int = 4,
-    max_rounds: int = 8,
-    settled: float = 0.02,
-    audit: int = 256,
-    least_recall: float = 0.95,
-) -> NearDuplicates:
-    """Pairs of vectors with a cosine of at least threshold, and the audit's recall.
-
-    Vectors equal after normalisation are one node, so that copies don't fill
-    the lists; the pairs of nodes are stated for all their ids, and those of a
-    node with each other with similarity 1.  Lists start from sign buckets and descend until
-    a round renews less than settled of all entries or max_rounds are done.
-    While the audit finds less than least_recall of the true edges of its
-    sample, bucket tables are added and the descent goes on, twice at most.
-
-    Rows with a null id or an unusable vector (null, empty, with null or
-    infinite entries, zero, or not of the most frequent length) have no pairs.
-    Repeated rows and ids in one node count once; an id with several vectors is
-    in several nodes, a pair of it with itself isn't stated.  Ties in similarity go to the lower
-    node.  Empty table: no pairs, recall 1.  Other columns are ignored.
+            place = np.empty(len(rows), np.int64)  # rows of the two sides, numbered from 0
+            place[:] = np.arange(len(rows))
+            same = low[rows[0]] == high[rows[0]]
+            left, right = place[own[rows] == low[rows]], place[own[rows] == high[rows]]
+            links, label = np.zeros(len(rows), np.int64), np.arange(len(rows))
+            f = full[rows]
+            # every pair with a saturated node, once
+            for i, j in ((left[f[left]], right), (left[~f[left]], right[f[right]])):
+                for part in np.array_split(i, max(1, -(-len(i) // block))):
+                    p, q = np.nonzero(x[rows[part]] @ x[rows[j]].T >= threshold - 1e-4)
+                    p, q = part[p], j[q]
+                    if same:
+                        keep = (p != q) & (~(f[p] & f[q]) | (p < q)) & (f[p] | ~f[q])
+                        p, q = p[keep], q[keep]
+                    for k in range(0, len(p), 1 << 17):
+                        u, v = p[k : k + (1 << 17)], q[k : k + (1 << 17)]
+                        # float64 sums decide the pairs close to the threshold
+                        ok = np.einsum("ij,ij->i", x[rows[u]], x[rows[v]], dtype=np.float64) >= threshold
+                        u, v = u[ok], v[ok]
+                        links += np.bincount(u, m[rows[v]], len(rows)).astype(np.int64) + np.bincount(v, m[rows[u]], len(rows)).astype(np.int64)
+                        label = components_of(np.append(u, np.arange(len(rows))), np.append(v, label), len(rows))
+            some = np.flatnonzero(links)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(node[rows[some]]), pa.array(links[some]), pa.array(node[rows[label[some]]])], ["node", "links", "root"])
+
+    return rows.repartition("key").mapInArrow(compare, LINKS)
+
+
+def _audit(nodes: DataFrame, found: DataFrame, dim: int, threshold: float, sample: int, enough: int = 200, most: int = 4096) -> tuple[int, int]:
+    """(true links of the sampled nodes, those that were found).
+
+    The sample is taken by hash and grows fourfold, to most nodes, until it has
+    enough links; its nodes are compared with every other.
     """
-    spark = df.sparkSession
-    rows, dim = prepared(df, id_col, vec_col)
-    rows = written(rows, "embeddings")
-    nodes = written(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("vec").alias("vec")), "nodes")
+    while True:
+        picked = nodes.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(sample).select("node", "vec")
+        rows = picked.collect()
+        if not rows:
+            return 0, 0
+        names = np.array([r["node"] for r in rows])
+        y = np.frombuffer(b"".join(bytes(r["vec"]) for r in rows), np.float32).reshape(-1, dim)
+
+        def find(batches: Iterable[pa.RecordBatch], names: np.ndarray = names, y: np.ndarray = y) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(names), np.int64)
+            for batch in batches:
+                node, x, m = batch.column(0).to_numpy(), _floats(batch.column(1), dim), batch.column(2).to_numpy()
+                i, j = np.nonzero(x @ y.T >= threshold - 1e-4)
+                ok = (np.einsum("ij,ij->i", x[i], y[j], dtype=np.float64) >= threshold) & (node[i] != names[j])
+                total += np.bincount(j[ok], m[i[ok]], len(names)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total)], ["node", "links"])
+
+        true = nodes.select("node", "vec", "m").mapInArrow(find, "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links"))
+        got = true.join(found.select("node", F.col("links").alias("hit")), "node", "left").agg(F.sum("links").alias("n"), F.sum("hit").alias("hits")).first()
+        if (got["n"] or 0) >= enough or sample >= most or len(rows) < sample:
+            return got["n"] or 0, got["hits"] or 0
+        sample *= 4
+
+
+def _linked(nodes: DataFrame, dim: int, threshold: float, k: int, tables: int, max_rounds: int, settled: float, audit: int, least_recall: float, more_tables: int) -> tuple[DataFrame, int, int, int]:
+    """((node, links, component) of the nodes with links, true and found links of the audit, rounds)."""
+    spark = nodes.sparkSession
     n = nodes.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * 2 * k * (2 * dim + 32) // (32 << 20)))
     least = threshold - 0.005  # lists hold half-precision similarities
@@ -397,25 +395,89 @@ def near_duplicates(
             dropped(state)
             state, rounds = after, rounds + 1
         full = written(_saturated(state, least, k), "full")
-        edges = written(_edges(state, least), "near")
-        pairs = _confirmed(edges, nodes, dim, threshold)
-        if full.limit(1).count():
-            labels = written(connected_components(edges), "components")
-            hot = labels.join(full, "node").select("component").distinct()
-            pairs = pairs.unionByName(_enlarged(labels.join(hot, "component").select("node", "component"), nodes, dim, threshold)).dropDuplicates(["a", "b"])
-        pairs = written(pairs, "pairs")
-        true, hits = _audit(nodes, pairs, dim, threshold, audit)
-        recall = hits / true if true else 1.0
-        if recall >= least_recall or more == 2:
-            break
+        near = written(_edges(state, least), "near")
+        hot = full.limit(1).count() > 0
+        rest = near if not hot else near.join(full.withColumnRenamed("node", "a"), "a", "left_anti").join(full.withColumnRenamed("node", "b"), "b", "left_anti")
+        pairs = written(_confirmed(rest, nodes, dim, threshold), "pairs")
+        both = pairs.select(F.col("a").alias("node"), F.col("mb").alias("links"), F.col("b").alias("root")).unionByName(pairs.select(F.col("b").alias("node"), F.col("ma").alias("links"), F.col("a").alias("root")))
+        if hot:
+            labels = written(connected_components(near), "components")
+            marked = labels.join(full.withColumn("full", F.lit(True)), "node", "left").withColumn("full", F.coalesce("full", F.lit(False)))
+            of_hot = marked.where("full").select("component").distinct()
+            both = both.unionByName(_enlarged(marked.join(of_hot, "component"), nodes, dim, threshold))
+            both = written(both, "links")
+            dropped(labels)
+        links = written(both.groupBy("node").agg(F.sum("links").alias("links")), "counts")
+        true, hits = _audit(nodes, links, dim, threshold, audit)
+        done = not true or hits >= least_recall * true or more == more_tables
+        if done:
+            edges = both.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            found = written(links.join(connected_components(edges), "node"), "linked")
+        for x in (full, near, pairs, links, both):
+            dropped(x)
+        if done:
+            dropped(state)
+            return found, true, hits, rounds
         more += 1
         extra = bucket_lists(nodes, dim, bits, range(tables * more, tables * (more + 1)), k, parts)
-        state = written(_merged(state.unionByName(extra), k, parts), "lists")
-    ids = rows.select("node", "id").distinct()
-    ia, ib = ids.select(F.col("node").alias("a"), F.col("id").alias("ia")), ids.select(F.col("node").alias("b"), F.col("id").alias("ib"))
-    named = pairs.join(ia, "a").join(ib, "b").where("ia <> ib").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "similarity")
-    several = ids.groupBy("node").count().where("count > 1").select("node")
-    equal = ids.join(several, "node")
-    same = equal.withColumnRenamed("id", "id_a").join(equal.withColumnRenamed("id", "id_b"), "node").where("id_a < id_b").select("id_a", "id_b", F.lit(1.0).alias("similarity"))
-    out = named.unionByName(same).groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
-    return NearDuplicates(out, recall, true, rounds)
+        after = written(_merged(state.unionByName(extra), k, parts), "lists")
+        dropped(state)
+        state = after
+
+
+def duplicate_classes(
+    df: DataFrame,
+    id_col: str = "vec_id",
+    vec_col: str = "embedding",
+    threshold: float = 0.9,
+    k: int = 16,
+    tables: int = 4,
+    max_rounds: int = 8,
+    settled: float = 0.02,
+    audit: int = 256,
+    least_recall: float = 0.95,
+    more_tables: int = 4,
+) -> NearDuplicates:
+    """(id, class_id, n_links) of every row with an id, and the audit's recall.
+
+    Two vectors are linked if their cosine is at least threshold; n_links is
+    the number of other ids linked to the row's, class_id the least id that is
+    reached from it by links, its own if it has none.
+
+    Vectors equal after normalisation are one node, so that copies don't fill
+    the lists: they are links of each other, and a link of their node is one to
+    each of them.  Lists start from sign buckets and descend until a round
+    renews less than settled of all entries or max_rounds are done.  The list
+    of a node that is full of near duplicates is enlarged to its whole
+    component.  While the audit finds less than least_recall of the true links
+    of its sample, bucket tables are added and the descent goes on, more_tables
+    times at most.  Links are counted, never stated pair by pair for a group.
+
+    A row with an unusable vector (null, empty, with null or infinite entries,
+    or zero) has class_id null and no links.  Vectors of different lengths are
+    never linked; each length is treated on its own.  Rows with a null id are
+    left out.  Repeated rows give one row; an id with several vectors gives one
+    for each, and counts as several.  Ties in similarity go to the lower node.
+    Empty table: no rows, recall 1.  Other columns are ignored.
+    """
+    kind = df.select(quoted(id_col).alias("id")).schema["id"].dataType.simpleString()
+    rows = usable(df, id_col, vec_col)
+    dims = sorted(r[0] for r in rows.select(F.size("vec")).distinct().collect())
+    out, good = None, None
+    true = hits = rounds = 0
+    for dim in dims:
+        own = written(prepared(rows, dim).dropDuplicates(["node", "id"]), "embeddings")
+        nodes = written(own.groupBy("node").agg(F.first("vec").alias("vec"), F.count("*").alias("m"), F.min("id").alias("least")), "nodes")
+        linked, t, h, r = _linked(nodes, dim, threshold, k, tables, max_rounds, settled, audit, least_recall, more_tables)
+        true, hits, rounds = true + t, hits + h, max(rounds, r)
+        names = nodes.select("node", "m", "least").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        class_id = names.groupBy("component").agg(F.min("least").alias("class_id"))
+        names = names.join(class_id, "component").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+        part = own.select("id", "node").join(names, "node").select("id", "class_id", "n_links")
+        out = part if out is None else out.unionByName(part)
+        ids = own.select("id")
+        good = ids if good is None else good.unionByName(ids)
+    every = df.select(quoted(id_col).alias("id")).where("id is not null").distinct()
+    bad = every if good is None else every.join(good.distinct(), "id", "left_anti")
+    bad = bad.select("id", F.lit(None).cast(kind).alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    return NearDuplicates(bad if out is None else out.unionByName(bad), hits / true if true else 1.0, true, rounds)
