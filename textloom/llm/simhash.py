@@ -8,7 +8,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import components, quoted, unused
@@ -39,23 +40,24 @@ def shingles(w: np.ndarray, size: int) -> np.ndarray:
     return np.unique(mix(x))
 
 
-def search_codes(features: np.ndarray, tables: int, kept: int = 32, power: float = 1.5) -> np.ndarray:
+def search_codes(features: np.ndarray, tables: int, power: float = 1.5, block: int = 1 << 15) -> np.ndarray:
     """One 64-bit SimHash per table, each with its own heavy-tailed feature weights.
 
     A feature's weight is u ** -power, u its hash in (0, 1): few features, other
     ones in each table, decide nearly all bits, so that copies whose edits miss
-    those differ by few bits.  Features beyond the kept heaviest weigh too
-    little to turn a bit and aren't summed.
+    those differ by few bits.  All features are summed.
     """
-    out = np.empty(tables, np.uint64)
+    out = np.zeros(tables, np.uint64)
     for k in range(tables):
-        u = mix(features + _seed(k))
-        if len(u) > kept:
-            u = np.partition(u, kept - 1)[:kept]
-        u = np.sort(u)
-        weight = ((u >> np.uint64(11)).astype(np.float64) + 1.0) ** -power
-        signs = ((mix(u)[:, None] >> SHIFTS) & ONE).astype(np.float64) * 2 - 1
-        out[k] = np.packbits((weight @ signs) > 0, bitorder="little").view(np.uint64)[0]
+        ones, total = np.zeros(64), 0.0
+        for a in range(0, len(features), block):
+            u = mix(features[a : a + block] + _seed(k))
+            weight = (((u >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53) ** -power
+            bits = np.unpackbits(mix(u).view(np.uint8), bitorder="little").reshape(-1, 64)
+            top = weight.max()
+            ones += (weight / top).astype(np.float32) @ bits.astype(np.float32) * top
+            total += weight.sum()
+        out[k] = np.packbits(ones * 2 > total, bitorder="little").view(np.uint64)[0]
     return out
 
 
@@ -179,10 +181,12 @@ def _leaves(a, b, xs, nx, ys, ny, same, budget, limit: int = 1 << 21) -> Iterato
 
 
 def _signed(df: DataFrame, tables: int, size: int) -> DataFrame:
-    """(id, exact, n_words, codes, checks) of rows(id, text); exact is a hash of the whole text."""
+    """(id, row, exact, n_words, codes, checks) of rows(id, text); exact is a hash of the whole text, row a number."""
     import xxhash
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        number = (context.partitionId() if context else 0) << 40
         for batch in batches:
             text, raw = lowered(batch.column(1)), batch.column(1).to_pylist()
             exact = np.array([xxhash.xxh3_64_intdigest(t or "") for t in raw], np.uint64).view(np.int64)
@@ -198,11 +202,12 @@ def _signed(df: DataFrame, tables: int, size: int) -> DataFrame:
                         codes[k] = search_codes(shingles(own, size), tables)
                         checks[k] = check_code(own)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(exact), pa.array(count.astype(np.int32)), *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (codes, checks))],
-                ["id", "exact", "n_words", "codes", "checks"],
+                [batch.column(0), pa.array(np.arange(number, number + n)), pa.array(exact), pa.array(count.astype(np.int32)), *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (codes, checks))],
+                ["id", "row", "exact", "n_words", "codes", "checks"],
             )
+            number += n
 
-    return df.mapInArrow(sign, f"id {df.schema['id'].dataType.simpleString()}, exact bigint, n_words int, codes binary, checks binary")
+    return df.mapInArrow(sign, f"id {df.schema['id'].dataType.simpleString()}, row bigint, exact bigint, n_words int, codes binary, checks binary")
 
 
 def _prefix_bits(rows: int, budget: int, bucket: int) -> int:
@@ -213,17 +218,18 @@ def _prefix_bits(rows: int, budget: int, bucket: int) -> int:
     return bits
 
 
-def near_pairs(signed: DataFrame, tables: int, budget: int, check_bits: int, least_share: float, bits: int) -> DataFrame:
-    """Forest edges (a, b) of the pairs within budget in some table, confirmed by the check code.
+def near_links(texts: DataFrame, tables: int, budget: int, check_bits: int, least_share: float, bits: int) -> DataFrame:
+    """(node, links, root) from the pairs within budget in some table that the check code confirms.
 
-    signed has a unique integer column node.  Codes go to one task for each
-    pair of buckets whose prefixes differ in at most budget bits; the two
-    buckets' tries are joined there.  A task returns a spanning forest of the
-    pairs it accepts: they connect the same nodes as all its pairs.
+    texts has a unique integer column node and the number m of rows with it.
+    Codes go to one task for each pair of buckets whose prefixes differ in at
+    most budget bits; the two buckets' tries are joined there.  A task returns,
+    instead of pairs, the number of rows that each node is linked to and a
+    spanning forest, node to root, which connects the same nodes as its pairs.
+    A pair found in several tables is counted in the first of them.
     """
     near = [m for m in range(1 << bits) if m.bit_count() <= budget] if bits <= 20 else [sum(1 << p for p in c) for k in range(budget + 1) for c in itertools.combinations(range(bits), k)]
-    mask = (1 << bits) - 1
-    packed = np.dtype([("code", "<u8"), ("node", "<i8"), ("n", "<i4"), ("check", "<u8", CHECK_WORDS)])
+    packed = np.dtype([("codes", "<u8", tables), ("node", "<i8"), ("n", "<i4"), ("m", "<i4"), ("check", "<u8", CHECK_WORDS)])
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list[bytes]] = {}
@@ -239,14 +245,13 @@ def near_pairs(signed: DataFrame, tables: int, budget: int, check_bits: int, lea
 
         for batch in batches:
             n = batch.num_rows
-            codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(n, tables)
             rows = np.empty(n, packed)
-            rows["node"] = batch.column(0).to_numpy()
-            rows["n"] = batch.column(3).to_numpy()
+            rows["codes"] = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(n, tables)
             rows["check"] = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(n, CHECK_WORDS)
+            rows["node"], rows["n"], rows["m"] = (batch.column(k).to_numpy() for k in (0, 3, 4))
             for k in range(tables):
-                rows["code"] = codes[:, k]
-                bucket = (codes[:, k] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(n, np.int64)
+                code = rows["codes"][:, k]
+                bucket = (code >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(n, np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.flatnonzero(np.diff(bucket[order])) + 1
                 for part in np.split(order, cut):
@@ -260,56 +265,56 @@ def near_pairs(signed: DataFrame, tables: int, budget: int, check_bits: int, lea
             yield out()
 
     def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, high = key[1].as_py(), key[2].as_py()
+        tab, low, high = (k.as_py() for k in key)
         sides: dict[bool, list[bytes]] = {True: [], False: []}
         for batch in batches:
             for first, blob in zip(batch.column("first").to_pylist(), batch.column("rows").to_pylist(), strict=True):
                 sides[first].append(blob)
-        x = np.frombuffer(b"".join(sides[True]), packed)
-        x = x[np.argsort(x["code"], kind="stable")]
-        y = None
-        if low != high:
-            y = np.frombuffer(b"".join(sides[False]), packed)
-            y = y[np.argsort(y["code"], kind="stable")]
-        if not len(x) or (y is not None and not len(y)):
-            return
-        z = x if y is None else y
-        limit = check_bits
-        kept_a, kept_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        cx, cz = np.ascontiguousarray(x["check"]), np.ascontiguousarray(z["check"])
-        nx, nz = x["n"].astype(np.int64), z["n"].astype(np.int64)
-        code_x, code_y = np.ascontiguousarray(x["code"]), None if y is None else np.ascontiguousarray(y["code"])
-        size = 0
 
-        def forest() -> tuple[np.ndarray, np.ndarray]:
-            a, b = np.concatenate(kept_a), np.concatenate(kept_b)
-            nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-            label = components(at[: len(a)], at[len(a) :], len(nodes))
-            child = np.flatnonzero(label != np.arange(len(nodes)))
-            return nodes[child], nodes[label[child]]
+        def sorted_(blobs_: list[bytes]) -> np.ndarray:
+            rows = np.frombuffer(b"".join(blobs_), packed)
+            return rows[np.argsort(rows["codes"][:, tab], kind="stable")]
 
+        x = sorted_(sides[True])
+        y = x if low == high else sorted_(sides[False])
+        sides.clear()
+        if not len(x) or not len(y):
+            return
+        code_x, code_y = np.ascontiguousarray(x["codes"][:, tab]), None if low == high else np.ascontiguousarray(y["codes"][:, tab])
+        shift = 0 if low == high else len(x)  # of y's numbers among the nodes of both sides
+        rows = np.concatenate([x["node"], y["node"]]) if shift else x["node"]
+        links, label = np.zeros(len(rows), np.int64), np.arange(len(rows))
+        a, b, size = [], [], 0
+        nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
         for i, j in trie_join(code_x, code_y, bits, (low ^ high).bit_count(), budget):
-            ok = np.minimum(nx[i], nz[j]) >= least_share * np.maximum(nx[i], nz[j])
+            ok = np.minimum(nx[i], ny[j]) >= least_share * np.maximum(nx[i], ny[j])
             i, j = i[ok], j[ok]
             far = np.zeros(len(i), np.int16)
             for k in range(CHECK_WORDS):
-                far += np.bitwise_count(cx[i, k] ^ cz[j, k])
-            ok = far <= limit
-            kept_a.append(x["node"][i[ok]])
-            kept_b.append(z["node"][j[ok]])
-            size += int(ok.sum())
+                far += np.bitwise_count(x["check"][i, k] ^ y["check"][j, k])
+            i, j = i[far <= check_bits], j[far <= check_bits]
+            new = np.ones(len(i), bool)
+            for k in range(tab):
+                new &= np.bitwise_count(x["codes"][i, k] ^ y["codes"][j, k]) > budget
+            u, v = i[new], j[new]
+            links += (np.bincount(u, y["m"][v], len(rows)) + np.bincount(v + shift, x["m"][u], len(rows))).astype(np.int64)
+            a.append(u)
+            b.append(v + shift)
+            size += len(u)
             if size > 1 << 20:
-                a, b = forest()
-                kept_a[:], kept_b[:], size = [a], [b], 0
-        a, b = forest()
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    rows = signed.select("node", "codes", "checks", "n_words").mapInArrow(place, "tab int, bucket bigint, rows binary")
+                label = components(np.concatenate([*a, np.arange(len(rows))]), np.concatenate([*b, label]), len(rows))
+                a, b, size = [], [], 0
+        if a:
+            label = components(np.concatenate([*a, np.arange(len(rows))]), np.concatenate([*b, label]), len(rows))
+        some = np.flatnonzero(links)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[some]), pa.array(links[some]), pa.array(rows[label[some]])], ["node", "links", "root"])
+
+    rows = texts.select("node", "codes", "checks", "n_words", "m").mapInArrow(place, "tab int, bucket bigint, rows binary")
     low, high = F.least("bucket", "other"), F.greatest("bucket", "other")
     pairs = rows.withColumn("other", F.explode(F.array(*[F.lit(m).cast("bigint") for m in near]))).withColumn("other", F.col("bucket").bitwiseXOR(F.col("other")))
     pairs = pairs.select("tab", low.alias("low"), high.alias("high"), (F.col("bucket") <= F.col("other")).alias("first"), "rows")
-    return pairs.groupBy("tab", "low", "high").applyInArrow(join, "a bigint, b bigint")
+    return pairs.groupBy("tab", "low", "high").applyInArrow(join, "node bigint, links bigint, root bigint")
 
 
 def simhash_groups(
@@ -321,17 +326,18 @@ def simhash_groups(
     check_bits: int = 48,
     least_share: float = 0.7,
     shingle: int = 3,
-    bucket: int = 1 << 18,
+    bucket: int = 1 << 19,
     order_col: str | None = None,
 ) -> DataFrame:
-    """(doc_id, text_hash, group_id, group_size, kept) of every row that has a copy.
+    """(doc_id, group_id, group_size, n_links, kept) of every row.
 
-    Texts of equal 64-bit hash are copies; of distinct texts, those whose SimHash
+    Texts of equal 64-bit hash are linked; of distinct texts, those whose SimHash
     codes differ by at most budget of 64 bits in one of the tables, whose check
     codes differ by at most check_bits of 256 (an angle of about 0.6 between
     the word sets) and whose numbers of words are at least in the ratio
-    least_share.  Groups are the connected components over all documents;
-    group_id is the least doc_id of the group and its first row is kept.
+    least_share.  n_links is the number of other rows linked to the row's text.
+    Groups are the connected components over all documents; group_id is the
+    least doc_id of the group and its first row is kept.
 
     With heavy-tailed weights a copy's code is either equal or nearly so in a
     table, or far: eight tables at budget 1 find more of the copies with some
@@ -341,40 +347,55 @@ def simhash_groups(
 
     order_col, if given, orders the rows of a group instead of the id.
 
-    Nulls: a row without text belongs to no group; a null doc_id takes part and
-    is never kept while the group has another id.  Empty texts, and texts
-    without words, are copies only of texts equal to them.  Repeated rows are
-    copies of each other; one is kept.  Ties go to the lower id.  Empty table:
-    no rows.  Other columns are ignored.
+    Nulls: a row without text is in no group (group_id null, group_size 0) and
+    kept; a null doc_id takes part and is never kept while the group has
+    another id.  Empty texts, and texts without words, are linked only to texts
+    equal to them.  Very long texts count with all their words.  Repeated rows
+    are linked to each other; one is kept.  Ties go to the lower id, then to
+    the lower hash of the text.  Empty table: no rows.  Other columns are
+    ignored.
     """
-    place = df[order_col or id_col]
-    rows = df.select(F.struct(place.isNull().alias("last"), place.alias("place"), df[id_col].alias("id")).alias("id"), df[text_col].cast("string").alias("text")).where("text is not null")
-    signed = written(_signed(rows, tables, shingle), "signed")
-    # a distinct text's node is its hash: the same on every machine, and edges need no join to name it
-    texts = signed.where("n_words > 0").dropDuplicates(["exact"]).withColumnRenamed("exact", "node")
-    n = signed.count()
-    edges = near_pairs(texts, tables, budget, check_bits, least_share, _prefix_bits(n, budget, bucket))
-    labels = connected_components(edges)
-    every = signed.select("id", "exact").join(labels.withColumnRenamed("node", "exact"), "exact", "left")
-    every = every.withColumn("component", F.coalesce("component", "exact"))
-    group = Window.partitionBy("component")
-    order = Window.partitionBy("component").orderBy("id", "exact")
-    out = every.withColumn("group_id", F.min("id").over(group)).withColumn("group_size", F.count("*").over(group)).withColumn("kept", F.row_number().over(order) == 1)
-    return out.where("group_size > 1").select(F.col("id.id").alias("doc_id"), F.col("exact").alias("text_hash"), F.col("group_id.id").alias("group_id"), "group_size", "kept")
+    place, text = quoted(order_col or id_col), quoted(text_col).cast("string")
+    rows = df.select(F.struct(place.isNull().alias("last"), place.alias("place"), quoted(id_col).alias("id")).alias("id"), text.alias("text"))
+    signed = written(_signed(rows.where("text is not null"), tables, shingle), "signed")
+    # a distinct text's node is its hash: the same on every machine, and links need no join to name it;
+    # partial sums come before the shuffle, as a text or a group may hold a third of all rows
+    first = F.first(F.struct("n_words", "codes", "checks")).alias("of")
+    top = F.min(F.struct("id", "exact", "row")).alias("top")
+    texts = written(signed.groupBy("exact").agg(first, F.count("*").cast("int").alias("m"), top), "texts")
+    n = texts.count()
+    nodes = texts.where("of.n_words > 0").select(F.col("exact").alias("node"), "m", "of.*")
+    near = written(near_links(nodes, tables, budget, check_bits, least_share, _prefix_bits(n, budget, bucket)), "near")
+    labels = connected_components(near.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    known = labels.join(near.groupBy("node").agg(F.sum("links").alias("links")), "node").withColumnRenamed("node", "exact")
+    each = texts.select("exact", "m", "top").join(known, "exact", "left")
+    each = each.select("exact", "m", "top", F.coalesce("component", "exact").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    groups = each.groupBy("component").agg(F.sum("m").alias("group_size"), F.min("top").alias("first"))
+    each = each.join(groups, "component").select("exact", "n_links", "group_size", F.col("first.id.id").alias("group_id"), F.col("first.row").alias("first"))
+    out = signed.select("id", "exact", "row").join(each, "exact")
+    out = out.select(F.col("id.id").alias("doc_id"), "group_id", "group_size", "n_links", (F.col("row") == F.col("first")).alias("kept"))
+    none = df.where(text.isNull()).select(quoted(id_col).alias("doc_id"))
+    kind = none.schema["doc_id"].dataType
+    return out.unionByName(none.select("doc_id", F.lit(None).cast(kind).alias("group_id"), F.lit(0).cast("bigint").alias("group_size"), F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("kept")))
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """df with one row of each group of simhash_groups(), the one it names as kept; other rows stay as they are.
+    """df with one row of each group of simhash_groups(), the one it names as kept.
 
-    Of rows equal in id and text one stays.
+    Rows without text stay, empty and wordless texts count as copies of texts
+    equal to them.  Of rows equal in id and text the one with the least hash of
+    all its columns stays.  Of very long texts all words count.  Empty table:
+    no rows.  All columns of df are kept, whatever their names.
     """
-    key, copy, drop = unused(df, "row_key", "row_copy", "row_drop")
-    text = df[text_col].cast("string")
-    keyed = df.withColumn(key, row_key(df[id_col], text))
-    groups = simhash_groups(keyed.select(quoted(key).alias("id"), quoted(id_col).alias("order"), quoted(text_col).alias("text")), "id", "text", order_col="order", **options)
+    key, drop = unused(df, "row_key", "row_drop")
+    text = quoted(text_col).cast("string")
+    keyed = df.withColumn(key, F.when(text.isNotNull(), row_key(quoted(id_col), text)))
+    groups = simhash_groups(keyed.select(quoted(key).alias("id"), quoted(id_col).alias("order"), quoted(text_col).alias("text")).where("id is not null"), "id", "text", order_col="order", **options)
     # the kept row's own repeats have its key: of them the first stays
     lost = written(groups.groupBy("doc_id").agg(F.max(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).where("kept = 0 or n > 1"), "lost")
-    lost = lost.select(F.col("doc_id").alias(key), (F.col("kept") == 0).alias(drop))
-    both = keyed.join(lost, key, "left")
-    again = both.where(quoted(drop) == F.lit(False)).dropDuplicates([key])
-    return both.where(quoted(drop).isNull()).unionByName(again).select(*[quoted(c) for c in df.columns])
+    both = keyed.join(lost.select(F.col("doc_id").alias(key), (F.col("kept") == 0).alias(drop)), key, "left")
+    columns = [quoted(c) for c in df.columns]
+    row = F.struct(*[quoted(c).alias(f"c{k}") for k, c in enumerate(df.columns)])
+    again = both.where(quoted(drop) == F.lit(False)).groupBy(quoted(key).alias("key")).agg(F.min_by(row, F.xxhash64(*columns)).alias("row"))
+    again = again.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(df.columns)])
+    return both.where(quoted(drop).isNull()).select(*columns).union(again)
