@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from textloom.llm.decontaminate import KINDS, leaks, match_block
+from textloom.llm.decontaminate import KINDS, Wanted, decontaminated, leaks, match_block
 
 
 def brute(docs, item, phrase, share, slop):
@@ -78,3 +78,28 @@ def test_edge_cases(spark):
     assert leaks(spark.createDataFrame(docs, schema), bench.limit(0)).collect() == []
     parts = leaks(spark.createDataFrame(docs, schema), bench.union(bench), query_bytes=16)
     assert parts.count() == 10
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_no_wanted_item_is_passed_over(seed):
+    rng = random.Random(seed)
+    items = [np.array([rng.randrange(40) for _ in range(rng.randint(1, 20))], np.uint64) for _ in range(30)]
+    docs = [[rng.randrange(20) for _ in range(rng.randint(0, 30))] for _ in range(5)] + [[int(x) for x in items[3]] * 2]
+    parts = block(docs)
+    wanted = Wanted.of(items, 6, 0.8, 5)
+    among = wanted.among(parts[1])
+    assert 3 in among and among == sorted(among)
+    for i, q in enumerate(items):
+        near = len(q) >= 5
+        if match_block(*parts, q, 6 if near else len(q), 0.8 if near else 1.0, 2 if near else 0):
+            assert i in among
+    assert Wanted.of([], 6, 0.8, 5).among(parts[1]) == []
+
+
+def test_short_items_match_exactly(spark):
+    docs = spark.createDataFrame([(1, "Say: open sesame!", "k"), (2, "open the sesame", "k"), (3, "sesame", "k"), (4, None, "k")], "doc_id bigint, text string, row_key string")
+    bench = spark.createDataFrame([(1, "Open Sesame"), (2, "sesame"), (3, ""), (4, None)], "item_id int, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["kind"]) for r in leaks(docs, bench).collect())
+    assert got == [(1, 1, "exact"), (1, 2, "exact"), (2, 2, "exact"), (3, 2, "exact")]
+    assert decontaminated(docs, bench).count() == 4
+    assert [r["doc_id"] for r in decontaminated(docs, bench, least_words=2).orderBy("doc_id").collect()] == [2, 3, 4]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import quoted, unused, whole
 from textloom.llm.sentences import row_key
 from textloom.llm.words import Buffer, lowered, slices, words
-from textloom.storage import written
+from textloom.storage import dropped, written
 
 KINDS = ("exact", "phrase", "proximity")
 MATCHES = "key bigint, item_id {item}, kind string, place int, matched int, item_words int"
@@ -55,10 +56,39 @@ def positional_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     ["docs", "first", "terms", "bounds", "places"],
                 )
 
-    rows = df.select(df[id_col].alias("key"), df[text_col].cast("string").alias("text")).where("text is not null")
+    rows = df.select(quoted(id_col).alias("key"), quoted(text_col).cast("string").alias("text")).where("text is not null")
     return rows.mapInArrow(build, f"docs array<{rows.schema['key'].dataType.simpleString()}>, first binary, terms binary, bounds binary, places binary")
 
 
+class Wanted(NamedTuple):
+    """The words of a part of the items, to tell which items a block may hold."""
+
+    terms: np.ndarray  # distinct, ascending
+    word: np.ndarray  # of every item one after the other, its place in terms
+    first: np.ndarray  # where each item begins
+    need: np.ndarray  # words in a row that a phrase takes
+    quorum: np.ndarray  # words that a proximity match takes
+
+    @classmethod
+    def of(cls, items: list[np.ndarray], phrase: int, share: float, near_words: int) -> Wanted:
+        size = np.array([len(x) for x in items], np.int64)
+        terms, word = np.unique(np.concatenate(items or [np.zeros(0, np.uint64)]), return_inverse=True)
+        short = size < near_words
+        return cls(terms, word, np.cumsum(size) - size, np.where(short, size, np.minimum(phrase, size)), np.where(short, size, np.ceil(share * size - 1e-9)).astype(np.int64))
+
+    def among(self, terms: np.ndarray) -> list[int]:
+        """The items of which the sorted terms have a long enough run of words, or enough words."""
+        if not len(self.first):
+            return []
+        there = _among(terms, self.terms)[self.word]
+        at = np.arange(len(there))
+        gap = np.where(there, -1, at)
+        gap[self.first] = np.maximum(gap[self.first], self.first - 1)
+        run = at - np.maximum.accumulate(gap)
+        longest, number = np.maximum.reduceat(run, self.first), np.add.reduceat(there.astype(np.int64), self.first)
+        return np.flatnonzero((longest >= self.need) | (number >= self.quorum)).tolist()
+
+
 def _among(lists: np.ndarray, want: np.ndarray) -> np.ndarray:
     """Whether each wanted place is in the ascending list."""
     at = np.searchsorted(lists, want)
@@ -180,7 +210,7 @@ def _runs_inside(hit: np.ndarray, start: np.ndarray, first: np.ndarray) -> tuple
     return best, offset
 
 
-def search_index(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text", phrase: int = 13, share: float = 0.8, slop: int = 4, min_words: int = 5, query_bytes: int = 32 << 20) -> DataFrame:
+def search_index(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text", phrase: int = 13, share: float = 0.8, slop: int = 4, near_words: int = 5, query_bytes: int = 32 << 20) -> DataFrame:
     """(key, item_id, kind, place, matched, item_words): the best match of each item in each document.
 
     * exact: all the item's words in a row;
@@ -188,11 +218,13 @@ def search_index(index: DataFrame, items: DataFrame, item_col: str = "item_id",
     * proximity: at least share of its words, each within slop places of where
       it would stand if the item began at the same place.
 
-    Items with fewer than min_words words are not searched.  The items go to
-    the shards in parts of at most query_bytes, one search for each part.
+    Items with fewer than near_words words match exactly or not at all; those
+    without words match nothing.  The items go to the shards in parts of at
+    most query_bytes, one search for each part; of a part, only items whose
+    words a block has are looked up in it.
     """
-    kind = items.schema[item_col].dataType
-    rows = items.select(items[item_col].alias("item"), items[text_col].cast("string").alias("text")).where("text is not null")
+    rows = items.select(quoted(item_col).alias("item"), quoted(text_col).cast("string").alias("text")).where("text is not null")
+    kind = rows.schema["item"].dataType
     parts = max(1, -(-int(rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]) // query_bytes))
     type_ = MATCHES.format(item=kind.simpleString())
     rows = rows.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)))
@@ -201,7 +233,8 @@ def search_index(index: DataFrame, items: DataFrame, item_col: str = "item_id",
         own = rows.where(F.col("part") == part).toArrow()
         text = lowered(own.column("text").combine_chunks()) if own.num_rows else None
         w = words(text) if text is not None else None
-        queries = [(i, w.hash[w.bounds[i] : w.bounds[i + 1]]) for i in range(own.num_rows) if w.bounds[i + 1] - w.bounds[i] >= min_words]
+        queries = [(i, w.hash[w.bounds[i] : w.bounds[i + 1]]) for i in range(own.num_rows) if w.bounds[i + 1] > w.bounds[i]]
+        wanted = Wanted.of([q for _, q in queries], phrase, share, near_words)
         names = own.column("item").combine_chunks() if own.num_rows else pa.array([], own.schema.field("item").type)
 
         def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,8 +243,9 @@ def search_index(index: DataFrame, items: DataFrame, item_col: str = "item_id",
                     first, terms, bounds, places = (np.frombuffer(batch.column(k)[b].as_py(), t) for k, t in ((1, np.uint32), (2, np.uint64), (3, np.uint32), (4, np.uint32)))
                     first, bounds = first.astype(np.int64), bounds.astype(np.int64)
                     doc, item, kinds, place, matched, size = [], [], [], [], [], []
-                    for i, q in queries:
-                        for d, k, p, n in match_block(first, terms, bounds, places, q, phrase, share, slop):
+                    for i, q in (queries[c] for c in wanted.among(terms)):
+                        near = len(q) >= near_words
+                        for d, k, p, n in match_block(first, terms, bounds, places, q, phrase if near else len(q), share if near else 1.0, slop if near else 0):
                             doc.append(d)
                             item.append(i)
                             kinds.append(KINDS[k])
@@ -246,11 +280,19 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     return search_index(index, benchmark, item_col, item_text, **options).withColumnRenamed("key", "doc_id")
 
 
-def decontaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **options) -> DataFrame:
-    """df without the rows that hold a benchmark item by leaks(); null texts stay."""
+def decontaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least_words: int = 5, **options) -> DataFrame:
+    """df without the rows that hold a benchmark item by leaks().
+
+    An item of fewer than least_words words, such as a single common word, is
+    reported by leaks() but is no reason to drop a document.  Null and empty
+    texts stay, null ids and repeated rows are judged by their texts, very long
+    texts are searched whole.  Empty tables: df as it is.  Columns of any name
+    are kept.
+    """
     (key,) = unused(df, "row_key")
-    keyed = df.withColumn(key, row_key(df[id_col], df[text_col].cast("string")))
+    keyed = df.withColumn(key, row_key(quoted(id_col), quoted(text_col).cast("string")))
     index = written(positional_index(keyed, key, text_col), "postings")
-    found = written(search_index(index, benchmark, item_col, item_text, **options).select("key").distinct(), "leaks")
-    bad = found.select(F.col("key").alias(key))
-    return keyed.join(bad, key, "left_anti").select(*[quoted(c) for c in df.columns])
+    found = search_index(index, benchmark, item_col, item_text, **options).where(F.col("item_words") >= least_words)
+    found = written(found.select("key").distinct(), "leaks")
+    dropped(index)
+    return keyed.join(found.select(F.col("key").alias(key)), key, "left_anti").select(*[quoted(c) for c in df.columns])
