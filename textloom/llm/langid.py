@@ -102,7 +102,7 @@ def document_frequencies(df: DataFrame, text_col: str, bits: int) -> tuple[np.nd
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), blobs([total]), pa.array([n], pa.int64())], ["part", "counts", "n"])
 
     schema = "part int, counts binary, n bigint"
-    rows = df.select(df[text_col].cast("string").alias("text")).where("text is not null").mapInArrow(count, schema)
+    rows = df.select(quoted(text_col).cast("string").alias("text")).where("text is not null").mapInArrow(count, schema)
     total, n = np.zeros(1 << bits, np.int64), 0
     for part, counts, k in rows.groupBy("part").applyInArrow(add, schema).collect():
         total[part * PART : (part + 1) * PART] = np.frombuffer(bytes(counts), np.int64)
@@ -184,7 +184,7 @@ def fit(
     label are not sampled; repeated rows count once for all.
     """
     frequency, n = document_frequencies(df, text_col, bits)
-    rows = df.select(df[text_col].cast("string").alias("text"), df[label_col].cast("string").alias("label")).where("text is not null and label is not null")
+    rows = df.select(quoted(text_col).cast("string").alias("text"), quoted(label_col).cast("string").alias("label")).where("text is not null and label is not null")
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     classes = sorted(counts)
     share = {c: max_train_rows / len(classes) / counts[c] for c in classes}
@@ -281,12 +281,12 @@ def identified(df: DataFrame, model: Model, text_col: str = "text", lang_col: st
         prob = pc.if_else(unknown, None, pa.array(p))
         return pa.StructArray.from_arrays([lang, prob], ["lang", "prob"])
 
-    both = "_guess_" + prob_col
-    text = df[text_col].cast("string")
+    (both,) = unused(df, "language_guess")
+    text = quoted(text_col).cast("string")
     if not model.classes:
         return df.withColumns({lang_col: F.lit(None).cast("string"), prob_col: F.lit(None).cast("double")})
     out = df.withColumn(both, guess(text))
-    return out.withColumns({lang_col: F.col(f"{both}.lang"), prob_col: F.col(f"{both}.prob")}).drop(both)
+    return out.withColumns({lang_col: quoted(both)["lang"], prob_col: quoted(both)["prob"]}).drop(both)
 
 
 def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", min_prob: float | None = None, **options) -> DataFrame:
@@ -303,13 +303,18 @@ def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     no rows.  Other columns are ignored.
     """
     model = fit(df, text_col, label_col, **options)
-    rows = df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"))
+    rows = df.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     out = identified(rows, model)
     return out.select("doc_id", "pred_lang", "pred_prob", F.coalesce(F.col("pred_prob") >= (model.min_prob if min_prob is None else min_prob), F.lit(False)).alias("accepted"))
 
 
 def filtered(df: DataFrame, text_col: str = "text", label_col: str = "lang", min_prob: float | None = None, **options) -> DataFrame:
-    """The rows of df that language_id() accepts, in its columns."""
+    """The rows of df that language_id() accepts, in its columns.
+
+    Null, empty and blank texts go, as do those in no known language; very long
+    texts are judged by all their n-grams.  Null ids and repeated rows are kept
+    by their texts alone.  Empty table: no rows.  Columns of any name are kept.
+    """
     lang, prob = unused(df, "pred_lang", "pred_prob")
     model = fit(df, text_col, label_col, **options)
     return identified(df, model, text_col, lang, prob).where(quoted(prob) >= (model.min_prob if min_prob is None else min_prob)).select(*[quoted(c) for c in df.columns])

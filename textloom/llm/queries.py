@@ -44,7 +44,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages, written as segmented records with chunked bodies and put together again."""
     out = reassembled(segmented(table(spark, sf_dir, "pages")))
-    page = F.regexp_extract("record_id", r"(\d+)$", 1).cast("bigint")
+    page = F.nullif(F.regexp_extract("record_id", r"^urn:page:(-?\d*):", 1), F.lit("")).cast("bigint")
     return out.select(page.alias("page_id"), "target_uri", "status", F.decode("body", "UTF-8").alias("html"))
 
 

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-import gzip
 import io
+import urllib.parse
+import zlib
 from collections.abc import Iterable, Iterator
-from typing import NamedTuple
+from typing import BinaryIO, NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import whole
+from textloom.llm.common import quoted, whole
 
 RECORDS = "record_id string, warc_type string, origin_id string, segment_number int, total_length bigint, target_uri string, block binary"
+NAMES = [x.split()[0] for x in RECORDS.split(", ")]
 WHOLE = "record_id string, target_uri string, segments int, length bigint, status string, http_status int, body binary"
 
 
+DAMAGED = "damaged"  # the type of a record that can't be read
+
+
 class Message(NamedTuple):
     status: int | None
     headers: dict[str, str]
@@ -85,7 +90,7 @@ def message(block: bytes) -> Message:
 def assembled(origin: str, parts: list[dict]) -> dict:
     """The whole record of the parts of one origin; status says what is wrong with it.
 
-    ok; no_first (segment 1 is missing); bad_number (a continuation without a
+    ok; bad_record (one whose headers or block can't be read); no_first (segment 1 is missing); bad_number (a continuation without a
     number above 1); conflict (two different segments of one number);
     missing_segment (a gap, or a segment without content); unterminated (the
     last segment states no total length); length_mismatch; bad_framing.
@@ -94,12 +99,15 @@ def assembled(origin: str, parts: list[dict]) -> dict:
     status = "ok"
     for p in parts:
         number = p["segment_number"]
+        if p["warc_type"] == DAMAGED:
+            status = "bad_record"
+            continue
         if number is None and p["warc_type"] != "continuation":
             number = 1
         if number is None or number < 1 or (p["warc_type"] == "continuation") != (number > 1):
-            status = "bad_number"
+            status = "bad_number" if status == "ok" else status
             continue
-        if number in by and (by[number]["block"] != p["block"] or by[number]["total_length"] != p["total_length"]):
+        if status == "ok" and number in by and (by[number]["block"] != p["block"] or by[number]["total_length"] != p["total_length"]):
             status = "conflict"
         by.setdefault(number, p)
     numbers = sorted(by)
@@ -146,8 +154,7 @@ def reassembled(records: DataFrame) -> DataFrame:
     Repeated equal segments count once; see assembled() for what else a status
     says.  body is null unless the status is ok.  Empty table: no rows.
     """
-    names = [x.split()[0] for x in RECORDS.split(", ")]
-    rows = records.select(*[records[c] for c in names]).withColumn("origin", F.coalesce(F.when(F.col("warc_type") == "continuation", F.col("origin_id")), F.when(F.coalesce(F.col("warc_type"), F.lit("")) != "continuation", F.col("record_id"))))
+    rows = records.select(*[quoted(c) for c in NAMES]).withColumn("origin", F.coalesce(F.when(F.col("warc_type") == "continuation", F.col("origin_id")), F.when(F.coalesce(F.col("warc_type"), F.lit("")) != "continuation", F.col("record_id"))))
     schema = pa.schema([("record_id", pa.string()), ("target_uri", pa.string()), ("segments", pa.int32()), ("length", pa.int64()), ("status", pa.string()), ("http_status", pa.int32()), ("body", pa.binary())])
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +163,7 @@ def reassembled(records: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 own = r.pop("origin")
                 if own is None:
-                    out.append({"record_id": None, "target_uri": r["target_uri"], "segments": 1, "length": len(r["block"] or b""), "status": "no_id", "http_status": None, "body": None})
+                    out.append({"record_id": None, "target_uri": r["target_uri"], "segments": 1, "length": len(r["block"] or b""), "status": "bad_record" if r["warc_type"] == DAMAGED else "no_id", "http_status": None, "body": None})
                     continue
                 if own != origin:
                     if held:
@@ -180,19 +187,21 @@ def reassembled(records: DataFrame) -> DataFrame:
 def segmented(df: DataFrame, id_col: str = "page_id", uri_col: str = "url", body_col: str = "html", segment_bytes: int = 2048, chunk_bytes: int = 1500) -> DataFrame:
     """Rows as HTTP response records with chunked bodies, cut into segments of at most segment_bytes.
 
-    Rows without a body are left out. The record of id x is ``urn:page:x``, or
-    ``urn:page:`` for a null id.
+    Rows without a body are left out, an empty body is a record.  The record of
+    a row with id x is ``urn:page:x:n``, ``urn:page::n`` for a null id, n being
+    a number of the row, so that repeated ids and repeated rows each give a
+    record of their own.  Very long bodies give as many segments as they need.
+    A null uri is kept.  Empty table: no records.  Other columns are ignored.
     """
     schema = pa.schema([("record_id", pa.string()), ("warc_type", pa.string()), ("origin_id", pa.string()), ("segment_number", pa.int32()), ("total_length", pa.int64()), ("target_uri", pa.string()), ("block", pa.binary())])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole(batches, 8 << 20):
-            ids, uris, bodies = (c.to_pylist() for c in batch.columns)
             cols: list[list] = [[] for _ in range(7)]
-            for name, uri, body in zip(ids, uris, bodies, strict=True):
+            for name, number, uri, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(body.encode(), chunk_bytes)
                 parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
-                origin = f"urn:page:{'' if name is None else name}"
+                origin = f"urn:page:{'' if name is None else name}:{number}"
                 last = len(parts)
                 for k, part in enumerate(parts, 1):
                     row = (origin if k == 1 else f"{origin}#{k}", "response" if k == 1 else "continuation", None if k == 1 else origin, k, len(block) if k == last else None, uri if k == 1 else None, part)
@@ -200,35 +209,104 @@ def segmented(df: DataFrame, id_col: str = "page_id", uri_col: str = "url", body
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
 
-    rows = df.select(df[id_col].cast("string").alias("id"), df[uri_col].alias("uri"), df[body_col].alias("body")).where("body is not null")
-    return rows.mapInArrow(cut, RECORDS)
+    rows = df.select(quoted(id_col).cast("string").alias("id"), F.monotonically_increasing_id().alias("number"), quoted(uri_col).cast("string").alias("uri"), quoted(body_col).cast("string").alias("body"))
+    return rows.where("body is not null").mapInArrow(cut, RECORDS)
+
+
+class Inflated(io.RawIOBase):
+    """The content of gzip members one after the other; what comes before a break is given, then broken is set."""
+
+    def __init__(self, source: BinaryIO):
+        self.source, self.member, self.rest, self.broken = source, None, b"", False
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, target) -> int:
+        while not self.broken:
+            data = self.rest or self.source.read(1 << 16)
+            self.rest = b""
+            if not data:
+                self.broken = self.member is not None
+                break
+            try:
+                self.member = self.member or zlib.decompressobj(31)
+                out = self.member.decompress(data, len(target))
+                self.rest = self.member.unconsumed_tail or self.member.unused_data
+                if self.member.eof:
+                    self.member = None
+            except zlib.error:
+                self.broken = True
+                break
+            if out:
+                target[: len(out)] = out
+                return len(out)
+        return 0
+
+
+def parsed(source: bytes | BinaryIO) -> Iterator[dict]:
+    """The records of a WARC file, plain or compressed record by record, read one at a time.
+
+    What can't be read gives a record of type ``damaged`` with a null block: one
+    without a usable length or segment number, one that is cut off, bytes that
+    are no record, the place where compression breaks.  Reading goes on at the
+    next line that begins a record, except after broken compression.
+    """
+    source = io.BufferedReader(io.BytesIO(source) if isinstance(source, bytes) else source)  # type: ignore[arg-type]
+    if source.peek(2)[:2] != b"\x1f\x8b":
+        yield from _records(source)
+        return
+    inflated = Inflated(source)
+    last = None
+    for last in _records(io.BufferedReader(inflated)):
+        yield last
+    if inflated.broken and (last is None or last["warc_type"] != DAMAGED):
+        yield dict(BAD)
 
 
-def parsed(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file, plain or compressed record by record."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    source = io.BytesIO(data)
-    while line := source.readline():
+BAD = dict.fromkeys(NAMES) | {"warc_type": DAMAGED}
+
+
+def _records(source: io.BufferedReader) -> Iterator[dict]:
+    line = source.readline()
+    while line:
         if not line.strip():
+            line = source.readline()
             continue
         if not line.startswith(b"WARC/"):
-            raise ValueError("not a WARC record")
+            yield dict(BAD)
+            while line and not line.startswith(b"WARC/"):
+                line = source.readline()
+            continue
         head: dict[str, str] = {}
         while (line := source.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             head[name.strip().lower()] = value.strip()
-        block = source.read(int(head.get("content-length", 0)))
-        number, total = head.get("warc-segment-number"), head.get("warc-segment-total-length")
-        yield {
+        size, number, total = (head.get(k) for k in ("content-length", "warc-segment-number", "warc-segment-total-length"))
+        record = {
             "record_id": head.get("warc-record-id"),
             "warc_type": head.get("warc-type"),
             "origin_id": head.get("warc-segment-origin-id"),
-            "segment_number": int(number) if number else None,
-            "total_length": int(total) if total else None,
+            "segment_number": None,
+            "total_length": None,
             "target_uri": head.get("warc-target-uri"),
-            "block": block,
+            "block": None,
         }
+        if not _number(size, 1 << 62) or not _number(number or "1", 1 << 31) or not _number(total or "0", 1 << 62):
+            yield record | {"record_id": record["origin_id"] or record["record_id"], "warc_type": DAMAGED}
+            while (line := source.readline()) and not line.startswith(b"WARC/"):
+                pass
+            continue
+        block = source.read(int(size))
+        if len(block) < int(size):
+            yield record | {"record_id": record["origin_id"] or record["record_id"], "warc_type": DAMAGED}
+            return
+        yield record | {"segment_number": int(number) if number else None, "total_length": int(total) if total else None, "block": block}
+        line = source.readline()
+
+
+def _number(text: str | None, limit: int) -> bool:
+    return text is not None and text.isascii() and text.isdigit() and int(text) < limit
 
 
 def formatted(record: dict) -> bytes:
@@ -247,20 +325,32 @@ def formatted(record: dict) -> bytes:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files under a path, one task per file or group of files."""
+    """The records of all WARC files under a path, one task per file or group of files.
+
+    Workers open the files themselves and stream them, so that a file may be
+    larger than memory; what can't be read gives damaged records, see parsed().
+    An empty file gives no records.
+    """
     schema = pa.schema([("record_id", pa.string()), ("warc_type", pa.string()), ("origin_id", pa.string()), ("segment_number", pa.int32()), ("total_length", pa.int64()), ("target_uri", pa.string()), ("block", pa.binary())])
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0):
+        import pyarrow.fs
+
+        for name in (x.as_py() for batch in batches for x in batch.column(0)):
+            scheme, _, rest = name.partition(":")
+            place = "file://" + urllib.parse.unquote(rest.removeprefix("//")) if scheme == "file" else name.replace("s3a:", "s3:", 1)
+            store, file = (pa.fs.LocalFileSystem(), place.removeprefix("file://")) if scheme == "file" else pa.fs.FileSystem.from_uri(place)
+            with store.open_input_stream(file, compression=None) as source:
                 held, size = [], 0
-                for r in parsed(data.as_py()):
+                for r in parsed(source):
                     held.append(r)
-                    size += len(r["block"])
+                    size += len(r["block"] or b"")
                     if size > 8 << 20:
                         yield pa.RecordBatch.from_pylist(held, schema)
                         held, size = [], 0
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema)
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(parse, RECORDS)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    parts = max(1, files.count())
+    return files.select("path").repartition(min(parts, 4 * spark.sparkContext.defaultParallelism), "path").mapInArrow(parse, RECORDS)
