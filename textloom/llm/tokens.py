@@ -10,16 +10,17 @@ from __future__ import annotations
 import base64
 import functools
 import os
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from textloom.llm.common import TOKENIZERS, blobs, whole
+from textloom.llm.common import TOKENIZERS, blobs, quoted, whole
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -35,29 +36,51 @@ def encoder(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_SAFE = re.compile(r"(?<=[^\W\d_])(?= [^\W\d_])")
+#: A match of PATTERN ends at each of these places, whatever follows, and the next begins there.
+_SAFE = regex.compile(r"(?<=\P{White_Space})(?=\p{White_Space})|(?<=\p{L})(?=[^\p{White_Space}\p{L}\p{N}'])")
+_BLANK = regex.compile(r"\p{White_Space}{4096,}")
+_BLANKS = regex.compile(r"\p{White_Space}*+")
 
 
 def safe_pieces(text: str, limit: int) -> list[str]:
     """text cut into pieces of about limit characters that encode independently.
 
-    A cut lies between a letter and a single space before a letter: PATTERN
-    ends a match there whatever follows, so the pieces' tokens are the text's.
-    Where no such place exists the piece is longer.
+    A cut lies before white space that follows something else, or between a
+    letter and a mark other than an apostrophe.  A long run of white space but
+    its last character is a piece of its own: PATTERN matches it as one, while
+    the last character belongs to what follows.  Where no such place exists,
+    as in a run of letters, the piece is longer.
     """
     if len(text) <= limit:
         return [text]
-    out, at = [], 0
-    while len(text) - at > limit:
-        cut = _SAFE.search(text, at + limit)
-        if cut is None:
-            break
-        out.append(text[at : cut.start()])
-        at = cut.start()
-    out.append(text[at:])
+    out: list[str] = []
+
+    def cut(at: int, end: int) -> None:
+        while end - at > limit:
+            place = _SAFE.search(text, at + limit, end)
+            if place is None or place.start() >= end:
+                break
+            out.append(text[at : place.start()])
+            at = place.start()
+        if end > at:
+            out.append(text[at:end])
+
+    at = 0
+    for run in _BLANK.finditer(text):
+        cut(at, run.start())
+        at = run.end() if run.end() == len(text) else run.end() - 1
+        out.append(text[run.start() : at])
+    cut(at, len(text))
     return out
 
 
+def encoded(encoding, pieces: list[str]) -> list[list[int]]:
+    """Token ids of each piece; a long run of white space is one match, which the pattern's engine can't hold."""
+    blank = [len(p) >= 4095 and _BLANKS.fullmatch(p) is not None for p in pieces]
+    rest = iter(encoding.encode_ordinary_batch([p for p, b in zip(pieces, blank, strict=True) if not b], num_threads=1))
+    return [encoding._core_bpe.encode_single_piece(p.encode()) if b else next(rest) for p, b in zip(pieces, blank, strict=True)]
+
+
 def token_counts(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -69,43 +92,51 @@ def token_counts(
 ) -> DataFrame:
     """(doc_id, n_tokens, n_bytes) of every row; the ids never leave the encoder.
 
-    Texts longer than piece_chars are split at safe boundaries; the pieces of a
-    partition are gathered into batches of about batch_bytes, longest first
-    within a batch, so that no batch is a single giant text beside many empty
-    ones.  Equal texts of an Arrow batch are encoded once.
+    Texts longer than piece_chars are split at safe boundaries.  The pieces of
+    a partition, over the bounds of Arrow batches, go to the encoder in batches
+    of about batch_bytes of UTF-8 each, so that none is a single giant text
+    beside many empty ones.  Equal texts of an Arrow batch are encoded once.
 
-    Null text: null counts.  Empty text: 0.  A null id is kept.  Repeated rows
-    each give a row.  Empty table: no rows.  Other columns are ignored.
+    Null text: null counts.  Empty text: 0.  Of very long texts all is counted;
+    one without any safe boundary is one piece.  A null id is kept.  Repeated
+    rows each give a row.  Empty table: no rows.  Other columns are ignored.
     """
     path = f"{tokenizer_dir}/{ranks}"
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encoding = encoder(path)
+        held: list[tuple[np.ndarray, int, str]] = []  # where to add the count of a piece
+        waiting: list[tuple[pa.RecordBatch, pa.Array, np.ndarray]] = []
+        size = 0
+
+        def flush() -> None:
+            for (total, k, _), ids in zip(held, encoded(encoding, [p for _, _, p in held]), strict=True):
+                total[k] += len(ids)
+            held.clear()
+
+        def out(done: list[tuple[pa.RecordBatch, pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for batch, indices, total in done:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pc.take(pa.array(total), indices), pc.binary_length(batch.column(1)).cast(pa.int64())], ["doc_id", "n_tokens", "n_bytes"])
+
         for batch in batches:
             distinct = batch.column(1).dictionary_encode()
-            texts = distinct.dictionary.to_pylist()
-            total = np.zeros(len(texts), np.int64)
-            held: list[tuple[int, str]] = []
-            size = 0
-
-            def flush() -> None:
-                held.sort(key=lambda x: -len(x[1]))
-                for k, ids in zip([k for k, _ in held], map(encode, [t for _, t in held]), strict=True):
-                    total[k] += len(ids)
-                held.clear()
-
-            for k, text in enumerate(texts):
+            total = np.zeros(len(distinct.dictionary), np.int64)
+            lengths = pc.binary_length(distinct.dictionary).to_pylist()
+            for k, (text, n) in enumerate(zip(distinct.dictionary.to_pylist(), lengths, strict=True)):
                 for piece in safe_pieces(text, piece_chars):
-                    held.append((k, piece))
-                    size += len(piece)
+                    held.append((total, k, piece))
+                    size += n if len(piece) == len(text) else len(piece.encode())
                     if size >= batch_bytes:
                         flush()
                         size = 0
-            flush()
-            n = pc.take(pa.array(total), distinct.indices)
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, pc.binary_length(batch.column(1)).cast(pa.int64())], ["doc_id", "n_tokens", "n_bytes"])
-
-    rows = df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"))
+            waiting.append((batch, distinct.indices, total))
+            first = next((i for i, w in enumerate(waiting) if held and w[2] is held[0][0]), len(waiting))
+            done, waiting[:] = waiting[:first], waiting[first:]  # pieces are held in order: what lies before the first is counted
+            yield from out(done)
+        flush()
+        yield from out(waiting)
+
+    rows = df.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     return rows.mapInArrow(count, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, n_bytes bigint")
 
 
@@ -210,7 +241,7 @@ def pack_tokens(
     kind = np.uint16 if width <= 1 << 16 else np.int32
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encoding = encoder(path)
         context = TaskContext.get()
         shard = context.partitionId() if context else 0
         steps = np.arange(width, dtype=kind)
@@ -218,12 +249,7 @@ def pack_tokens(
             batch = batch.filter(pc.is_valid(batch.column(1)))
             distinct = batch.column(1).dictionary_encode()
             tail = [] if end_id is None else [end_id]
-            ids = []
-            for text in distinct.dictionary.to_pylist():
-                tokens: list[int] = []
-                for piece in safe_pieces(text, piece_chars):
-                    tokens += encode(piece)
-                ids.append(np.array(tokens + tail, np.int32))
+            ids = [np.array(sum(encoded(encoding, safe_pieces(text, piece_chars)), []) + tail, np.int32) for text in distinct.dictionary.to_pylist()]
             which = distinct.indices.to_numpy()
             sizes = np.array([len(x) for x in ids], np.int64)[which] if len(which) else np.zeros(0, np.int64)
             parts = -(-sizes // width)
@@ -265,10 +291,73 @@ def pack_tokens(
                     ["shard", "block", "row", "n_tokens", "input_ids", "position_ids", "cu_seqlens", "doc_ids", "segments"],
                 )
 
-    rows = df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"))
+    rows = df.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     return rows.mapInArrow(pack, PACKED.format(id=rows.schema["doc_id"].dataType.simpleString()))
 
 
+MATRICES = "name string, rows int, width int, segments bigint, position_bytes int"
+
+
+def write_packed(packed: DataFrame, uri: str, max_rows: int = 1 << 15) -> list[dict]:
+    """Rows of pack_tokens() as binary files in the folder uri, and the list of them.
+
+    A name of the list stands for four little-endian files: ``.ids`` the int32
+    matrix of token ids, row after row, ``.pos`` the matrix of position ids,
+    ``.cu`` int64 lengths of segments added up over the file's rows, where
+    each row begins a new one and padding counts as one, ``.docs`` the doc_ids
+    of the segments as a Parquet table.  A matrix has at most max_rows rows.
+
+    Every attempt of a task writes files of its own; ``index.json``, written
+    last, names only those of the attempts that counted, so that lost and
+    repeated tasks leave files that nothing reads.  Empty table: an empty list.
+    """
+    import json
+    import uuid
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        store, folder = pa.fs.FileSystem.from_uri(uri)
+        for batch in (b.slice(a, max_rows) for b in whole(batches, 64 << 20) for a in range(0, b.num_rows, max_rows)):
+            name = uuid.uuid4().hex
+            ids, places = (batch.column(c).to_pylist() for c in ("input_ids", "position_ids"))
+            width = len(ids[0]) // 4
+            cuts = [c if c[-1] == width else [*c, width] for c in batch.column("cu_seqlens").to_pylist()]
+            ends = np.concatenate([np.array(c[1:] if k else c, np.int64) + k * width for k, c in enumerate(cuts)])
+            for kind, data in (("ids", b"".join(ids)), ("pos", b"".join(places)), ("cu", ends.tobytes())):
+                with store.open_output_stream(f"{folder}/{name}.{kind}") as out:
+                    out.write(data)
+            number = np.repeat(np.arange(batch.num_rows, dtype=np.int32), pc.list_value_length(batch.column("doc_ids")).to_numpy())
+            docs = pa.table({"row": pa.array(number), "doc_id": batch.column("doc_ids").flatten(), "segment": batch.column("segments").flatten()})
+            pq.write_table(docs, f"{folder}/{name}.docs", filesystem=store)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([x], t) for x, t in ((batch.num_rows, pa.int32()), (width, pa.int32()), (len(ends) - 1, pa.int64()), (len(places[0]) // width, pa.int32())))], [x.split()[0] for x in MATRICES.split(", ")])
+
+    store, folder = pa.fs.FileSystem.from_uri(uri)
+    store.create_dir(folder, recursive=True)
+    names = sorted((r.asDict() for r in packed.mapInArrow(write, MATRICES).toLocalIterator()), key=lambda r: r["name"])
+    with store.open_output_stream(f"{folder}/index.json") as out:
+        out.write(json.dumps(names).encode())
+    return names
+
+
+def read_packed(uri: str) -> Iterator[dict]:
+    """The matrices of write_packed(): ids, positions, cu_seqlens and the table of documents of each file."""
+    import json
+
+    import pyarrow.parquet as pq
+
+    store, folder = pa.fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(f"{folder}/index.json") as source:
+        names = json.loads(source.read())
+    for r in names:
+        data = {}
+        for kind, t in (("ids", np.int32), ("pos", np.uint16 if r["position_bytes"] == 2 else np.int32), ("cu", np.int64)):
+            with store.open_input_stream(f"{folder}/{r['name']}.{kind}") as source:
+                data[kind] = np.frombuffer(source.read(), t)
+        shape = (r["rows"], r["width"])
+        yield {"ids": data["ids"].reshape(shape), "positions": data["pos"].reshape(shape), "cu_seqlens": data["cu"], "docs": pq.read_table(f"{folder}/{r['name']}.docs", filesystem=store)}
+
+
 def unpacked(rows: list) -> dict:
     """Token ids by document of collected rows; a document with several rows of the table gets their tokens joined."""
     parts = []
