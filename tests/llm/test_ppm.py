@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from textloom.llm.ppm import Table, adaptive_bits, codes_of, compiled, costs, levels_of, lm_scores, summed
+from textloom.llm.ppm import Table, adaptive_bits, codes_of, compiled, costs, expanded, inner, levels_of, lm_scores, outer, scored, squeezed, summed, trained
 
 
 def brute(texts, order, min_count):
@@ -63,12 +63,27 @@ def test_table():
     assert (value[::2] == np.arange(len(code[::2]))).all()
 
 
-def test_scores(spark):
-    texts = ["the cat sat on the mat", None, "", "the cat sat on the hat", "zq" * 5, "é und ü", "the cat sat on the mat", "long text " * 20000]
-    df = spark.createDataFrame([(i if i else None, t, "clash") for i, t in enumerate(texts)], "doc_id bigint, text string, bits string")
-    rows = {r["doc_id"]: r for r in lm_scores(df).collect()}
-    want = brute([(t or "").encode() for t in texts], 3, 2)
-    for i, t in enumerate(texts):
+def test_codes_survive_packing():
+    rng = np.random.default_rng(0)
+    for order in (2, 5, 7):
+        code = np.unique(rng.integers(0, 1 << (8 * (order + 1)), 999, np.uint64))
+        shard = int(code[7] >> np.uint64(8)) & 0xFFFF
+        own = code[(code >> np.uint64(8)) & np.uint64(0xFFFF) == shard]
+        packed = squeezed(inner(own, order))
+        assert (outer(expanded(packed, inner(own, order).dtype.type), shard) == own).all()
+    assert len(expanded(squeezed(np.zeros(0, np.uint32)), np.uint32)) == 0
+
+
+TEXTS = ["the cat sat on the mat", None, "", "the cat sat on the hat", "zq" * 5, "é und ü", "the cat sat on the mat", "long text " * 20000]
+
+
+@pytest.mark.parametrize("order, block_bytes", [(5, 1 << 24), (2, 20), (3, 1), (7, 50)])
+def test_scores(spark, order, block_bytes):
+    df = spark.createDataFrame([(i if i else None, t, "clash") for i, t in enumerate(TEXTS)], "`a.b` bigint, text string, bits string").repartition(3)
+    rows = {r["doc_id"]: r for r in lm_scores(df, "a.b", order=order, block_bytes=block_bytes).collect()}
+    want = brute([(t or "").encode() for t in TEXTS], order, 1)
+    assert len(rows) == len(TEXTS)
+    for i, t in enumerate(TEXTS):
         r = rows[i if i else None]
         if t is None:
             assert r["bits"] is None and r["n_bytes"] is None
@@ -76,9 +91,35 @@ def test_scores(spark):
             assert r["n_bytes"] == len(t.encode())
             assert math.isclose(r["bits"], want[i], rel_tol=1e-5)
             assert (r["bits_per_byte"] is None) == (t == "")
-    assert lm_scores(df.limit(0)).collect() == []
-    own = {r["doc_id"]: r["bits"] for r in lm_scores(df.where("length(text) < 100"), adaptive=True).collect()}
-    assert math.isclose(own[4], adaptive_bits(b"zq" * 5, 3))
+    assert lm_scores(df.limit(0), "a.b").collect() == []
+
+
+def test_many_blocks(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcde ") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r["doc_id"]: r["bits"] for r in lm_scores(df, block_bytes=1).collect()}  # a block for each text
+    want = brute([t.encode() for t in texts], 5, 1)
+    assert np.allclose([rows[i] for i in range(300)], want)
+
+
+def test_scores_of_another_table(spark):
+    """A trie of one table codes another, with contexts that it has never seen."""
+    one = spark.createDataFrame([("abracadabra abba",), ("barbara",)], "text string")
+    other = spark.createDataFrame([(1, "abba"), (2, "xyzzy"), (3, None)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["bits"] for r in scored(other, trained(one, order=3)).collect()}
+    texts = [b"abracadabra abba", b"barbara"]
+    code = [codes_of(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 3) for t in texts]
+    model = compiled(levels_of(*summed(np.concatenate(code), np.ones(sum(map(len, code)), np.int64)), 3, 1))
+    for i, t in ((1, b"abba"), (2, b"xyzzy")):
+        assert math.isclose(got[i], costs(model, codes_of(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 3)).sum(), rel_tol=1e-5)
+    assert got[3] is None
+
+
+def test_adaptive(spark):
+    df = spark.createDataFrame([(4, "zq" * 5), (5, None), (6, "")], "doc_id bigint, text string")
+    own = {r["doc_id"]: r["bits"] for r in lm_scores(df, order=3, adaptive=True).collect()}
+    assert math.isclose(own[4], adaptive_bits(b"zq" * 5, 3)) and own[5] is None and own[6] == 0
     assert adaptive_bits(b"abababababababab", 3) < adaptive_bits(b"abcdefghijklmnop", 3)
 
 

@@ -6,9 +6,12 @@ longest context of the trie; where it hasn't followed that, an escape is coded
 (method C: as many escapes as distinct bytes) and the next shorter context is
 tried with all bytes of the longer one excluded, down to the uniform code.
 
-Pretrained: counts come from all documents.  The trie is held level by level in
-sorted arrays, where a node is the run of entries with its context.  Adaptive:
-each document starts from an empty trie and updates it as it goes.
+Pretrained: counts come from all documents.  The trie is kept as a table of
+shards, one for each pair of latest context bytes, in which a node is the run
+of sorted entries with its context; only the levels with at most one byte of
+context, 65,792 entries at most, are sent to every task.  Documents meet it in
+blocks: a block asks each shard for the costs of its distinct contexts.
+Adaptive: each document starts from an empty trie and updates it as it goes.
 """
 
 from __future__ import annotations
@@ -20,10 +23,13 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from textloom.llm.common import blobs
+from textloom.llm.common import blobs, quoted
 from textloom.llm.words import buffer, slices
+from textloom.storage import dropped, written
 
 U8 = np.uint64(8)
 
@@ -45,6 +51,15 @@ class Model(NamedTuple):
     levels: list[Level]  # by order from 0
 
 
+class Trie(NamedTuple):
+    """A trained trie: the level with one byte of context, and the shards of the rest."""
+
+    order: int
+    code: np.ndarray
+    count: np.ndarray
+    shards: DataFrame  # shard, codes, counts
+
+
 def codes_of(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     """Code of every byte with the order bytes before it; before a text stand zero bytes."""
     code = data.astype(np.uint64)
@@ -84,10 +99,13 @@ def _find(sorted_: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (sorted_[at] == want if len(sorted_) else np.zeros(len(want), bool)), at
 
 
-def compiled(entries: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The trie of the given entries by order, with what remains below each context after exclusion."""
-    levels: list[Level] = []
-    for j, (code, count) in enumerate(entries):
+def compiled(entries: list[tuple[np.ndarray, np.ndarray]], base: list[Level] | None = None) -> Model:
+    """The trie of the given entries by order, with what remains below each context after exclusion.
+
+    base, if given, has the lowest levels; the entries are those of the next orders.
+    """
+    levels: list[Level] = list(base or [])
+    for j, (code, count) in enumerate(entries, len(levels)):
         first = np.flatnonzero(np.append(True, (code[1:] >> U8) != (code[:-1] >> U8))) if len(code) else np.zeros(0, np.int64)
         context = code[first] >> U8
         total = np.add.reduceat(count, first) if len(first) else np.zeros(0, np.int64)
@@ -102,7 +120,7 @@ def compiled(entries: list[tuple[np.ndarray, np.ndarray]]) -> Model:
             _, up = _find(low.context, context & np.uint64((1 << (8 * (j - 1))) - 1))
             below_total, below_kinds = low.total[up] - same, low.kinds[up] - kinds
         levels.append(Level(code, count, context, total, kinds, below_total, below_kinds))
-    return Model(len(entries) - 1, levels)
+    return Model(len(levels) - 1, levels)
 
 
 def costs(model: Model, code: np.ndarray) -> np.ndarray:
@@ -172,109 +190,269 @@ class Table:
         return out, np.concatenate(missing) if missing else unsure
 
 
-def trained(df: DataFrame, text_col: str = "text", order: int = 3, min_count: int = 2) -> Model:
-    """The trie of all texts of df.
+def squeezed(values: np.ndarray) -> bytes:
+    """Ascending numbers as the bytes of their differences, the like ones together, which compress well."""
+    return np.diff(values, prepend=values.dtype.type(0)).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def expanded(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel(), dtype=kind)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _unplaned(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def inner_kind(order: int) -> type:
+    return np.uint32 if order <= 5 else np.uint64
+
+
+def inner(code: np.ndarray, order: int) -> np.ndarray:
+    """Codes without the two latest context bytes, which name the shard."""
+    return ((code & np.uint64(255)) | (code >> np.uint64(24) << U8)).astype(inner_kind(order))
+
 
-    Each partition counts its codes; the counts meet by the latest context
-    byte, so that one task holds a whole subtree of the trie and derives its
-    shorter contexts from the longest.  Only entries seen at least min_count
-    times come to the driver.
+def outer(code: np.ndarray, shard: int) -> np.ndarray:
+    code = code.astype(np.uint64)
+    return (code & np.uint64(255)) | np.uint64(shard << 8) | (code >> U8 << np.uint64(24))
+
+
+BLOCKS = "block bigint, doc_id {id}, text string, shard int, codes binary, counts binary"
+
+
+def blocks_of(df: DataFrame, id_col: str, text_col: str, order: int, block_bytes: int) -> DataFrame:
+    """Blocks of about block_bytes of text, formed where the texts lie, each with the counts of its distinct codes.
+
+    A row is a text (shard null), the codes of a shard, or (shard -1) those
+    with one byte of context.
     """
+    names = [x.split()[0] for x in BLOCKS.split(", ")]
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        block = (context.partitionId() if context else 0) << 32
         code, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        size = taken = 0
+
+        def add() -> None:
+            nonlocal code, n, size
+            code, n = summed(np.concatenate([code, *[x for x, _ in held]]), np.concatenate([n, *[y for _, y in held]]))
+            held.clear()
+            size = 0
+
+        def out(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+            nonlocal code, n, block, taken
+            add()
+            if len(code):
+                low, m = summed(code & np.uint64(0xFFFF), n)
+                shard = ((code >> U8) & np.uint64(0xFFFF)).astype(np.int64)
+                by = np.lexsort((code, shard))
+                shard, code, n = shard[by], code[by], n[by]
+                first = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(code)).tolist()
+                parts = list(zip(first, first[1:], strict=False))
+                shards = [-1, *shard[first[:-1]].tolist()]
+                codes = [squeezed(low.astype(np.uint32)), *(squeezed(inner(code[a:z], order)) for a, z in parts)]
+                counts = [_planes(m), *(_planes(n[a:z]) for a, z in parts)]
+                k = len(shards)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.nulls(k, id_type), pa.nulls(k, pa.string()), pa.array(shards, pa.int32()), pa.array(codes, pa.binary()), pa.array(counts, pa.binary())], names)
+            code, n, taken, block = code[:0], n[:0], 0, block + 1
+
+        id_type = None
         for batch in batches:
-            b = buffer(batch.column(0))
-            for i, j in slices(batch.num_rows, np.diff(b.offsets), 1 << 20):
-                o = b.offsets
+            id_type = batch.column(0).type
+            b = buffer(batch.column(1))
+            o = b.offsets
+            for i, j in slices(batch.num_rows, np.diff(o), 1 << 20):
                 found = np.sort(codes_of(b.data[o[i] : o[j]], o[i : j + 1] - o[i], order))
                 if len(found):
                     first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
                     held.append((found[first], np.diff(np.append(first, len(found)))))
                     size += len(first)
                 if size > max(1 << 20, len(code)):
-                    code, n = summed(np.concatenate([code, *[x for x, _ in held]]), np.concatenate([n, *[y for _, y in held]]))
-                    held, size = [], 0
-        code, n = summed(np.concatenate([code, *[x for x, _ in held]]), np.concatenate([n, *[y for _, y in held]]))
-        latest = (code >> U8) & np.uint64(255)
-        by = np.argsort(latest, kind="stable")
-        cut = np.flatnonzero(np.append(True, latest[by][1:] != latest[by][:-1])) if len(by) else []
-        parts = np.split(by, cut[1:]) if len(by) else []
-        yield pa.RecordBatch.from_arrays([pa.array([int(latest[p[0]]) for p in parts], pa.int32()), blobs([code[p] for p in parts]), blobs([n[p] for p in parts])], ["part", "codes", "counts"])
+                    add()
+                k = j - i
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), batch.column(0).slice(i, k), batch.column(1).slice(i, k), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names)
+                taken += int(o[j] - o[i])
+                if taken >= block_bytes:
+                    yield from out(id_type)
+        if id_type is not None:
+            yield from out(id_type)
+
+    rows = _select(df, id_col, text_col)
+    return rows.mapInArrow(count, BLOCKS.format(id=rows.schema["doc_id"].dataType.simpleString()))
+
+
+def _merged(batches: Iterable[pa.RecordBatch], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inner codes and counts of rows of one shard, added up."""
+    kind = inner_kind(order)
+    code, n = np.zeros(0, kind), np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        for x, y in zip(batch.column("codes").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            held.append((expanded(x, kind), _unplaned(y, np.int64)))
+            size += len(held[-1][0])
+            if size > max(1 << 20, 2 * len(code)):
+                code, n = summed(np.concatenate([code, *[c for c, _ in held]]), np.concatenate([n, *[m for _, m in held]]))
+                held, size = [], 0
+    return summed(np.concatenate([code, *[c for c, _ in held]]), np.concatenate([n, *[m for _, m in held]]))
+
+
+SHARDS = "shard int, codes binary, counts binary"
+
+
+def _trie(blocks: DataFrame, order: int, salts: int) -> Trie:
+    """The trie of the counts of all blocks, which are added up in two steps."""
+
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[expanded(x, np.uint32)] += _unplaned(y, np.int64)
+        rows = total.reshape(256, 256)
+        some = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), blobs([rows[k] for k in some.tolist()])], ["context", "counts"])
+
+    def sum_(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for batch in batches:
+            total += np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.int64).reshape(-1, 256).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), blobs([total])], ["context", "counts"])
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, n = [], []
+        code, n = _merged(batches, order)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([squeezed(code)], pa.binary()), pa.array([_planes(n)], pa.binary())], ["shard", "codes", "counts"])
+
+    schema = "context int, counts binary"
+    low = np.zeros((256, 256), np.int64)
+    for r in blocks.where("shard = -1").select("codes", "counts").mapInArrow(spread, schema).groupBy("context").applyInArrow(sum_, schema).toLocalIterator():
+        low[r["context"]] = np.frombuffer(bytes(r["counts"]), np.int64)
+    code = np.flatnonzero(low.ravel())
+    parts = blocks.where("shard >= 0").select("shard", "codes", "counts", "block")
+    if salts > 1:
+        parts = parts.groupBy("shard", (F.col("block") % salts).alias("salt")).applyInArrow(merge, SHARDS)
+    shards = written(parts.select("shard", "codes", "counts").groupBy("shard").applyInArrow(merge, SHARDS), "trie")
+    return Trie(order, code.astype(np.uint64), low.ravel()[code], shards)
+
+
+def _salts(blocks: DataFrame) -> int:
+    """One for every 64 blocks: into so many groups a shard's rows are spread."""
+    return max(1, -(-blocks.where("shard = -1").count() // 64))
+
+
+def trained(df: DataFrame, text_col: str = "text", order: int = 5, block_bytes: int = 16 << 20) -> Trie:
+    """The trie of all texts of df, all counts kept."""
+    _check(order)
+    blocks = written(blocks_of(df, text_col, text_col, order, block_bytes), "blocks")
+    trie = _trie(blocks, order, _salts(blocks))
+    dropped(blocks)
+    return trie
+
+
+def scored(df: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+    """(doc_id, n_bytes, bits, bits_per_byte) of every row under a trained trie."""
+    blocks = written(blocks_of(df, id_col, text_col, trie.order, block_bytes), "blocks")
+    return _scored(blocks, trie, _salts(blocks))
+
+
+def _scored(blocks: DataFrame, trie: Trie, salts: int) -> DataFrame:
+    order, kind = trie.order, inner_kind(trie.order)
+    low = blocks.sparkSession.sparkContext.broadcast((trie.code, trie.count))
+
+    def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by shard and salt, the shard's trie first: the costs that each block asks for."""
+        code, n = low.value
+        base = compiled([summed(code & np.uint64(255), n), (code, n)]).levels
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        now, model = None, None
+        asked: list[tuple[int, bytes]] = []
+
+        def out() -> pa.RecordBatch:
+            codes = [expanded(c, kind) for _, c in asked]
+            distinct, back = np.unique(np.concatenate(codes), return_inverse=True)
+            cost = costs(model, outer(distinct, now[0])).astype(np.float32)[back]
+            ends = np.cumsum([len(c) for c in codes])
+            row = pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in asked], pa.int64()), pa.array([now[0]] * len(asked), pa.int32()), pa.array([c for _, c in asked], pa.binary()), blobs(np.split(cost, ends[:-1]))],
+                ["block", "shard", "codes", "costs"],
+            )
+            asked.clear()
+            return row
+
         for batch in batches:
-            code += [np.frombuffer(x, np.uint64) for x in batch.column("codes").to_pylist()]
-            n += [np.frombuffer(x, np.int64) for x in batch.column("counts").to_pylist()]
-        code, n = summed(np.concatenate(code), np.concatenate(n))
-        levels = levels_of(code, n, order, min_count, 1)
-        zero = summed(code & np.uint64(255), n)  # of this part; the driver adds them up
-        levels = [zero, *levels]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(levels)), pa.int32()), blobs([x for x, _ in levels]), blobs([y for _, y in levels])], ["part", "codes", "counts"])
-
-    schema = "part int, codes binary, counts binary"
-    rows = df.select(df[text_col].cast("string").alias("text")).where("text is not null")
-    got: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order + 1)]
-    for r in rows.mapInArrow(count, schema).groupBy("part").applyInArrow(merge, schema).toLocalIterator():
-        got[r["part"]].append((np.frombuffer(bytes(r["codes"]), np.uint64), np.frombuffer(bytes(r["counts"]), np.int64)))
-    entries = []
-    for j, parts in enumerate(got):
-        code, n = summed(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        keep = n >= min_count
-        entries.append((code[keep], n[keep]))
-    return compiled(entries)
-
-
-def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, bits, bits_per_byte) of every row under a trained model."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+            for shard, salt, block, c, y in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (shard, salt) != now:
+                    if asked:
+                        yield out()
+                    now = (shard, salt)
+                    model = compiled([none] * (order - 1), base)  # for a trie without these two bytes of context
+                if block is None:
+                    model = compiled(levels_of(outer(expanded(c, kind), shard), _unplaned(y, np.int64), order, 1, 2), base)
+                    continue
+                asked.append((block, c))
+                if len(asked) >= 64:
+                    yield out()
+        if asked:
+            yield out()
+
+    asks = blocks.where("shard >= 0").select("shard", (F.col("block") % salts).cast("int").alias("salt"), "block", "codes", F.lit(None).cast("binary").alias("counts"))
+    tries = trie.shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("bigint").alias("block"), "codes", "counts")
+    both = asks.unionByName(tries).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("block").asc_nulls_first())
+    answers = both.mapInArrow(answer, "block bigint, shard int, codes binary, costs binary")
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        top = model.levels[-1]
-        table = Table(top.code, costs(model, top.code))
-        known = 0
-        extra_code, extra_cost = np.zeros(0, np.uint64), np.zeros(0)
+        """Rows by block, the costs before the texts."""
+        block, table, codes, values = None, None, [], []
         for batch in batches:
-            b = buffer(batch.column(1))
-            o = b.offsets
-            bits = np.zeros(batch.num_rows)
-            for i, j in slices(batch.num_rows, np.diff(o), 1 << 18):
-                part = o[i : j + 1] - o[i]
-                code = codes_of(b.data[o[i] : o[j]], part, model.order)
-                if not len(code):
+            own, shards = batch.column("block").to_numpy(), batch.column("shard")
+            cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1])).tolist()
+            for a, z in zip(cuts, [*cuts[1:], len(own)], strict=True):
+                if own[a] != block:
+                    block, table, codes, values = own[a], None, [], []
+                part = batch.slice(a, z - a)
+                m = part.num_rows - part.column("shard").null_count  # nulls, the texts, come last
+                for shard, c, y in zip(*(part.column(k).slice(0, m).to_pylist() for k in ("shard", "codes", "costs")), strict=True):
+                    codes.append(outer(expanded(c, kind), shard))
+                    values.append(np.frombuffer(y, np.float32))
+                texts = part.slice(m)
+                if not texts.num_rows:
                     continue
-                cost, missing = table.get(code)
-                if len(missing):
-                    u, back = np.unique(code[missing], return_inverse=True)
-                    there, at = _find(extra_code, u)
-                    value = np.zeros(len(u))
-                    value[there] = extra_cost[at[there]]
-                    if not there.all():
-                        value[~there] = costs(model, u[~there])
-                        if known + len(u) < 1 << 20:  # what was computed once is kept, while it's little
-                            new = np.concatenate([extra_code, u[~there]])
-                            by = np.argsort(new)
-                            extra_code, extra_cost = new[by], np.concatenate([extra_cost, value[~there]])[by]
-                            known = len(extra_code)
-                    cost[missing] = value[back]
-                some = np.flatnonzero(np.diff(part))
-                bits[i + some] = np.add.reduceat(cost.astype(np.float64), part[:-1][some])
-            yield _row(batch, bits, np.diff(o))
-
-    return _select(df, id_col, text_col).mapInArrow(score, _schema(df, id_col))
+                if table is None:
+                    none = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+                    table = Table(np.concatenate([none[0], *codes]), np.concatenate([none[1], *values]))
+                    codes, values = [], []
+                yield _bits(pa.RecordBatch.from_arrays([texts.column("doc_id"), texts.column("text")], ["doc_id", "text"]), table, order)
+
+    texts = blocks.where("shard is null").select("block", "doc_id", "text", "shard", "codes", F.lit(None).cast("binary").alias("costs"))
+    kinds = blocks.schema["doc_id"].dataType.simpleString()
+    replies = answers.select("block", F.lit(None).cast(kinds).alias("doc_id"), F.lit(None).cast("string").alias("text"), "shard", "codes", "costs")
+    rows = texts.unionByName(replies).repartition("block").sortWithinPartitions("block", F.col("shard").asc_nulls_last())
+    return rows.mapInArrow(score, f"doc_id {kinds}, n_bytes bigint, bits double, bits_per_byte double")
+
+
+def _bits(batch: pa.RecordBatch, table: Table, order: int) -> pa.RecordBatch:
+    b = buffer(batch.column(1))
+    o = b.offsets
+    bits = np.zeros(batch.num_rows)
+    for i, j in slices(batch.num_rows, np.diff(o), 1 << 18):
+        part = o[i : j + 1] - o[i]
+        cost, missing = table.get(codes_of(b.data[o[i] : o[j]], part, order))
+        if len(missing):
+            raise RuntimeError("a block's texts have codes that it didn't count")
+        some = np.flatnonzero(np.diff(part))
+        if len(some):
+            bits[i + some] = np.add.reduceat(cost.astype(np.float64), part[:-1][some])
+    return _row(batch, bits, np.diff(o))
 
 
 def _select(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"))
-
-
-def _schema(df: DataFrame, id_col: str) -> str:
-    return f"doc_id {df.schema[id_col].dataType.simpleString()}, n_bytes bigint, bits double, bits_per_byte double"
+    return df.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
 
 
 def _row(batch: pa.RecordBatch, bits: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
@@ -314,24 +492,32 @@ def adaptive_bits(data: bytes, order: int) -> float:
     return bits
 
 
-def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, min_count: int = 2, adaptive: bool = False) -> DataFrame:
+def _check(order: int) -> None:
+    if not 2 <= order <= 7:
+        raise ValueError("order must be from 2 to 7")
+
+
+def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 5, adaptive: bool = False, block_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, n_bytes, bits, bits_per_byte): the code length of every document.
 
-    By default the trie is trained on all documents of df; with adaptive, each
-    document is coded on its own.  order is at most 7.
+    By default the trie is trained on all documents of df, a document's own
+    bytes and everything seen only once included; with adaptive, each document
+    is coded on its own.  order is from 2 to 7.
 
     Null text: nulls.  Empty text: 0 bytes, 0 bits and null bits per byte.  Null
-    ids and repeated rows are kept.  Texts are scored over all their bytes.
-    Empty table: no rows.  Other columns are ignored.
+    ids and repeated rows are kept.  Texts are scored over all their bytes,
+    however long.  Empty table: no rows.  Other columns are ignored.
     """
-    if not 0 <= order <= 7:
-        raise ValueError("order must be from 0 to 7")
+    _check(order)
     if not adaptive:
-        return scored(df, trained(df, text_col, order, min_count), id_col, text_col)
+        blocks = written(blocks_of(df, id_col, text_col, order, block_bytes), "blocks")
+        salts = _salts(blocks)
+        return _scored(blocks, _trie(blocks, order, salts), salts)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             yield _row(batch, np.array([adaptive_bits(t, order) for t in texts], float), np.array([len(t) for t in texts], np.int64))
 
-    return _select(df, id_col, text_col).mapInArrow(score, _schema(df, id_col))
+    rows = _select(df, id_col, text_col)
+    return rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, bits double, bits_per_byte double")
