@@ -18,6 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each row of one matrix with that of the other; 0 where one of them is 0."""
+    a, b = np.asarray(a, np.float64), np.asarray(b, np.float64)
+    n = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+    return np.divide((a * b).sum(axis=1), n, out=np.zeros(len(n)), where=n > 0).astype(np.float32)
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> np.float32:
     """Cosine of two vectors; 0 if one of them is 0."""
     n = float(np.linalg.norm(a)) * float(np.linalg.norm(b))
@@ -34,8 +41,10 @@ class Embedder:
         return [self.embed(t) for t in texts]
 
     def embed_tokens(self, text: str) -> np.ndarray:
-        """A vector for each word."""
-        return np.array(self.embed_batch(text.split(" ")))
+        """A vector for each word; each distinct one is embedded once."""
+        place: dict[str, int] = {}
+        at = [place.setdefault(w, len(place)) for w in text.split(" ")]
+        return np.asarray(self.embed_batch(list(place)))[at]
 
     def similarity(self, a: np.ndarray, b: np.ndarray) -> np.float32:
         return cosine(a, b)
@@ -48,32 +57,50 @@ class Embedder:
         return self.embed(x) if isinstance(x, str) else self.embed_batch(list(x))
 
 
+class _Slots(dict):
+    """Twice the slot of a word, one more if its sign is positive; filled as words come, emptied when it is large."""
+
+    def __init__(self, dimension: int):
+        super().__init__()
+        self.dimension = dimension
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 18:
+            self.clear()
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        self[word] = slot = 2 * (h % self.dimension) + (h >> 63)
+        return slot
+
+
 class Hashing(Embedder):
     """Words hashed into a fixed number of signed slots, normalised; the same everywhere, without any model."""
 
+    _words = re.compile(r"\w+")
+
     def __init__(self, dimension: int = 64):
         self._dimension = dimension
-        self._slots: dict[str, tuple[int, float]] = {}
+        self._slots = _Slots(dimension)
 
     @property
     def dimension(self) -> int:
         return self._dimension
 
-    def _slot(self, word: str) -> tuple[int, float]:
-        if word not in self._slots:
-            if len(self._slots) > 1 << 18:
-                self._slots.clear()
-            h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-            self._slots[word] = (h % self._dimension, 1.0 if h >> 63 else -1.0)
-        return self._slots[word]
-
     def embed(self, text: str) -> np.ndarray:
-        v = np.zeros(self._dimension, np.float32)
-        for w in re.findall(r"\w+", text.lower()):
-            k, s = self._slot(w)
-            v[k] += s
-        n = float(np.linalg.norm(v))
-        return v / n if n else v
+        return self.embed_batch([text])[0]
+
+    def embed_batch(self, texts: Sequence[str]) -> list[np.ndarray]:
+        flat: list[int] = []
+        ends = [0]
+        get, find = self._slots.__getitem__, self._words.findall
+        for text in texts:
+            flat += map(get, find(text.lower()))
+            ends.append(len(flat))
+        code = np.array(flat, np.int64)
+        row = np.repeat(np.arange(len(texts)), np.diff(ends))
+        total = np.bincount(row * self._dimension + (code >> 1), (code & 1) * 2.0 - 1, len(texts) * self._dimension)
+        v = total.reshape(len(texts), self._dimension).astype(np.float32)
+        n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return list(np.divide(v, n, out=v, where=n > 0))
 
 
 class Function(Embedder):

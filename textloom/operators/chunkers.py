@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.embeddings import Embedder, cosine, embedder
+from textloom.functions.embeddings import Embedder, cosine, cosines, embedder
 from textloom.functions.tokenizers import Tokenizer, tokenizer
 from textloom.operators.base import Piece, table_function
 from textloom.operators.kernels import chosen_minima, groups, local_minima, merged, placed, split_pattern, split_text
@@ -58,38 +58,29 @@ def token_windows(tokens: Sequence, t: Tokenizer, size: int, step: int) -> list[
     return out
 
 
+def character_windows(text: str, size: int, step: int) -> list[Piece]:
+    """token_windows() of single characters, by slices of the text."""
+    n = len(text)
+    starts = range(0, max(1, n - (size - step)), step)
+    return [(part := text[i : i + size], i, i + len(part), len(part)) for i in starts]
+
+
 def chunk_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_: Any = "character", chunk_size: int = 2048, chunk_overlap: int | float = 0) -> DataFrame:
     """Windows of chunk_size tokens, each starting chunk_overlap before the end of the last; blank texts give none.
 
-    Characters and words are cut by column expressions; other tokenizers in an
-    Arrow function.
+    One pass over each text, linear in its length.  Without overlap, the
+    separator between windows of words or rows is in none of them and isn't
+    counted: each window's places are one less than the one before would say.
     """
     step = _step(chunk_size, chunk_overlap)
-    overlap = chunk_size - step
-    if tokenizer_ not in ("character", "word"):
-
-        def windows(text: str) -> list[Piece]:
-            t = tokenizer(tokenizer_)
-            return token_windows(t.encode(text), t, chunk_size, step) if text.strip() else []
-
-        return table_function(df, id_col, text_col, windows)
-    rows = df.select(df[id_col].alias("doc_id"), df[text_col].alias("_t")).where(~is_blank(F.col("_t")))
-    if tokenizer_ == "character":
-        n = F.length("_t")
-        at = F.filter(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda i: (i == 0) | (i + overlap < n))
-        cut = rows.select("doc_id", "_t", F.posexplode(at).alias("pos", "start_index"))
-        text = F.substr("_t", F.col("start_index") + 1, F.lit(chunk_size))
-        return cut.select("doc_id", "pos", text.alias("text"), "start_index", (F.col("start_index") + F.length(text)).alias("end_index"), F.length(text).alias("token_count"))
-    parts = rows.select("doc_id", F.split("_t", " ", -1).alias("_w"))
-    n = F.size("_w")
-    at = F.filter(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda i: (i == 0) | (i + overlap < n))
-    cut = parts.select("doc_id", "_w", F.posexplode(at).alias("pos", "_i"))
-    text = F.array_join(F.slice("_w", F.col("_i") + 1, F.lit(chunk_size)), " ")
-    before = F.when(F.col("_i") == 0, 0).otherwise(F.length(F.array_join(F.slice("_w", F.lit(1), F.col("_i")), " ")) + 1)
-    # without overlap the space between windows is lost: each starts a character earlier than the one before
-    start = before if overlap else before - F.col("pos")
-    out = cut.select("doc_id", "pos", text.alias("text"), start.alias("start_index"), F.least(F.lit(chunk_size), F.size("_w") - F.col("_i")).alias("token_count"))
-    return out.select("doc_id", "pos", "text", "start_index", (F.col("start_index") + F.length("text")).alias("end_index"), "token_count")
+
+    def windows(text: str) -> list[Piece]:
+        if tokenizer_ == "character":
+            return character_windows(text, chunk_size, step)
+        t = tokenizer(tokenizer_)
+        return token_windows(t.encode(text), t, chunk_size, step)
+
+    return table_function(df.where(~is_blank(df[text_col].cast("string"))), id_col, text_col, windows)
 
 
 def sentence_pieces(text: str, t: Tokenizer, size: int, overlap: int, min_sentences: int, min_chars: int, delimiters: Sequence[str], include: str) -> list[Piece]:
@@ -239,7 +230,7 @@ def semantic_groups(parts: list[str], counts: list[int], e: Embedder, window: in
         return [list(range(n))] if n else []
     before = e.embed_batch(["".join(parts[i : i + window]) for i in range(n - window)])
     after = e.embed_batch(parts[window:])
-    similar = np.array([cosine(a, b) for a, b in zip(before, after, strict=True)])
+    similar = cosines(before, after)
     cuts: list[int] = []
     if len(similar) >= filter_window:
         cuts = [i + window for i in chosen_minima(*local_minima(similar, filter_window, order, tolerance), threshold, min_sentences)]

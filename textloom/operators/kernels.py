@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 
@@ -90,6 +90,7 @@ def placed(parts: Sequence[tuple[str, int]], start: int = 0) -> list[Piece]:
     return out
 
 
+@functools.cache
 def smoothing(window: int, order: int, derivative: int) -> np.ndarray:
     """Savitzky-Golay coefficients for the middle of a window: least squares of a polynomial, its derivative at 0."""
     half = window // 2
@@ -127,6 +128,3 @@ def chosen_minima(at: np.ndarray, values: np.ndarray, threshold: float, distance
         if v <= limit and (not out or i - out[-1] >= distance):
             out.append(i)
     return out
-
-
-Count = Callable[[str], int]
