@@ -146,7 +146,11 @@ def _sentence_spans(text: str) -> list[dict]:
     return [{"start": m.start(), "end": m.end()} for m in re.finditer(r"[^.!?]+[.!?]+\s*", text)]
 
 
-@query()
+@query(
+    """WITH h AS (SELECT doc_id, text AS t, length(regexp_extract(text, '(?s)^.*[^.!?][.!?]+\\s*')) AS z FROM documents WHERE text <> '')
+    SELECT doc_id, 0 AS pos, t[1:z] AS text, 0 AS start_index, z::INT AS end_index, z::INT AS token_count FROM h WHERE z > 0
+    UNION ALL SELECT doc_id, CASE WHEN z > 0 THEN 1 ELSE 0 END, t[z + 1 :], z::INT, length(t)::INT, (length(t) - z)::INT FROM h WHERE z < length(t)"""
+)
 def chunk_neural(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A span model stands in: it predicts sentences."""
     return c.chunk_spans(load(spark, sf_dir, "documents"), _sentence_spans)
@@ -158,7 +162,12 @@ def chunk_guided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.chunk_guided(load(spark, sf_dir, "documents"), lambda prompt: int(re.findall(r"^ID (\d+):", prompt, re.MULTILINE)[-1]), chunk_size=512)
 
 
-@query()
+@query(
+    """WITH s AS (SELECT doc_id, text AS t, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE regexp_matches(text, '\\S')),
+    x AS (SELECT doc_id, t, i, parts[i] AS part, sum(length(parts[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS z FROM s),
+    y AS (SELECT doc_id, t, row_number() OVER w AS k, coalesce(lag(z) OVER w, 0) AS a, CASE WHEN lead(z) OVER w IS NULL THEN length(t) ELSE z END AS z FROM x WHERE part <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+    SELECT doc_id, (k - 1)::INT AS pos, t[a + 1 : z] AS text, a::INT AS start_index, z::INT AS end_index, (z - a)::INT AS token_count FROM y"""
+)
 def chunk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A segmenting service stands in: it gives paragraphs without the line feeds between them."""
     return c.chunk_segments(load(spark, sf_dir, "documents"), lambda text: [p for p in text.split("\n") if p])
@@ -215,7 +224,12 @@ def overlap_prefix_unmerged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine_overlap(_parents(spark, sf_dir), method="prefix", merge=False)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE p AS ({PARENTS}), m AS (SELECT doc_id, pos, text, start_index, end_index, token_count, NULL::VARCHAR AS context FROM p WHERE pos = 0
+    UNION ALL SELECT p.doc_id, p.pos, c || p.text, p.start_index, p.end_index, (p.token_count + length(c))::INT, c
+    FROM (SELECT doc_id, pos, CASE WHEN floor(token_count * 0.25) = 0 THEN text ELSE right(text, floor(token_count * 0.25)::INT) END AS c FROM m) AS b JOIN p ON p.doc_id = b.doc_id AND p.pos = b.pos + 1)
+    SELECT * FROM m"""
+)
 def overlap_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine_overlap(_parents(spark, sf_dir), method="prefix")
 
@@ -225,7 +239,15 @@ def overlap_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine_overlap(_parents(spark, sf_dir), mode="recursive", method="justified")
 
 
-@query()
+@query(
+    f"""WITH p AS ({PARENTS}), w AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(text), '[\\pL\\pN_]+')) AS word FROM p),
+    h AS (SELECT doc_id, pos, (('0x' || md5(word)[1:8])::BIGINT % 32) AS slot, CASE WHEN md5(word)[9:9] >= '8' THEN 1 ELSE -1 END AS sign FROM w),
+    v AS (SELECT doc_id, pos, slot, sum(sign)::INT AS n FROM h GROUP BY ALL),
+    f AS (SELECT doc_id, pos, sqrt(sum(n * n))::REAL AS norm FROM v GROUP BY ALL),
+    a AS (SELECT p.doc_id, p.pos, k.range AS slot FROM p, range(32) AS k)
+    SELECT a.doc_id, a.pos, list((coalesce(n, 0)::REAL / CASE WHEN coalesce(norm, 0) = 0 THEN 1 ELSE norm END)::REAL ORDER BY a.slot) AS embedding
+    FROM a LEFT JOIN v ON a.doc_id = v.doc_id AND a.pos = v.pos AND a.slot = v.slot LEFT JOIN f ON a.doc_id = f.doc_id AND a.pos = f.pos GROUP BY ALL"""
+)
 def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_embeddings(_parents(spark, sf_dir), "hashing-32").select("doc_id", "pos", "embedding")
 

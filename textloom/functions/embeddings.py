@@ -67,8 +67,8 @@ class _Slots(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 1 << 18:
             self.clear()
-        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-        self[word] = slot = 2 * (h % self.dimension) + (h >> 63)
+        h = int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:9], 16)
+        self[word] = slot = 2 * ((h >> 4) % self.dimension) + (h >> 3 & 1)
         return slot
 
 
