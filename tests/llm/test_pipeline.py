@@ -1,5 +1,11 @@
+import re
+
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
-from textloom.llm.langid import filtered
+from tests.llm import test_decontaminate, test_retrieval_packing, test_sentences, test_simhash
+from textloom.llm.langid import filtered, fit, predict
 from textloom.llm.sentences import shortened
 from textloom.llm.simhash import deduplicated
 
@@ -17,6 +23,51 @@ def test_all_stages(spark, sf):
     assert len(ids) > 0.5 * docs.count()
 
 
+def plain_words(text):
+    return re.findall(r"[^\W]+", text.lower())
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    """All five stages over a small table, each recomputed by plain code on what the one before kept."""
+    rng = np.random.default_rng(5)
+    vocabulary = {k: [a + b + c for a in x for b in y for c in x] for k, x, y in (("en", ["th", "wh", "sk"], "aeio"), ("de", ["sch", "pf", "zw"], "uäöe"))}
+
+    def prose(lang, n):
+        out = [" ".join(rng.choice(vocabulary[lang], 7)).capitalize() + "." for _ in range(n)]
+        return " ".join(out)
+
+    passage, item = prose("en", 6), " ".join(rng.choice(vocabulary["en"], 20))
+    texts = [(prose(k, 14), k) for k in ["en", "de"] * 40]
+    for i in (3, 7, 11):
+        texts[i] = (texts[i][0] + " " + passage, texts[i][1])
+    texts[20] = (f"{texts[20][0]} {item}. {prose('en', 3)}", "en")
+    texts += [(texts[0][0], "en"), (texts[5][0].replace(texts[5][0].split()[30], "neu", 1), "de"), ("12 34 " * 9, "en"), (None, "en"), ("", "de"), ("Ёжик и лиса идут домой через тёмный лес. " * 4, "en")]
+    rows = [(i, t, k, "s", len(t or "")) for i, (t, k) in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (2, "of")], "item_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    left = {i: t for i, t, *_ in rows if t and t.strip()}
+    model = fit(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    _, prob, share = predict(pa.array(list(left.values())), model)
+    left = {i: t for (i, t), p, c in zip(left.items(), prob, share, strict=True) if p >= model.min_prob and c >= model.min_common and re.search(r"[^\W\d_]", t)}
+    assert len(left) >= 70 and max(left) <= 81  # without digits, nothing, and an unknown language
+    label, _ = test_simhash.brute_groups(list(left.values()))
+    left = {i: t for k, (i, t) in enumerate(left.items()) if label[k] == k}
+    assert (80 not in left or 0 not in left) and (81 not in left or 5 not in left)
+    left = {i: t for i, t in zip(left, test_sentences.brute(list(left.values()), 2, 15), strict=True) if t.strip()}
+    number = {w: k + 1 for k, w in enumerate(sorted({w for t in [*left.values(), item] for w in plain_words(t)}))}
+    ids, docs = list(left), [[number[w] for w in plain_words(t)] for t in left.values()]
+    bad = {ids[d] for d, *_ in test_decontaminate.brute(docs, [number[w] for w in plain_words(item)], 13, 0.8, 4)}
+    assert bad == {20} & left.keys()
+    docs = {i: plain_words(t) for i, t in left.items() if i not in bad}
+    want = test_retrieval_packing.brute_seeds(docs, 2048, 128)
+    found = {d: s for r in got for d, s in zip(r["doc_ids"], r["seed_ids"], strict=True)}
+    assert found.keys() == docs.keys() == want.keys()
+    assert sum(r["n_words"] for r in got) == sum(map(len, docs.values()))
+    assert sum(found[d] == s for d, (s, _) in want.items()) >= 0.95 * len(want)
+
+
 def test_stages_on_odd_tables(spark, sf):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, row_key string, pred_prob double"
     empty = spark.createDataFrame([], schema)
