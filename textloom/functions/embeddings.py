@@ -8,8 +8,10 @@ functions, registered under a name, a pattern or a provider.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 from typing import Any
 
 import numpy as np
@@ -103,6 +105,61 @@ class Hashing(Embedder):
         return list(np.divide(v, n, out=v, where=n > 0))
 
 
+class Static(Embedder):
+    """A matrix with a vector for each token of a vocabulary: a text is the mean of its tokens' vectors.
+
+    folder holds ``tokenizer.json`` and ``model.safetensors`` with a matrix
+    ``embeddings``; ``config.json`` may say normalize. Tokens that the
+    tokenizer doesn't know are left out; a text without any is the zero vector.
+    """
+
+    def __init__(self, folder: str):
+        from tokenizers import Tokenizer as Fast
+
+        place = Path(folder)
+        self.tokenizer = Fast.from_file(str(place / "tokenizer.json"))
+        self.matrix = self._matrix(place / "model.safetensors")
+        config = json.loads((place / "config.json").read_text()) if (place / "config.json").exists() else {}
+        self.normalize = bool(config.get("normalize", True))
+        unknown = json.loads(self.tokenizer.to_str())["model"].get("unk_token")
+        self.unknown = self.tokenizer.token_to_id(unknown) if unknown else None
+
+    @staticmethod
+    def _matrix(path: Path) -> np.ndarray:
+        with open(path, "rb") as data:
+            size = int.from_bytes(data.read(8), "little")
+            about = json.loads(data.read(size))["embeddings"]
+            kinds = {"F32": np.float32, "F16": np.float16, "F64": np.float64}
+            if about["dtype"] not in kinds:
+                raise ValueError(f"embeddings of kind {about['dtype']} can't be read")
+            begin, end = about["data_offsets"]
+            data.seek(8 + size + begin)
+            return np.frombuffer(data.read(end - begin), kinds[about["dtype"]]).reshape(about["shape"]).astype(np.float32)
+
+    @property
+    def dimension(self) -> int:
+        return self.matrix.shape[1]
+
+    def _ids(self, texts: Sequence[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch(list(texts), add_special_tokens=False)
+        return [np.array([i for i in e.ids if i != self.unknown], np.int64) for e in found]
+
+    def embed(self, text: str) -> np.ndarray:
+        return self.embed_batch([text])[0]
+
+    def embed_batch(self, texts: Sequence[str]) -> list[np.ndarray]:
+        out = []
+        for ids in self._ids(texts):
+            v = self.matrix[ids].mean(axis=0) if len(ids) else np.zeros(self.dimension, np.float32)
+            n = float(np.linalg.norm(v))
+            out.append(v / n if self.normalize and n else v)
+        return out
+
+    def embed_tokens(self, text: str) -> np.ndarray:
+        """A vector for each token of its own tokenizer."""
+        return self.matrix[self._ids([text])[0]]
+
+
 class Function(Embedder):
     """A function from text, or from a list of texts, to vectors."""
 
@@ -157,7 +214,7 @@ class Remote(Embedder):
 PROVIDERS = ("azure_openai", "cloudflare", "cohere", "deepinfra", "gemini", "jina", "litellm", "mistral", "mixedbread", "model2vec", "nomic", "openai", "sentence-transformers", "together", "voyageai")
 _models: dict[str, Callable[[], Embedder]] = {"hashing": Hashing}
 _patterns: list[tuple[re.Pattern, Callable[[str], Embedder]]] = [(re.compile(r"hashing-(\d+)"), lambda name: Hashing(int(name.split("-")[1])))]
-_providers: dict[str, Callable[[str], Embedder]] = {}
+_providers: dict[str, Callable[[str], Embedder]] = {"model2vec": Static}
 _types: list[tuple[type, Callable[[Any], Embedder]]] = []
 
 

@@ -101,6 +101,20 @@ def smoothing(window: int, order: int, derivative: int) -> np.ndarray:
     return weights[derivative] * factor if derivative <= order else np.zeros(window)
 
 
+def window_similarity(vectors: np.ndarray, window: int) -> np.ndarray:
+    """For every gap between neighbouring vectors, the mean cosine of those before it and after it within an odd window."""
+    if window < 3 or not window % 2:
+        raise ValueError("the window is odd and at least 3")
+    x = np.asarray(vectors, float)
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+    half, total = window // 2, np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)])
+    gap = np.arange(1, len(x))
+    low, high = np.maximum(gap - half, 0), np.minimum(gap + half, len(x))
+    # the mean over all pairs is the product of the sums
+    return ((total[gap] - total[low]) * (total[high] - total[gap])).sum(axis=1) / ((gap - low) * (high - gap))
+
+
 def local_minima(values: np.ndarray, window: int = 5, order: int = 3, tolerance: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
     """Places and smoothed values where the smoothed first derivative is within tolerance of 0 and the second is positive.
 
