@@ -1,65 +1,98 @@
 """Packing of documents with their nearest neighbours under BM25.
 
-An inverted index is kept in shards.  Unused documents in turn are the seeds
-of windows.  Every seed queries all shards, their lists are merged, and its
-window is filled with the unused documents of all the table that score highest
-for it; when its list is used up it queries all shards again for those left.
+An inverted index of all documents is kept in shards.  In each of a few rounds
+a fixed share of the documents that are still unused are seeds: every seed
+queries all shards and gets a list of its best unused documents, a document in
+several lists goes to the one it stands highest in, and each seed fills its
+windows greedily in the order of what is left of its list.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from textloom.llm.common import blobs
+from textloom.llm.common import blobs, quoted
+from textloom.llm.sentences import row_key
+from textloom.llm.tokens import best_fit_decreasing
 from textloom.llm.words import Buffer, lowered, slices, words
 from textloom.storage import dropped, written
 
 PART = 1 << 14
 K1, B = 1.2, 0.75
+#: Bits of a term's hash, of the bucket its document frequency is counted in, and of a place within a piece.
+TERM, FREQUENCY, PLACE = 31, 20, 8
+#: The round in which the ids of each residue modulo 20 are seeds: one in 20 at first, more as fewer documents are left.
+TURNS = [0, 1, 2, 2, 3, 3, 3, 4, 4, 4, 4, 4, 4, 5, 5, 5, 5, 5, 5, 5]
+STEP = np.float32(256)  # scores are compared in steps of 1/256, so that sums in another order rank alike
+PIECE = "piece bigint, ids array<{id}>, keys binary, lengths binary, turns binary, terms binary, ends binary, counts binary"
 
 
-def term_vectors(df: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
-    """(id, n_words, slots, counts): the distinct terms of each text, hashed into 2**bits slots, and their numbers."""
+def index_pieces(df: DataFrame, id_col: str, text_col: str, piece_terms: int = 1 << 16) -> DataFrame:
+    """The documents with words, in pieces of at most 2**PLACE of them, each formed where its documents lie.
 
-    def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Document i of a piece has the distinct terms terms[ends[i - 1]:ends[i]],
+    ascending, each counts times, and lengths[i] words in all.  turns[i] is
+    the round in which it is a seed, keys[i] a hash of its id and text.
+    """
+    names = [x.split()[0] for x in PIECE.split(", ")]
+
+    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        number = (context.partitionId() if context else 0) << 32
         for batch in batches:
             text = lowered(batch.column(1))
             o = text.offsets
+            batch_keys, turn = batch.column(2).to_numpy(), batch.column(3).to_numpy().astype(np.uint8)
             for i, j in slices(batch.num_rows, np.diff(o), 1 << 17):
                 w = words(Buffer(text.data[o[i] : o[j]], o[i : j + 1] - o[i]))
                 size = np.diff(w.bounds)
                 of = np.repeat(np.arange(j - i, dtype=np.uint64), size)
-                pair = np.sort((of << np.uint64(bits)) | (w.hash >> np.uint64(64 - bits)))
+                pair = np.sort((of << np.uint64(TERM)) | (w.hash >> np.uint64(64 - TERM)))
                 first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
-                count = np.minimum(np.diff(np.append(first, len(pair))), 65535).astype(np.uint16)
+                count = np.diff(np.append(first, len(pair))).astype(np.int32)
                 pair = pair[first]
-                slot = (pair & np.uint64((1 << bits) - 1)).astype(np.int32)
-                ends = np.searchsorted(pair >> np.uint64(bits), np.arange(j - i + 1, dtype=np.uint64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(size.astype(np.int32)), *(blobs([x[a:z] for a, z in zip(ends, ends[1:], strict=False)]) for x in (slot, count))],
-                    ["id", "n_words", "slots", "counts"],
-                )
-
-    rows = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text")).where("text is not null")
-    return rows.mapInArrow(vectors, f"id {rows.schema['id'].dataType.simpleString()}, n_words int, slots binary, counts binary")
-
-
-def statistics(vectors: DataFrame, bits: int) -> tuple[np.ndarray, int, int]:
-    """Document frequency of each slot, number of texts and of words, over all of them."""
+                some = np.flatnonzero(size)
+                distinct = np.bincount((pair >> np.uint64(TERM)).astype(np.int64), minlength=j - i)[some]
+                term = (pair & np.uint64((1 << TERM) - 1)).astype(np.int32)
+                total = np.append(0, np.cumsum(distinct))
+                for a, z in slices(len(some), distinct, piece_terms):
+                    for a, z in ((k, min(k + (1 << PLACE), z)) for k in range(a, z, 1 << PLACE)):
+                        own = i + some[a:z]
+                        t0, t1 = total[a], total[z]
+                        columns = (batch_keys[own], size[own - i].astype(np.int32), turn[own], term[t0:t1], total[a + 1 : z + 1] - t0, count[t0:t1])
+                        ids = pa.ListArray.from_arrays(pa.array([0, z - a], pa.int32()), batch.column(0).take(pa.array(own)))
+                        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, *(blobs([c]) for c in columns)], names)
+                        number += 1
+
+    id_, text = quoted(id_col), quoted(text_col).cast("string")
+    kind = df.select(id_.alias("id")).schema["id"].dataType
+    key = row_key(id_, text)
+    residue = F.coalesce(F.pmod(id_ if isinstance(kind, IntegralType) else F.xxhash64(id_), F.lit(20)), F.pmod(key, F.lit(20)))
+    rows = df.select(id_.alias("id"), text.alias("text"), key.alias("key"), F.element_at(F.array(*[F.lit(t) for t in TURNS]), residue.cast("int") + 1).alias("turn")).where("text is not null")
+    return rows.mapInArrow(build, PIECE.format(id=kind.simpleString()))
+
+
+def statistics(pieces: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Document frequency of each bucket of terms, number of documents and of words, over all of them."""
+    schema = "part int, counts binary, n bigint, size bigint"
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, size = np.zeros(1 << bits, np.int64), 0, 0
+        total, n, size = np.zeros(1 << FREQUENCY, np.int64), 0, 0
         for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32), minlength=1 << bits)
-            n += batch.num_rows
-            size += pc.sum(batch.column(0)).as_py() or 0
+            for k in range(0, batch.num_rows, 64):  # a few MB at a time
+                length, terms = (np.frombuffer(b"".join(batch.column(c).slice(k, 64).to_pylist()), np.int32) for c in (0, 1))
+                total += np.bincount(terms >> (TERM - FREQUENCY), minlength=1 << FREQUENCY)
+                n, size = n + len(length), size + int(length.sum())
         parts = np.arange(len(total) // PART)
         yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), blobs(list(total.reshape(-1, PART))), pa.array(np.where(parts == 0, n, 0)), pa.array(np.where(parts == 0, size, 0))], ["part", "counts", "n", "size"])
 
@@ -72,410 +105,446 @@ def statistics(vectors: DataFrame, bits: int) -> tuple[np.ndarray, int, int]:
             size += pc.sum(batch.column("size")).as_py()
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), blobs([total]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], ["part", "counts", "n", "size"])
 
-    schema = "part int, counts binary, n bigint, size bigint"
-    total, n, size = np.zeros(1 << bits, np.int64), 0, 0
-    for part, counts, k, s in vectors.select("n_words", "slots").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).toLocalIterator():
+    total, n, size = np.zeros(1 << FREQUENCY, np.int64), 0, 0
+    for part, counts, k, s in pieces.select("lengths", "terms").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).toLocalIterator():
         total[part * PART : (part + 1) * PART] = np.frombuffer(bytes(counts), np.int64)
         n, size = n + k, size + s
     return total, n, size
 
 
+def spans(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges first[i]:last[i], one after the other."""
+    size = last - first
+    end = np.cumsum(size)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(first - end + size, size)
+
+
+class Likeness(NamedTuple):
+    """Groups documents by the common terms they have. It decides only which are compared together, never the scores."""
+
+    buckets: np.ndarray
+    mean: np.ndarray
+    axes: np.ndarray
+
+    def presence(self, size: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        bucket = terms >> (TERM - FREQUENCY)
+        at = np.searchsorted(self.buckets, bucket)
+        at[at == len(self.buckets)] = 0
+        there = self.buckets[at] == bucket
+        out = np.zeros((len(size), len(self.buckets)), np.float32)
+        out[np.repeat(np.arange(len(size)), size)[there], at[there]] = 1
+        return out
+
+    def group(self, size: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """A small number for each document, of the signs of its principal components."""
+        if not len(self.mean):
+            return np.zeros(len(size), np.int64)
+        return ((self.presence(size, terms) - self.mean) @ self.axes > 0) @ (1 << np.arange(self.axes.shape[1], dtype=np.int64)[::-1])
+
+
+def likeness(pieces: DataFrame, frequency: np.ndarray, n: int, terms: int = 256, axes: int = 4, sample: int = 16) -> Likeness:
+    """Fitted on about sample pieces, chosen by a hash."""
+    top = np.argsort(-frequency, kind="stable")[:terms]
+    raw = Likeness(np.sort(top[frequency[top] > 0]), np.zeros(0), np.zeros((0, 0)))
+    picked = pieces.where(F.pmod(F.xxhash64("piece"), F.lit(max(1, (n >> PLACE) // sample))) == 0).limit(4 * sample).select("ends", "terms").collect()
+    if not picked:
+        return raw
+    x = np.concatenate([raw.presence(np.diff(np.frombuffer(bytes(r["ends"]), np.int64), prepend=0), np.frombuffer(bytes(r["terms"]), np.int32)) for r in picked])
+    mean = x.mean(axis=0)
+    _, vectors = np.linalg.eigh((x - mean).T @ (x - mean))
+    return Likeness(raw.buckets, mean, np.ascontiguousarray(vectors[:, ::-1][:, :axes]))
+
+
+class Queries(NamedTuple):
+    """A block of queries: query row[i] has the term terms[term[i]]."""
+
+    n: int
+    terms: np.ndarray  # distinct, ascending
+    term: np.ndarray
+    row: np.ndarray
+
+    @classmethod
+    def of(cls, ptr: np.ndarray, terms: np.ndarray) -> Queries:
+        distinct, which = np.unique(terms, return_inverse=True)
+        return cls(len(ptr) - 1, distinct, which.astype(np.int32), np.repeat(np.arange(len(ptr) - 1, dtype=np.int32), np.diff(ptr)))
+
+
 class Shard:
-    """The inverted index of a shard, which scores its documents by BM25 for given queries.
+    """The inverted index of some documents, which scores them by BM25 for blocks of queries.
 
-    Document i has the distinct terms slot[ptr[i]:ptr[i + 1]], each count times.
-    A term that is in more than one in dense_share**2 of the pairs of a query
-    and a document is a column of a matrix product; the lists of the others are
-    looked up entry by entry.
+    Document i has the distinct terms term[ptr[i]:ptr[i + 1]], each count
+    times. The dense commonest terms are the columns of a matrix, the others
+    lists of documents that are added up query by query.
     """
 
-    def __init__(self, ptr: np.ndarray, slot: np.ndarray, count: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float, dense_share: int = 32):
-        self.n, self.ptr, self.slot, self.share = len(ptr) - 1, ptr, slot, dense_share**2
+    def __init__(self, ptr: np.ndarray, term: np.ndarray, count: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float, dense: int = 512):
+        self.n = len(ptr) - 1
         doc = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(ptr))
-        norm = K1 * (1 - B + B * length / max(mean, 1e-9))
-        impact = (idf[slot] * count * (K1 + 1) / (count + norm[doc])).astype(np.float32)
-        order = np.argsort(slot, kind="stable")
-        self.term, self.doc, self.impact = slot[order], doc[order], impact[order]
-
-    def rows(self, a: int, z: int) -> np.ndarray:
-        """Scores of all documents (columns) for documents a to z as queries."""
-        return self.scores(self.ptr[a : z + 1] - self.ptr[a], self.slot[self.ptr[a] : self.ptr[z]])
-
-    def scores(self, ptr: np.ndarray, slot: np.ndarray, docs: int | None = None) -> np.ndarray:
-        """Scores of the first docs documents, or all (columns), for queries of distinct terms slot[ptr[i]:ptr[i + 1]]."""
-        n, m = self.n if docs is None else docs, len(ptr) - 1
-        out = np.zeros((m, n), np.float32)
-        order = np.argsort(slot, kind="stable")
-        asked, query = slot[order], np.repeat(np.arange(m, dtype=np.int32), np.diff(ptr))[order]
-        inside = slice(None) if n == self.n else self.doc < n
-        term, doc, impact = self.term[inside], self.doc[inside], self.impact[inside]
-        shared = np.intersect1d(asked, term)
-        q0, q1 = np.searchsorted(asked, shared), np.searchsorted(asked, shared, "right")
-        d0, d1 = np.searchsorted(term, shared), np.searchsorted(term, shared, "right")
-        dense = (q1 - q0) * (d1 - d0) * self.share > n * m
-        columns = np.flatnonzero(dense)
-        for c in range(0, len(columns), 1024):
-            of = columns[c : c + 1024]
-            (qe, qc), (de, dc) = _spans(q0[of], q1[of]), _spans(d0[of], d1[of])
-            q, d = np.zeros((m, len(of)), np.float32), np.zeros((n, len(of)), np.float32)
-            q[query[qe], qc] = 1
-            d[doc[de], dc] = impact[de]
-            out += q @ d.T
-        flat = out.reshape(-1)
-        rare = np.flatnonzero(~dense)
-        entry, of = _spans(q0[rare], q1[rare])
-        first, size = d0[rare][of], (d1 - d0)[rare][of]
-        for a, z in slices(len(entry), size, 1 << 19):
-            e, k = _spans(first[a:z], first[a:z] + size[a:z])
-            np.add.at(flat, query[entry[a:z]][k].astype(np.int64) * n + doc[e], impact[e])
+        norm = (K1 * (1 - B + B * length / max(mean, 1e-9))).astype(np.float32)
+        impact = count.astype(np.float32)
+        impact *= idf[term >> (TERM - FREQUENCY)] * np.float32(K1 + 1) / (impact + norm[doc])
+        order = np.argsort(term, kind="stable").astype(np.int32)
+        term, self.doc, self.impact = term[order], doc[order], impact[order]
+        self.first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
+        self.last = np.append(self.first[1:], len(term))
+        self.terms = term[self.first]
+        size = self.last - self.first
+        common = np.sort(np.argpartition(-size, dense)[:dense]) if len(size) > dense else np.arange(len(size))
+        self.column = np.full(len(size), -1)
+        self.column[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), self.n), np.float32)
+        entry = spans(self.first[common], self.last[common])
+        self.matrix[np.repeat(np.arange(len(common)), size[common]), self.doc[entry]] = self.impact[entry]
+
+    def scores(self, q: Queries) -> np.ndarray:
+        """Scores of all documents (columns) for each query."""
+        if not len(self.terms):
+            return np.zeros((q.n, self.n), np.float32)
+        at = np.searchsorted(self.terms, q.terms)
+        at[at == len(self.terms)] = 0
+        at[self.terms[at] != q.terms] = -1
+        at = at[q.term]
+        row, at = q.row[at >= 0], at[at >= 0]
+        column = self.column[at]
+        asked = np.zeros((q.n, len(self.matrix)), np.float32)
+        common = column >= 0
+        asked[row[common], column[common]] = 1
+        some = np.flatnonzero(asked.any(axis=0))
+        out = asked @ self.matrix if 4 * len(some) > 3 * len(self.matrix) else np.ascontiguousarray(asked[:, some]) @ self.matrix[some]
+        row, at = row[~common], at[~common]
+        bounds = np.searchsorted(row, np.arange(q.n + 1)).tolist()
+        for i, (a, z) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            if z > a:
+                entry = spans(self.first[at[a:z]], self.last[at[a:z]])
+                out[i] += np.bincount(self.doc[entry], self.impact[entry], self.n)
         return out
 
 
-def _spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges first[i]:last[i], one after the other, and the i of each."""
-    size = last - first
-    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size), np.repeat(np.arange(len(size)), size)
+def best(query: np.ndarray, place: np.ndarray, far: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """The most best entries of each query, best first; ties go to the nearest by far, then to the lower place."""
+    order = np.lexsort((place, far, -score, query))
+    query = query[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < most
+    order = order[keep]
+    return query[keep], place[order], far[order], score[order]
 
 
-def best(query: np.ndarray, place: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most best entries of each query, best first; ties go to the lower place."""
-    order = np.lexsort((place, -score, query))
-    query, place, score = query[order], place[order], score[order]
-    rank = np.arange(len(query)) - np.searchsorted(query, query)
-    keep = rank < most
-    return query[keep], place[keep], score[keep]
+def _free(row: dict, width: int, turn: int) -> np.ndarray:
+    """Which documents of a piece are unused, have a rest to be placed, and whose turn is later."""
+    length = np.frombuffer(row["lengths"], np.int32)
+    free = (length % width > 0) & (np.frombuffer(row["turns"], np.uint8) > turn)
+    if row["taken"] is not None:
+        free &= ~np.unpackbits(np.array(row["taken"], np.int64).view(np.uint8), bitorder="little")[: len(free)].astype(bool)
+    return free
 
 
-def windows(shard: Shard, length: np.ndarray, width: int, block: int = 512) -> list[list[tuple[int, float]]]:
-    """Windows of (document, score for the seed) of one shard alone: each unused document in order seeds one, then the best unused that fit follow.
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
 
-    retrieval_packed() fills the same windows where one list holds all documents.
-    """
-    unused = length > 0
-    out = []
-    scores, low = None, 0
-    for seed in range(len(length)):
-        if not unused[seed]:
-            continue
-        unused[seed] = False
-        row, left = [(seed, 0.0)], width - int(length[seed])
-        if left > 0 and (scores is None or seed >= low + len(scores)):
-            low = seed
-            scores = shard.rows(low, min(low + block, len(length)))
-        own = scores[seed - low] if left > 0 else None
-        while left > 0:
-            fits = unused & (length <= left)
-            top = int(np.argmax(np.where(fits, own, -1.0)))
-            if not fits[top]:
-                break
-            unused[top] = False
-            row.append((top, float(own[top])))
-            left -= int(length[top])
-        out.append(row)
-    return out
 
+def _places(piece: int, n: int) -> np.ndarray:
+    return (piece << PLACE) + np.arange(n)
 
-class Filling:
-    """The windows, while they are filled. Documents are known by their places in the order of ids.
 
-    window[i] is the seed of the window that holds document i, -1 before; rank
-    and score are those in it. open: the room left in windows that may take more.
-    """
+def seeds_of(state: DataFrame, width: int, turn: int) -> DataFrame:
+    """(place, key, terms) of the unused documents whose turn it is."""
 
-    STEP = 1024
-
-    def __init__(self, length: np.ndarray, width: int):
-        n = len(length)
-        self.length, self.width = length, width
-        self.unused = length > 0
-        self.window, self.rank, self.score = np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n, np.float32)
-        self.taken: dict[int, int] = {}
-        self.open: dict[int, int] = {}
-        padded = np.full(-(-max(n, 1) // self.STEP) * self.STEP, np.iinfo(np.int32).max, np.int64)
-        padded[:n][self.unused] = length[self.unused]
-        self.free = padded.reshape(-1, self.STEP)  # lengths of unused documents
-        self.least = self.free.min(axis=1)
-
-    def put(self, doc: int, seed: int, score: float) -> None:
-        k = self.taken.get(seed, 0)
-        self.taken[seed] = k + 1
-        self.window[doc], self.rank[doc], self.score[doc], self.unused[doc] = seed, k, score, False
-        i, j = divmod(doc, self.STEP)
-        self.free[i, j] = np.iinfo(np.int32).max
-        self.least[i] = self.free[i].min()
-
-    def fill(self, seed: int, places: np.ndarray, scores: np.ndarray, whole: bool) -> None:
-        """Fill the window of seed from its list; whole: no other unused document that fits has a score.
-
-        A seed whose cut list is used up before it began waits for a new list.
-        """
-        if seed not in self.open:
-            if not self.unused[seed]:
-                return
-            if not whole and not self.unused[places].any():
-                return
-            self.put(seed, seed, 0.0)
-            self.open[seed] = self.width - int(self.length[seed])
-        left = self.open[seed]
-        for doc, score in zip(places.tolist(), scores.tolist(), strict=True):
-            if left and self.unused[doc] and self.length[doc] <= left:
-                self.put(doc, seed, score)
-                left -= int(self.length[doc])
-        while whole and left and self.least.min() <= left:
-            i = int(np.argmax(self.least <= left))
-            doc = i * self.STEP + int(np.argmax(self.free[i] <= left))
-            self.put(doc, seed, 0.0)
-            left -= int(self.length[doc])
-        self.open[seed] = left
-        if whole or not left or self.least.min() > left:
-            del self.open[seed], self.taken[seed]
-
-    def close(self) -> None:
-        """Close the windows that no unused document fits in."""
-        least = self.least.min()
-        for seed in [s for s, left in self.open.items() if left < least]:
-            del self.open[seed], self.taken[seed]
-
-
-def ordered(vectors: DataFrame, parts: int) -> tuple[DataFrame, np.ndarray]:
-    """vectors with the place of each row in the order of ids, nulls last, and n_words by place; repeated ids in the order of a hash of their terms."""
-
-    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, at = TaskContext.get(), 0
+    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = np.full(batch.num_rows, context.partitionId() if context else 0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part), pa.array(np.arange(at, at + batch.num_rows))], [*batch.schema.names, "part", "row"])
-            at += batch.num_rows
-
-    keys = [F.col("id").asc_nulls_last(), F.xxhash64("slots", "counts", "n_words")]
-    schema = f"id {vectors.schema['id'].dataType.simpleString()}, n_words int, slots binary, counts binary, part int, row bigint"
-    rows = written(vectors.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(number, schema), "ordered")
-    size = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
-    begin = np.concatenate([[0], np.cumsum([size.get(k, 0) for k in range(parts)])])
-    starts = F.array(*[F.lit(int(x)) for x in begin[:-1]])
-    placed = rows.withColumn("place", F.element_at(starts, F.col("part") + 1) + F.col("row").cast("int")).drop("part", "row")
-    length = np.zeros(int(begin[-1]), np.int32)
-    for batch in (b for b in placed.select("place", "n_words").toArrow().to_batches()):
-        length[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    return placed, length
-
-
-SHARD = "places binary, lengths binary, slots binary, ends binary, counts binary"
-
-
-def shards_of(placed: DataFrame, width: int, shard_docs: int) -> DataFrame:
-    """One row for each shard of at most shard_docs documents, those of the shortest rests first. lengths: the words in all, and in the rest after full windows."""
-
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        rows = pa.Table.from_batches(held) if held else None
-        blocks = -(-rows.num_rows // shard_docs) if held else 0
-        for k in range(blocks):
-            a, z = rows.num_rows * k // blocks, rows.num_rows * (k + 1) // blocks
-            own = rows.slice(a, z - a)
-            length = own.column("n_words").to_numpy()
-            order = np.argsort(length % width, kind="stable")
-            own, length = own.take(pa.array(order)), length[order]
-            lists = own.column("slots").to_pylist()
-            ends = np.cumsum([len(x) // 4 for x in lists]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [blobs([x]) for x in (own.column("place").to_numpy().astype(np.int32), np.stack([length, length % width]).astype(np.int32), b"".join(lists), ends, b"".join(own.column("counts").to_pylist()))],
-                [x.split()[0] for x in SHARD.split(", ")],
-            )
-
-    return placed.select("place", "n_words", "slots", "counts").mapInArrow(cut, SHARD)
-
-
-def neighbours(shards: DataFrame, queries: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], unused: np.ndarray, idf, mean: float, most: int, block: int = 1024) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places, scores) of the most best unused documents for each query, over all shards.
-
-    queries: place, room, ptr and slots; query i has the terms
-    slots[ptr[i]:ptr[i + 1]] and documents longer than room[i] are passed over,
-    as are those of score 0 and the query itself. A list shorter than most is whole.
+            for row in rows_of(batch):
+                own = np.flatnonzero(_free(row, width, turn - 1) & (np.frombuffer(row["turns"], np.uint8) == turn))
+                ends, terms = np.frombuffer(row["ends"], np.int64), np.frombuffer(row["terms"], np.int32)
+                begin = np.append(0, ends)
+                if len(own):
+                    lists = blobs([terms[begin[k] : ends[k]] for k in own.tolist()])
+                    yield pa.RecordBatch.from_arrays([pa.array(_places(row["piece"], len(ends))[own]), pa.array(np.frombuffer(row["keys"], np.int64)[own]), lists], ["place", "key", "terms"])
+
+    return state.select("piece", "keys", "lengths", "turns", "terms", "ends", "taken").mapInArrow(pick, "place bigint, key bigint, terms binary")
+
+
+def neighbours(state: DataFrame, seeds: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], idf: Broadcast, mean: float, width: int, turn: int, most: int, shard_docs: int, like: Likeness, block: int = 512) -> DataFrame:
+    """(place, seed, key, rank, score): for each seed its most best documents over all shards, ranks from 1.
+
+    seeds: their places, keys, ptr and terms. Documents that are used, that
+    are seeds of this round or before, or that score 0 are in no list.
     """
-    sc = shards.sparkSession.sparkContext
-    shared = sc.broadcast((*queries, np.packbits(unused), len(unused)))
+    sc = state.sparkSession.sparkContext
+    shared = sc.broadcast(seeds)
+
+    def shards(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Shard, np.ndarray, np.ndarray]]:
+        """The free documents of the pieces, like ones together, shard_docs at a time: index, places and keys."""
+        held: list[tuple[np.ndarray, ...]] = []
+        docs = terms = 0
+
+        def out() -> Iterator[tuple[Shard, np.ndarray, np.ndarray]]:
+            term, count, size, length, place, key, group = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(group, kind="stable")
+            last = np.cumsum(size)
+            for part in np.array_split(order, max(1, -(-len(order) // shard_docs))):
+                entry = spans(last[part] - size[part], last[part])
+                yield Shard(np.append(0, np.cumsum(size[part])), term[entry], count[entry], length[part], idf.value, mean), place[part], key[part]
 
-    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, room, ptr, slots, bits, n = shared.value
-        free = np.unpackbits(bits, count=n).astype(bool)
-        blocks = [(a, min(a + block, len(place))) for a in range(0, len(place), block)]
-        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        floor = np.zeros(len(place), np.float32)
         for batch in batches:
-            for b in range(batch.num_rows):
-                docs, lengths, terms, ends, counts = (np.frombuffer(batch.column(k)[b].as_py(), t) for k, t in enumerate((np.int32, np.int32, np.int32, np.int64, np.uint16)))
-                length, rest = lengths.reshape(2, -1)
-                keep = free[docs] & (rest <= room.max(initial=0))
-                if not keep.any():
+            for row in rows_of(batch):
+                free = _free(row, width, turn)
+                if not free.any():
                     continue
-                size = np.diff(np.concatenate([[0], ends]))
-                entries = np.repeat(keep, size)
-                docs, length, rest = docs[keep], length[keep], rest[keep]
-                own = np.concatenate([[0], np.cumsum(size[keep])])
-                shard = Shard(own, terms[entries], counts[entries].astype(np.float32), length, idf.value, mean)
-                for k, (a, z) in enumerate(blocks):
-                    m = int(np.searchsorted(rest, room[a:z].max(), "right"))
-                    if not m:
-                        continue
-                    out = shard.scores(ptr[a : z + 1] - ptr[a], slots[ptr[a] : ptr[z]], m)
-                    if rest[m - 1] > room[a:z].min():
-                        out[rest[:m] > room[a:z, None]] = 0
-                    out[place[a:z, None] == docs[:m]] = 0
-                    good = (out > 0) & (out >= floor[a:z, None])
-                    if m > most and np.count_nonzero(good) > 4 * most * (z - a):
-                        floor[a:z] = np.maximum(floor[a:z], np.partition(out, m - most, axis=1)[:, m - most])
-                        good = (out > 0) & (out >= floor[a:z, None])
-                    i, j = np.nonzero(good)
-                    new = (i, docs[j], out[i, j])
-                    held[k] = best(*(np.concatenate(x) for x in zip(held[k], new, strict=True)), most) if k in held else best(*new, most)
-                    q, _, score = held[k]
-                    first, number = np.searchsorted(q, np.arange(z - a)), np.bincount(q, minlength=z - a)
-                    full = np.flatnonzero(number == most)
-                    floor[a + full] = np.maximum(floor[a + full], score[first[full] + most - 1])
-        for k, (q, p, score) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(blobs([x.astype(t)]) for x, t in ((q, np.int32), (p, np.int32), (score, np.float32)))], ["block", "query", "place", "score"])
+                size = np.diff(np.frombuffer(row["ends"], np.int64), prepend=0)
+                entries = np.repeat(free, size)
+                term, size = np.frombuffer(row["terms"], np.int32)[entries], size[free]
+                held.append((term, np.frombuffer(row["counts"], np.int32)[entries], size, np.frombuffer(row["lengths"], np.int32)[free], _places(row["piece"], len(free))[free], np.frombuffer(row["keys"], np.uint64)[free], like.group(size, term)))
+                docs, terms = docs + len(size), terms + len(term)
+                if docs >= 2 * shard_docs or terms >= 512 * shard_docs:
+                    yield from out()
+                    docs = terms = 0
+        if held:
+            yield from out()
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, keys, ptr, terms = shared.value
+        keys = keys.view(np.uint64)
+        cuts = [(a, min(a + block, len(keys))) for a in range(0, len(keys), block)]
+        queries = [Queries.of(ptr[a : z + 1] - ptr[a], terms[ptr[a] : ptr[z]]) for a, z in cuts]
+        held: list[list[tuple[np.ndarray, ...]]] = [[] for _ in cuts]
+        floor = np.full(len(keys), 0.5 / STEP, np.float32)
+
+        def settle(k: int) -> None:
+            """Leave the best of what block k holds, and raise its floors to the last of full lists."""
+            a, z = cuts[k]
+            now = best(*(np.concatenate(x) for x in zip(*held[k], strict=True)), most)
+            held[k] = [now]
+            first, number = np.searchsorted(now[0], np.arange(z - a)), np.bincount(now[0], minlength=z - a)
+            full = np.flatnonzero(number == most)
+            floor[a + full] = np.maximum(floor[a + full], now[3][first[full] + most - 1] - np.float32(0.5) / STEP)
+
+        for shard, docs, names in shards(batches):
+            for k, (a, z) in enumerate(cuts):
+                out = shard.scores(queries[k])
+                good = out >= floor[a:z, None]
+                if shard.n > most and np.count_nonzero(good) > 2 * most * (z - a):
+                    top = np.partition(out, shard.n - most, axis=1)[:, shard.n - most]
+                    floor[a:z] = np.maximum(floor[a:z], top - 1 / STEP)
+                    good = out >= floor[a:z, None]
+                i, j = np.nonzero(good)
+                found = _candidates(i, j, np.rint(out[i, j] * STEP) / STEP, keys[a:z], names, most)
+                held[k].append((found[0].astype(np.int32), docs[found[1]], *found[2:]))
+                if sum(len(x[0]) for x in held[k][1:]) > most * (z - a) // 2 or len(held[k]) == 1:
+                    settle(k)
+        for k in range(len(cuts)):
+            if held[k]:
+                settle(k)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(blobs([x.astype(t)]) for x, t in zip(held[k][0], TYPES, strict=True))], ["block", "query", "place", "far", "score"])
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists: list[list[np.ndarray]] = [[], [], []]
+        parts: list[list[np.ndarray]] = [[], [], [], []]
         for batch in batches:
-            for k, (name, t) in enumerate((("query", np.int32), ("place", np.int32), ("score", np.float32))):
-                lists[k] += [np.frombuffer(x, t) for x in batch.column(name).to_pylist()]
-        top = best(*map(np.concatenate, lists), most)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), *(blobs([x]) for x in top)], ["block", "query", "place", "score"])
+            for k, t in enumerate(TYPES):
+                parts[k] += [np.frombuffer(x, t) for x in batch.column(1 + k).to_pylist()]
+        query, place, _, score = best(*map(np.concatenate, parts), most)
+        rank = np.arange(len(query)) - np.searchsorted(query, query) + 1
+        at = key[0].as_py() * block + query
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(shared.value[0][at]), pa.array(shared.value[1][at]), pa.array(rank.astype(np.int32)), pa.array(score)], ["place", "seed", "key", "rank", "score"])
 
-    schema = "block int, query binary, place binary, score binary"
     # few tasks, so that each brings the lists of many shards together before they are sent on
-    found = shards.coalesce(2 * sc.defaultParallelism).mapInArrow(search, schema).groupBy("block").applyInArrow(merge, schema)
-    none = (np.zeros(0, np.int32), np.zeros(0, np.float32))
-    out = [none] * len(queries[0])
-    for k, q, p, score in found.toLocalIterator():
-        q, p, score = np.frombuffer(bytes(q), np.int32), np.frombuffer(bytes(p), np.int32), np.frombuffer(bytes(score), np.float32)
-        first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
-        for i, a, z in zip(q[first].tolist(), first.tolist(), [*first[1:].tolist(), len(q)], strict=True):
-            out[k * block + i] = (p[a:z], score[a:z])
-    shared.destroy()
-    return out
-
+    found = state.drop("ids").coalesce(sc.defaultParallelism).mapInArrow(search, "block int, query binary, place binary, far binary, score binary")
+    return found.groupBy("block").applyInArrow(merge, "place bigint, seed bigint, key bigint, rank int, score float")
 
-def terms_of(placed: DataFrame, wanted: np.ndarray) -> dict[int, np.ndarray]:
-    """The distinct terms of the documents at the wanted places."""
 
-    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), wanted)))
+TYPES = (np.int32, np.int64, np.uint32, np.float32)
 
-    rows = placed.where(F.col("place").between(int(wanted.min()), int(wanted.max()))).select("place", "slots")
-    got = rows.mapInArrow(pick, "place int, slots binary").toArrow()
-    return {p: np.frombuffer(x, np.int32) for p, x in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)}
 
+def _candidates(i: np.ndarray, j: np.ndarray, score: np.ndarray, asked: np.ndarray, names: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """(query, document, far, score) of the entries that may be among the most best of their query.
 
-def retrieval_packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2048, bits: int = 20, shard_docs: int = 4096, list_docs: int = 64, round_seeds: int = 16384, last_docs: int = 2048) -> DataFrame:
-    """(shard, window, doc_ids, starts, lengths, scores, n_words): every word of every document in exactly one window.
+    far is how far the document's key follows the query's, so that of many
+    copies each seed prefers other ones.
+    """
+    far = ((names[j] - asked[i]) >> np.uint64(32)).astype(np.uint32)
+    number = np.bincount(i, minlength=len(asked))
+    if (many := np.flatnonzero(number > 4 * most)).size:  # ties without end: the best of each such query first
+        bounds = np.append(0, np.cumsum(number))
+        keep = np.repeat(number <= 4 * most, number)
+        for q in many.tolist():
+            own = np.arange(bounds[q], bounds[q + 1])
+            keep[own[np.lexsort((far[own], -score[own]))[:most]]] = True
+        i, j, far, score = i[keep], j[keep], far[keep], score[keep]
+    return i, j, far, score
+
+
+def _used(taken: list[DataFrame], pieces: int) -> DataFrame:
+    """(piece, taken): which of each piece's documents are used, bit by bit; broadcast up to 64 MB at 64 bytes a piece."""
+    every = reduce(DataFrame.unionByName, [t.select("place") for t in taken])
+    word = (1 << PLACE) // 64
+    bits = [F.coalesce(F.bit_or(F.expr(f"CASE WHEN shiftright(place, 6) % {word} = {k} THEN shiftleft(1L, cast(place & 63 AS int)) END")), F.lit(0).cast("bigint")) for k in range(word)]
+    used = every.groupBy(F.shiftright("place", PLACE).alias("piece")).agg(F.array(*bits).alias("taken"))
+    return F.broadcast(used) if 64 * pieces <= 64 << 20 else used
+
+
+def assigned(pieces: DataFrame, idf: Broadcast, mean: float, width: int, list_docs: int, shard_docs: int, query_bytes: int, like: Likeness) -> list[DataFrame]:
+    """(place, seed, rank, score) of every document with a rest to be placed, a written table for each round."""
+    taken: list[DataFrame] = []
+    number = pieces.count()
+    for turn in range(max(TURNS) + 1):
+        state = pieces.join(_used(taken, number), "piece", "left") if taken else pieces.withColumn("taken", F.lit(None).cast("array<bigint>"))
+        seeds = written(seeds_of(state, width, turn), "seeds")
+        size = seeds.agg(F.sum(F.length("terms") + 16).alias("bytes")).first()["bytes"]
+        if not size:
+            dropped(seeds)
+            continue
+        parts = -(-size // query_bytes)
+        lists = []
+        for part in range(parts):
+            own = seeds.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).toArrow()
+            place, key, terms = own.column(0).to_numpy(), own.column(1).to_numpy(), [np.frombuffer(x, np.int32) for x in own.column(2).to_pylist()]
+            order = np.lexsort((place, like.group(np.array([len(x) for x in terms]), np.concatenate(terms))))
+            queries = (place[order], key[order], np.append(0, np.cumsum([len(terms[k]) for k in order])), np.concatenate([terms[k] for k in order]))
+            lists.append(neighbours(state, queries, idf, mean, width, turn, list_docs, shard_docs, like))
+        one = reduce(DataFrame.unionByName, lists).groupBy("place").agg(F.min(F.struct("rank", (-F.col("score")).alias("less"), "key", "seed")).alias("of"))
+        one = one.select("place", "of.seed", "of.rank", (-F.col("of.less")).alias("score"))
+        own = seeds.select("place", F.col("place").alias("seed"), F.lit(0).alias("rank"), F.lit(0).cast("float").alias("score"))
+        taken.append(written(one.unionByName(own), "taken"))
+        dropped(seeds)
+    return taken
+
+
+def retrieval_packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2048, list_docs: int = 128, shard_docs: int = 4096, query_bytes: int = 8 << 20) -> DataFrame:
+    """(shard, window, doc_ids, starts, lengths, scores, seed_ids, n_words): every word of every document in exactly one window.
 
     A window holds at most width words. A longer document gives windows of its
     own for each full width and takes part with the rest of its words; starts
-    are the places of the pieces' first words in their documents. scores are
-    the BM25 scores for the seed, which stands first with score 0.
-
-    Document frequencies and the mean length are those of all documents, by
-    slots of 2**bits hashed terms. The index has shards of at most shard_docs
-    documents and every seed queries all of them, exactly.
-
-    Windows are filled in rounds. In a round the open windows and the next
-    unused documents, in the order of ids, at most round_seeds in all, get the
-    list_docs unused documents that fit and score best. In that order each
-    takes the best of its list that is still unused and fits. A window whose
-    list is used up stays open and asks again in the next round, a seed whose
-    list is used up before it begins waits. So every document taken is the best
-    of all the table's that were unused and fit. Where no other document that
-    fits has a score, those of score 0 follow in the order of ids. When no more
-    than last_docs are unused, lists hold all of them. The sizes decide the
-    turn in which windows take documents, not what a seed may find.
-
-    shard is the number of the seed's block of shard_docs documents in the
-    order of ids, window a number in it.
-
-    Null and wordless texts are in no window.  Null ids are kept and seed last.
-    Repeated rows are packed each.  Ties in score go to the lower id, then to
-    a hash of the terms.  Empty table: no rows.  Other columns are ignored.
+    are the places of the pieces' first words in their documents.
+
+    In the first round the documents whose id is divisible by 20 are seeds
+    (of ids that aren't integers, a hash), in five more rounds those left of
+    the other residues, see TURNS.  Every seed queries all shards of the index
+    (made of the pieces of up to shard_docs documents that are left)
+    exactly and gets its list_docs best unused documents that aren't seeds
+    themselves.  A document in several lists goes to the one where its rank is
+    lowest, then its score highest.  What a seed has got fills its windows
+    greedily: in the order of ranks each goes to the first window of the seed
+    that has room.  Windows that aren't full are then brought together by best
+    fit, so a window may hold several seeds, each followed by its neighbours:
+    seed_ids names the seed of each piece, scores are the BM25 scores for it,
+    0 for the seed.
+
+    The mean length is that of all documents.  Document frequencies are those
+    of all documents, counted in 2**20 buckets of hashed terms; terms are told
+    apart by 31 bits.  Scores are compared in steps of 1/256.  Seeds go to the
+    shards in parts of at most query_bytes.
+
+    Null and wordless texts are in no window.  Null ids are kept.  Repeated
+    rows are packed each.  Ties in a list go to the document whose hash of id
+    and text follows the seed's most closely.  Empty table: no rows.  Other
+    columns are ignored.
     """
-    vectors = written(term_vectors(df, id_col, text_col, bits).where("n_words > 0"), "vectors")
-    frequency, n, size = statistics(vectors, bits)
-    idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
-    mean = size / max(1, n)
     sc = df.sparkSession.sparkContext
-    shared = sc.broadcast(idf)
-    kind = vectors.schema["id"].dataType.simpleString()
-    placed, length = ordered(vectors, max(1, -(-n // shard_docs)))
-    dropped(vectors)
-    shards = written(shards_of(placed, width, shard_docs), "shards")
-
-    filling = Filling(length % width, width)
-    terms: dict[int, np.ndarray] = {}
-    while filling.unused.any():
-        filling.close()
-        left = int(filling.unused.sum())
-        asking = list(filling.open)[:round_seeds]
-        last = left <= last_docs and len(asking) <= last_docs
-        most = left if last else list_docs
-        number = left if last else 0 if left <= last_docs else min(max(0, round_seeds - len(asking)), max(256, left // 16))
-        asking += np.flatnonzero(filling.unused)[:number].tolist()
-        terms = {k: terms[k] for k in filling.open if k in terms}
-        if missing := [k for k in asking if k not in terms]:
-            terms |= terms_of(placed, np.array(missing, np.int32))
-        slots = [terms[k] for k in asking]
-        room = np.array([filling.open.get(k, width - int(filling.length[k])) for k in asking], np.int32)
-        order = np.argsort(room, kind="stable")  # blocks of like room, which pass over the same documents
-        queries = (np.array(asking, np.int32)[order], room[order], np.concatenate([[0], np.cumsum([len(slots[k]) for k in order])]), np.concatenate([slots[k] for k in order]))
-        found = dict(zip(order.tolist(), neighbours(shards, queries, filling.unused, shared, mean, most), strict=True))
-        for k, seed in enumerate(asking):
-            filling.fill(seed, *found[k], last or len(found[k][0]) < most)
-    dropped(shards)
-
-    at = sc.broadcast((filling.window, filling.rank, filling.score))
-
-    def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window, rank, score = at.value
+    kind = df.select(quoted(id_col).alias("id")).schema["id"].dataType.simpleString()
+    pieces = written(index_pieces(df, id_col, text_col), "pieces")
+    frequency, n, size = statistics(pieces)
+    # of a bucket with several terms, more documents may be counted than there are
+    idf = sc.broadcast(np.log1p((np.maximum(n - frequency, 0) + 0.5) / (frequency + 0.5)).astype(np.float32))
+    taken = assigned(pieces, idf, size / max(1, n), width, list_docs, shard_docs, query_bytes, likeness(pieces, frequency, n))
+
+    def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place, words_ = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            full, rest = words_ // width, words_ % width
-            # windows of their own come before the one that holds the rest
-            k, own = _spans(np.zeros_like(full), full)
-            tail = np.flatnonzero(rest)
-            row = np.concatenate([own, tail])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(row)),
-                    *(pa.array(np.concatenate(x).astype(t)) for x, t in (((place[own], window[place[tail]]), np.int32), ((k, np.full(len(tail), -1)), np.int32), ((np.zeros(len(own)), rank[place[tail]]), np.int32), ((k * width, full[tail] * width), np.int32), ((np.full(len(own), width), rest[tail]), np.int32), ((np.zeros(len(own)), score[place[tail]]), np.float32))),
-                ],
-                ["id", "seed", "piece", "rank", "start", "length", "score"],
-            )
-
-    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in whole_shards(batches):
-            seed, piece = own.column("seed").to_numpy(), own.column("piece").to_numpy()
-            first = np.flatnonzero(np.append(True, (seed[1:] != seed[:-1]) | (piece[1:] != piece[:-1])))
-            ends = pa.array(np.append(first, len(seed)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, own.column(c).combine_chunks()) for c in ("id", "start", "length", "score")]
-            total = np.add.reduceat(own.column("length").to_numpy(), first)
-            yield pa.RecordBatch.from_arrays([pa.array(own.column("shard").to_numpy()[first]), pa.array(np.arange(len(first), dtype=np.int32)), *lists, pa.array(total.astype(np.int32))], ["shard", "window", "doc_ids", "starts", "lengths", "scores", "n_words"])
-
-    def whole_shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            shard = batch.column("shard").to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
-            for a, z in zip(cuts, cuts[1:], strict=False):
-                if a == z:
-                    continue
-                if held and held[-1].column("shard")[0].as_py() != shard[a]:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                held.append(batch.slice(a, z - a))
-        if held:
-            yield pa.Table.from_batches(held)
+            for k in range(batch.num_rows):
+                ids = batch.column(1)[k].values
+                yield pa.RecordBatch.from_arrays([pa.array(_places(batch.column(0)[k].as_py(), len(ids))), ids, *(pa.array(np.frombuffer(batch.column(c)[k].as_buffer(), t)) for c, t in ((2, np.int32), (3, np.int64)))], ["place", "id", "n_words", "key"])
+
+    docs = pieces.select("piece", "ids", "lengths", "keys").mapInArrow(placed, f"place bigint, id {kind}, n_words int, key bigint")
+    if taken:
+        docs = docs.join(reduce(DataFrame.unionByName, taken), "place", "left")
+    else:
+        docs = docs.withColumns({"seed": F.lit(None).cast("bigint"), "rank": F.lit(None).cast("int"), "score": F.lit(None).cast("float")})
+    docs = docs.select("id", "n_words", F.coalesce("seed", "place").alias("seed"), F.coalesce("rank", F.lit(0)).alias("rank"), F.coalesce("score", F.lit(0).cast("float")).alias("score"), "place")
+    rows = docs.repartition("seed").sortWithinPartitions("seed", "rank", "place")
+    schema = f"shard int, window int, doc_ids array<{kind}>, starts array<int>, lengths array<int>, scores array<float>, seed_ids array<{kind}>, n_words int"
+    return rows.mapInArrow(lambda batches: _filled(batches, width), schema)
+
+
+def first_fit(lengths: list[int], width: int) -> list[list[int]]:
+    """Windows of the numbers of pieces: each piece in the first window that has room for it."""
+    out: list[list[int]] = []
+    room: list[int] = []
+    for k, n in enumerate(lengths):
+        at = next((w for w, left in enumerate(room) if left >= n), None)
+        if at is None:
+            out.append([])
+            room.append(width)
+            at = len(room) - 1
+        out[at].append(k)
+        room[at] -= n
+    return out
+
 
-    rows = placed.select("id", "place", "n_words").mapInArrow(pieces, f"id {kind}, seed int, piece int, rank int, start int, length int, score float")
-    rows = rows.withColumn("shard", F.floor(F.col("seed") / shard_docs).cast("int")).repartition("shard").sortWithinPartitions("shard", "seed", "piece", "rank")
-    return rows.mapInArrow(gather, f"shard int, window int, doc_ids array<{kind}>, starts array<int>, lengths array<int>, scores array<float>, n_words int")
+def _filled(batches: Iterable[pa.RecordBatch], width: int, block: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Windows of rows(id, n_words, seed, rank, score) sorted by seed and rank."""
+    context = TaskContext.get()
+    number, part = 0, context.partitionId() if context else 0
+
+    def out(ids: pa.Array, doc: list[int], start: list[int], length: list[int], score: list[float], seed: list[int], wins: list[list[int]]) -> pa.RecordBatch:
+        """Windows of numbers of pieces, whose properties are listed."""
+        nonlocal number
+        flat = np.array([p for w in wins for p in w], np.int64)
+        ends = pa.array(np.append(0, np.cumsum([len(w) for w in wins])).astype(np.int32))
+        size = np.array(length, np.int32)[flat]
+        columns = [ids.take(pa.array(np.array(doc)[flat])), pa.array(np.array(start, np.int32)[flat]), pa.array(size), pa.array(np.array(score, np.float32)[flat]), ids.take(pa.array(np.array(seed)[flat]))]
+        total = np.add.reduceat(size, np.append(0, np.cumsum([len(w) for w in wins]))[:-1])
+        window = np.arange(number, number + len(wins), dtype=np.int32)
+        number += len(wins)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(wins), part, np.int32)), pa.array(window), *(pa.ListArray.from_arrays(ends, c) for c in columns), pa.array(total.astype(np.int32))], ["shard", "window", "doc_ids", "starts", "lengths", "scores", "seed_ids", "n_words"])
+
+    def windows(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """All windows of whole groups of rows."""
+        ids = table.column("id").combine_chunks()
+        size, group, scores = (table.column(c).to_numpy() for c in ("n_words", "seed", "score"))
+        cuts = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)).tolist()
+        doc: list[int] = []
+        start: list[int] = []
+        length: list[int] = []
+        score: list[float] = []
+        seed: list[int] = []
+        full: list[list[int]] = []
+        open_: list[list[int]] = []
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            rest = []
+            for k in range(a, z):
+                n = int(size[k])
+                for at in range(0, n - n % width, width):
+                    full.append([len(doc)])
+                    doc.append(k), start.append(at), length.append(width), score.append(0.0), seed.append(k)
+                if n % width:
+                    rest.append(len(doc))
+                    doc.append(k), start.append(n - n % width), length.append(n % width), score.append(float(scores[k])), seed.append(a)
+            for w in first_fit([length[p] for p in rest], width):
+                own = [rest[k] for k in w]
+                (full if sum(length[p] for p in own) == width else open_).append(own)
+        together = best_fit_decreasing(np.array([sum(length[p] for p in w) for w in open_], np.int64), width)
+        wins = full + [[p for w in row for p in open_[w]] for row in together]
+        for k in range(0, len(wins), 4096):
+            yield out(ids, doc, start, length, score, seed, wins[k : k + 4096])
+
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = batch.column("seed").to_numpy()
+        if rows >= block:  # up to the end of the group that the rows held end in
+            last = held[-1].column("seed")[held[-1].num_rows - 1].as_py()
+            cut = int(np.searchsorted(group, last, "right"))
+            if cut:
+                held.append(batch.slice(0, cut))
+            if cut < len(group):
+                yield from windows(pa.Table.from_batches(held))
+                held, rows = [], 0
+                batch = batch.slice(cut)
+            else:
+                rows += cut
+                continue
+        held.append(batch)
+        rows += batch.num_rows
+    if held:
+        yield from windows(pa.Table.from_batches(held))
