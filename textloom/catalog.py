@@ -116,7 +116,17 @@ def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.chunk_recursive(load(spark, sf_dir, "documents"), chunk_size=512)
 
 
-@query()
+@query(
+    """WITH RECURSIVE l AS (SELECT doc_id, string_split(text, '') AS xs FROM documents WHERE text <> ''),
+    u AS (SELECT doc_id, unnest(range(1, len(xs) + 1)) AS i, unnest(xs) AS x FROM l),
+    ch AS (SELECT doc_id, i, x IN (chr(10), '.', '?') AS stop, sum(octet_length(encode(x))) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM u),
+    n AS (SELECT doc_id, max(e) AS n, max(i) AS chars FROM ch GROUP BY doc_id),
+    c AS (SELECT doc_id, 0 AS pos, 0::BIGINT AS a, 0::HUGEINT AS b FROM n
+        UNION ALL SELECT c.doc_id, c.pos + 1, coalesce(max(ch.i) FILTER (stop), max(ch.i)), coalesce(max(ch.e) FILTER (stop), max(ch.e))
+        FROM c JOIN n ON n.doc_id = c.doc_id JOIN ch ON ch.doc_id = c.doc_id AND ch.e > c.b AND ch.e <= c.b + 1024 WHERE n.n - c.b > 1024 GROUP BY c.doc_id, c.pos),
+    r AS (SELECT c.doc_id, pos, a, coalesce(lead(a) OVER (PARTITION BY c.doc_id ORDER BY pos), chars) AS z FROM c JOIN n ON n.doc_id = c.doc_id)
+    SELECT r.doc_id, pos, text[a + 1 : z] AS text, a::INT AS start_index, z::INT AS end_index, 0 AS token_count FROM r JOIN documents AS d ON d.doc_id = r.doc_id"""
+)
 def chunk_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.chunk_bytes(load(spark, sf_dir, "documents"), chunk_size=1024)
 
