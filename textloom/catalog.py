@@ -106,7 +106,14 @@ def chunk_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.chunk_sentences(load(spark, sf_dir, "documents"), chunk_size=512)
 
 
-@query()
+@query(
+    SENTENCES[: SENTENCES.index("c AS (SELECT doc_id, i, length(x)")]
+    + """b AS (SELECT doc_id, list(x ORDER BY i) AS xs, len(list(x)) AS n, list_concat([0], list_transform(range(1, len(list(x)) + 1), lambda k: list_sum(list_transform(list_slice(list(x ORDER BY i), 1, k), lambda y: length(y)))::BIGINT)) AS cs FROM t GROUP BY doc_id),
+    c AS (SELECT doc_id, 0 AS pos, 0::BIGINT AS i, least(n, greatest(2, coalesce(list_max(list_filter(range(1, n + 1), lambda k: cs[k + 1] <= 512)), 1))) AS j FROM b
+        UNION ALL SELECT doc_id, pos + 1, i, least(n, greatest(i + 2, coalesce(list_max(list_filter(range(i + 1, n + 1), lambda k: cs[k + 1] - cs[i + 1] <= 512)), i + 1)))
+        FROM (SELECT c.doc_id, c.pos, b.n, b.cs, list_min(list_filter(range(c.i + 1, c.j + 1), lambda k: b.cs[c.j + 1] - b.cs[k + 1] + c.j - k <= 128)) AS i FROM c JOIN b ON b.doc_id = c.doc_id WHERE c.j < b.n))
+    SELECT c.doc_id, pos, array_to_string(list_slice(xs, i + 1, j), '') AS text, cs[i + 1]::INT AS start_index, cs[j + 1]::INT AS end_index, (cs[j + 1] - cs[i + 1])::INT AS token_count FROM c JOIN b ON b.doc_id = c.doc_id"""
+)
 def chunk_sentence_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.chunk_sentences(load(spark, sf_dir, "documents"), chunk_size=512, chunk_overlap=128, min_sentences_per_chunk=2)
 
@@ -401,12 +408,25 @@ def chunk_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.chunk_inner(parse_tables(_markdown(spark, sf_dir)), "tables", "table", chunk_size=3)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE m AS ({MARKDOWN}), o AS (SELECT o_custkey AS doc_id, {_ROW} AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS c FROM orders),
+    l AS (SELECT o.doc_id, r, CASE WHEN r = c THEN left(line, length(line) - 1) ELSE line END AS line, length(m.head) AS h FROM o JOIN m ON m.doc_id = o.doc_id WHERE length(m.head) + length(m.rows) - 1 > 200),
+    g AS (SELECT doc_id, r, h + length(line) AS n, 0 AS pos FROM l WHERE r = 1 UNION ALL
+        SELECT l.doc_id, l.r, CASE WHEN g.n + length(line) >= 200 THEN h ELSE g.n END + length(line), CASE WHEN g.n + length(line) >= 200 THEN g.pos + 1 ELSE g.pos END FROM g JOIN l ON l.doc_id = g.doc_id AND l.r = g.r + 1),
+    p AS (SELECT g.doc_id, pos, string_agg(line, '' ORDER BY g.r) AS body FROM g JOIN l ON l.doc_id = g.doc_id AND l.r = g.r GROUP BY ALL),
+    q AS (SELECT p.doc_id, pos, head || body AS text, length(pre) AS t0, length(head) AS h, sum(length(body)) OVER (PARTITION BY p.doc_id ORDER BY pos) AS z, length(body) AS w FROM p JOIN m ON m.doc_id = p.doc_id)
+    SELECT doc_id, pos, text, (t0 + CASE WHEN pos = 0 THEN 0 ELSE h + z - w END)::INT AS start_index, (t0 + h + z)::INT AS end_index, (h + w)::INT AS token_count FROM q
+    UNION ALL SELECT doc_id, 0, head || rows, length(pre)::INT, (length(pre) + length(head) + length(rows))::INT, (length(head) + length(rows) - 1)::INT FROM m WHERE length(head) + length(rows) - 1 <= 200"""
+)
 def chunk_table_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.chunk_inner(parse_tables(_markdown(spark, sf_dir)), "tables", "table", chunk_size=200, tokenizer_="character")
 
 
-@query()
+@query(
+    f"""{_AT}, s AS (SELECT doc_id, 'select * from orders where o_custkey = ' AS x, doc_id::VARCHAR AS y, c0 + 7 AS a FROM e)
+    SELECT doc_id, 0 AS pos, CASE WHEN length(y) = 1 THEN x || y ELSE x END AS text, a::INT AS start_index, (a + CASE WHEN length(y) = 1 THEN 40 ELSE 39 END)::INT AS end_index, (CASE WHEN length(y) = 1 THEN 40 ELSE 39 END)::INT AS token_count FROM s
+    UNION ALL SELECT doc_id, 1, y, (a + 39)::INT, (a + 39 + length(y))::INT, length(y)::INT FROM s WHERE length(y) > 1"""
+)
 def chunk_markdown_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.chunk_inner(parse_markdown(_markdown(spark, sf_dir)), "code", "code", chunk_size=40)
 
