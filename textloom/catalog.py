@@ -118,7 +118,31 @@ def chunk_sentence_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.chunk_sentences(load(spark, sf_dir, "documents"), chunk_size=512, chunk_overlap=128, min_sentences_per_chunk=2)
 
 
-@query()
+def _recursive(size: int, least: int) -> str:
+    """SQL of recursive chunks: for each level, texts above the size are split, short pieces joined, and pieces merged."""
+    quotes = "".join(f"\\x{{{x}}}" for x in ("201C", "201D", "2018", "2019"))
+    out = ["p0 AS (SELECT doc_id, 0::BIGINT AS a, text FROM documents WHERE text <> '')"]
+    for k, ends in enumerate((r"\n\n|\r\n|\n|\r", r"\. |! |\? ", rf"\.\.\.|[{{}}\[\]()<>|~:;,{quotes}-]", " ")):
+        out.append(
+            f"""s{k} AS (SELECT doc_id, a, i, parts[i] AS x FROM (SELECT doc_id, a, parts, unnest(range(1, len(parts) + 1)) AS i
+        FROM (SELECT doc_id, a, list_filter(string_split(regexp_replace(text, '({ends})', '\\1' || chr(57344), 'g'), chr(57344)), lambda p: p <> '') AS parts FROM p{k}))),
+    m{k} AS (SELECT doc_id, a, i, length(x) AS n, 1 AS g FROM s{k} WHERE i = 1 UNION ALL SELECT s.doc_id, s.a, s.i, CASE WHEN m.n >= {least} THEN 0 ELSE m.n END + length(s.x), CASE WHEN m.n >= {least} THEN m.g + 1 ELSE m.g END
+        FROM m{k} AS m JOIN s{k} AS s ON s.doc_id = m.doc_id AND s.a = m.a AND s.i = m.i + 1),
+    t{k} AS (SELECT s.doc_id, s.a, m.g::BIGINT AS i, string_agg(s.x, '' ORDER BY s.i) AS x FROM s{k} AS s JOIN m{k} AS m ON s.doc_id = m.doc_id AND s.a = m.a AND s.i = m.i GROUP BY ALL),
+    b{k} AS (SELECT *, min(length(x)) OVER (PARTITION BY doc_id, a) > {size} AS large FROM t{k}),
+    c{k} AS (SELECT doc_id, a, i, length(x) AS n, 1 AS g FROM b{k} WHERE i = 1 UNION ALL SELECT t.doc_id, t.a, t.i, CASE WHEN t.large OR c.n + length(t.x) > {size} THEN 0 ELSE c.n END + length(t.x), CASE WHEN t.large OR c.n + length(t.x) > {size} THEN c.g + 1 ELSE c.g END
+        FROM c{k} AS c JOIN b{k} AS t ON t.doc_id = c.doc_id AND t.a = c.a AND t.i = c.i + 1),
+    u{k} AS (SELECT t.doc_id, t.a, c.g, string_agg(t.x, '' ORDER BY t.i) AS text FROM b{k} AS t JOIN c{k} AS c ON t.doc_id = c.doc_id AND t.a = c.a AND t.i = c.i GROUP BY ALL),
+    v{k} AS (SELECT doc_id, (a + sum(length(text)) OVER (PARTITION BY doc_id, a ORDER BY g) - length(text))::BIGINT AS a, text FROM u{k}),
+    p{k + 1} AS (SELECT * FROM v{k} WHERE length(text) > {size})"""
+        )
+    pieces = " UNION ALL ".join(f"SELECT * FROM v{k} WHERE length(text) <= {size}" for k in range(4))
+    windows = f"SELECT doc_id, a + w * {size}, text[w * {size} + 1 : w * {size} + {size}] FROM (SELECT *, unnest(range(0, (length(text) + {size - 1}) // {size})) AS w FROM p4)"
+    return "WITH RECURSIVE " + ",\n    ".join(out) + f""", f AS ({pieces} UNION ALL {windows})
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS pos, text, a::INT AS start_index, (a + length(text))::INT AS end_index, length(text)::INT AS token_count FROM f"""
+
+
+@query(_recursive(512, 24))
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.chunk_recursive(load(spark, sf_dir, "documents"), chunk_size=512)
 
