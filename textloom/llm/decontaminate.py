@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import quoted, unused, whole
+from textloom.llm.common import quoted, trimming, unused, whole
 from textloom.llm.sentences import row_key
 from textloom.llm.words import Buffer, lowered, slices, words
 from textloom.storage import dropped, written
@@ -33,6 +33,7 @@ def positional_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     block, whatever the corpus, and the index can be kept and queried again.
     """
 
+    @trimming
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole(batches, block_bytes):
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)

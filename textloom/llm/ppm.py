@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import blobs, quoted
+from textloom.llm.common import blobs, quoted, trimming
 from textloom.llm.words import buffer, slices
 from textloom.storage import dropped, written
 
@@ -233,6 +233,7 @@ def blocks_of(df: DataFrame, id_col: str, text_col: str, order: int, block_bytes
     """
     names = [x.split()[0] for x in BLOCKS.split(", ")]
 
+    @trimming
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         block = (context.partitionId() if context else 0) << 32

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from textloom.llm.common import blobs, quoted
+from textloom.llm.common import blobs, quoted, trimming
 from textloom.llm.sentences import row_key
 from textloom.llm.tokens import best_fit_decreasing
 from textloom.llm.words import Buffer, lowered, slices, words
@@ -46,6 +46,7 @@ def index_pieces(df: DataFrame, id_col: str, text_col: str, piece_terms: int = 1
     """
     names = [x.split()[0] for x in PIECE.split(", ")]
 
+    @trimming
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 32
@@ -302,6 +303,7 @@ def neighbours(state: DataFrame, seeds: tuple[np.ndarray, np.ndarray, np.ndarray
         if held:
             yield from out()
 
+    @trimming
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, keys, ptr, terms = shared.value
         keys = keys.view(np.uint64)
@@ -335,7 +337,12 @@ def neighbours(state: DataFrame, seeds: tuple[np.ndarray, np.ndarray, np.ndarray
         for k in range(len(cuts)):
             if held[k]:
                 settle(k)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(blobs([x.astype(t)]) for x, t in zip(held[k][0], TYPES, strict=True))], ["block", "query", "place", "far", "score"])
+                (now,) = held[k]
+                held[k] = []
+                for part in range(0, block, LIST):  # rows of some 100 KB
+                    of = slice(*np.searchsorted(now[0], (part, part + LIST)))
+                    lists = ((x[of] - (part if n == 0 else 0)).astype(t) for n, (x, t) in enumerate(zip(now, TYPES, strict=True)))
+                    yield pa.RecordBatch.from_arrays([pa.array([(k * block + part) // LIST], pa.int32()), *(blobs([x]) for x in lists)], ["block", "query", "place", "far", "score"])
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = [[], [], [], []]
@@ -344,7 +351,7 @@ def neighbours(state: DataFrame, seeds: tuple[np.ndarray, np.ndarray, np.ndarray
                 parts[k] += [np.frombuffer(x, t) for x in batch.column(1 + k).to_pylist()]
         query, place, _, score = best(*map(np.concatenate, parts), most)
         rank = np.arange(len(query)) - np.searchsorted(query, query) + 1
-        at = key[0].as_py() * block + query
+        at = key[0].as_py() * LIST + query
         yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(shared.value[0][at]), pa.array(shared.value[1][at]), pa.array(rank.astype(np.int32)), pa.array(score)], ["place", "seed", "key", "rank", "score"])
 
     # few tasks, so that each brings the lists of many shards together before they are sent on
@@ -352,6 +359,7 @@ def neighbours(state: DataFrame, seeds: tuple[np.ndarray, np.ndarray, np.ndarray
     return found.groupBy("block").applyInArrow(merge, "place bigint, seed bigint, key bigint, rank int, score float")
 
 
+LIST = 64  # queries whose lists are sent on together
 TYPES = (np.int32, np.int64, np.uint32, np.float32)
 
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import quoted, unused
+from textloom.llm.common import quoted, trimming, unused
 from textloom.llm.words import Buffer, Words, buffer, range_hash, slices, words
 
 _SPACE = np.zeros(256, bool)
@@ -134,6 +134,7 @@ def repeated_runs(df: DataFrame, key: str, id_col: str, text_col: str, sentences
     that compares the candidates, however often a run occurs.
     """
 
+    @trimming
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b = buffer(batch.column(2))

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import components, quoted, unused
+from textloom.llm.common import components, quoted, trimming, unused
 from textloom.llm.graph import connected_components
 from textloom.llm.sentences import row_key
 from textloom.llm.words import Buffer, lowered, mix, slices, words
@@ -184,6 +184,7 @@ def _signed(df: DataFrame, tables: int, size: int) -> DataFrame:
     """(id, row, exact, n_words, codes, checks) of rows(id, text); exact is a hash of the whole text, row a number."""
     import xxhash
 
+    @trimming
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 40
