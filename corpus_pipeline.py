@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm.common import table
+from textloom.llm.common import small_batches, table
 from textloom.llm.decontaminate import decontaminated
 from textloom.llm.langid import filtered
 from textloom.llm.retrieval_packing import retrieval_packed
@@ -25,16 +25,19 @@ from textloom.storage import written
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; null, empty and blank texts go."""
+    small_batches(spark)
     return filtered(docs)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of exact and near copies: that of the least doc_id. Rows without text stay."""
+    small_batches(spark)
     return deduplicated(docs)
 
 
 def shorten(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the sentences that repeat a passage seen before; those left without text go."""
+    small_batches(spark)
     return shortened(docs)
 
 
@@ -45,12 +48,13 @@ def protect(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of doc_ids with the places of their words."""
+    small_batches(spark)
     return retrieval_packed(docs)
 
 
 STAGES = [("identify", identify), ("deduplicate", deduplicate), ("shorten", shorten), ("protect", protect), ("pack", pack)]
 
-#: Hyperplane codes, a fitted classifier and greedy packing have no SQL; the stages are tested against brute force.
+#: Hyperplane codes, a fitted classifier and greedy packing have no SQL; run() is tested against plain code stage by stage.
 ORACLE_SQL = None
 
 
