@@ -33,6 +33,8 @@ K1, B = 1.2, 0.75
 TERM, FREQUENCY, PLACE = 31, 20, 8
 #: The round in which the ids of each residue modulo 20 are seeds: one in 20 at first, more as fewer documents are left.
 TURNS = [0, 1, 2, 2, 3, 3, 3, 4, 4, 4, 4, 4, 4, 5, 5, 5, 5, 5, 5, 5]
+#: An entry of a list of documents; it costs as much as so many cells of the matrix product (measured).
+ENTRY, LISTED = np.dtype([("doc", np.int32), ("impact", np.float32)]), 500
 STEP = np.float32(256)  # scores are compared in steps of 1/256, so that sums in another order rank alike
 PIECE = "piece bigint, ids array<{id}>, keys binary, lengths binary, turns binary, terms binary, ends binary, counts binary"
 
@@ -157,7 +159,7 @@ def likeness(pieces: DataFrame, frequency: np.ndarray, n: int, terms: int = 256,
 
 
 class Queries(NamedTuple):
-    """A block of queries: query row[i] has the term terms[term[i]]."""
+    """A block of queries: query row[i] has the term terms[term[i]]. Rows ascend."""
 
     n: int
     terms: np.ndarray  # distinct, ascending
@@ -166,64 +168,104 @@ class Queries(NamedTuple):
 
     @classmethod
     def of(cls, ptr: np.ndarray, terms: np.ndarray) -> Queries:
+        return cls.blocks(ptr, terms, max(1, len(ptr) - 1))[0]
+
+    @classmethod
+    def blocks(cls, ptr: np.ndarray, terms: np.ndarray, block: int) -> list[Queries]:
+        """Blocks of at most so many queries, which share their terms."""
         distinct, which = np.unique(terms, return_inverse=True)
-        return cls(len(ptr) - 1, distinct, which.astype(np.int32), np.repeat(np.arange(len(ptr) - 1, dtype=np.int32), np.diff(ptr)))
+        which, n = which.astype(np.int32), len(ptr) - 1
+        cuts = [(a, min(a + block, n)) for a in range(0, max(n, 1), block)]
+        return [cls(z - a, distinct, which[ptr[a] : ptr[z]], np.repeat(np.arange(z - a, dtype=np.int32), np.diff(ptr[a : z + 1]))) for a, z in cuts]
 
 
 class Shard:
     """The inverted index of some documents, which scores them by BM25 for blocks of queries.
 
     Document i has the distinct terms term[ptr[i]:ptr[i + 1]], each count
-    times. The dense commonest terms are the columns of a matrix, the others
-    lists of documents that are added up query by query.
+    times. The dense commonest terms are also the columns of a matrix. For a
+    block of queries, those of them that many of its queries have are
+    multiplied as a matrix, all other terms are lists of documents that are
+    added up, some queries at a time.
     """
 
-    def __init__(self, ptr: np.ndarray, term: np.ndarray, count: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float, dense: int = 512):
+    def __init__(self, ptr: np.ndarray, term: np.ndarray, count: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float, dense: int = 1024):
         self.n = len(ptr) - 1
         doc = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(ptr))
         norm = (K1 * (1 - B + B * length / max(mean, 1e-9))).astype(np.float32)
         impact = count.astype(np.float32)
         impact *= idf[term >> (TERM - FREQUENCY)] * np.float32(K1 + 1) / (impact + norm[doc])
-        order = np.argsort(term, kind="stable").astype(np.int32)
-        term, self.doc, self.impact = term[order], doc[order], impact[order]
+        key = term.astype(np.uint64) << np.uint64(32) | np.arange(len(term), dtype=np.uint64)
+        key.sort()
+        order, term = (key & np.uint64(0xFFFFFFFF)).astype(np.int64), (key >> np.uint64(32)).astype(np.int32)
+        self.entry = np.empty(len(term), ENTRY)
+        self.entry["doc"], self.entry["impact"] = doc[order], impact[order]
         self.first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
-        self.last = np.append(self.first[1:], len(term))
+        self.size = np.diff(np.append(self.first, len(term)))
         self.terms = term[self.first]
-        size = self.last - self.first
-        common = np.sort(np.argpartition(-size, dense)[:dense]) if len(size) > dense else np.arange(len(size))
-        self.column = np.full(len(size), -1)
+        common = np.sort(np.argpartition(-self.size, dense)[:dense]) if len(self.size) > dense else np.arange(len(self.size))
+        self.column = np.full(len(self.size), -1)
         self.column[common] = np.arange(len(common))
         self.matrix = np.zeros((len(common), self.n), np.float32)
-        entry = spans(self.first[common], self.last[common])
-        self.matrix[np.repeat(np.arange(len(common)), size[common]), self.doc[entry]] = self.impact[entry]
+        entry = spans(self.first[common], self.first[common] + self.size[common])
+        self.matrix[np.repeat(np.arange(len(common)), self.size[common]), self.entry["doc"][entry]] = self.entry["impact"][entry]
+        self.asked, self.at = None, np.zeros(0, np.int32)
+
+    def _find(self, terms: np.ndarray) -> np.ndarray:
+        """The number here of each of the terms, -1 for others; kept for the next block of the same queries."""
+        if self.asked is not terms:
+            place = np.searchsorted(terms, self.terms)
+            place[place == len(terms)] = 0
+            there = np.flatnonzero(terms[place] == self.terms) if len(terms) else np.zeros(0, np.int64)
+            self.asked, self.at = terms, np.full(len(terms), -1, np.int32)
+            self.at[place[there]] = there
+        return self.at
 
     def scores(self, q: Queries) -> np.ndarray:
         """Scores of all documents (columns) for each query."""
-        if not len(self.terms):
-            return np.zeros((q.n, self.n), np.float32)
-        at = np.searchsorted(self.terms, q.terms)
-        at[at == len(self.terms)] = 0
-        at[self.terms[at] != q.terms] = -1
-        at = at[q.term]
-        row, at = q.row[at >= 0], at[at >= 0]
-        column = self.column[at]
-        asked = np.zeros((q.n, len(self.matrix)), np.float32)
+        at = self._find(q.terms)[q.term]
+        here = at >= 0
+        row, at = q.row[here], at[here]
+        pay = (self.column >= 0) & (LISTED * self.size * np.bincount(at, minlength=len(self.size)) > self.n * q.n)
+        dense = np.flatnonzero(pay)
+        asked = np.zeros((q.n, len(dense)), np.float32)
+        number = np.full(len(pay), -1, np.int32)
+        number[dense] = np.arange(len(dense))
+        column = number[at]
         common = column >= 0
         asked[row[common], column[common]] = 1
-        some = np.flatnonzero(asked.any(axis=0))
-        out = asked @ self.matrix if 4 * len(some) > 3 * len(self.matrix) else np.ascontiguousarray(asked[:, some]) @ self.matrix[some]
+        out = asked @ self.matrix[self.column[dense]]
         row, at = row[~common], at[~common]
-        bounds = np.searchsorted(row, np.arange(q.n + 1)).tolist()
-        for i, (a, z) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        size = self.size[at]
+        some = max(1, (1 << 15) // max(self.n, 1))
+        bounds = np.searchsorted(row, np.arange(0, q.n + some, some)).tolist()
+        for k, (a, z) in enumerate(zip(bounds, bounds[1:], strict=False)):
             if z > a:
-                entry = spans(self.first[at[a:z]], self.last[at[a:z]])
-                out[i] += np.bincount(self.doc[entry], self.impact[entry], self.n)
+                i = k * some
+                rows = min(some, q.n - i)
+                n, first = size[a:z], self.first[at[a:z]]
+                found = self.entry.view(np.int64).take(spans(first, first + n)).view(ENTRY)
+                cell = np.repeat((row[a:z] - i) * self.n, n)
+                cell += found["doc"]
+                out[i : i + rows] += np.bincount(cell, found["impact"], rows * self.n).reshape(rows, self.n)
         return out
 
 
+def _ranked(query: np.ndarray, place: np.ndarray, far: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """The order by query, then falling score, then far, then place."""
+    step = np.rint(score.astype(np.float64) * STEP)
+    if len(step) and 0 <= step.min() and step.max() < 1 << 22 and 0 <= query.min() and query.max() < 1 << 10:  # all in 64 bits
+        key = query.astype(np.uint64) << np.uint64(54) | ((1 << 22) - 1 - step).astype(np.uint64) << np.uint64(32) | far.astype(np.uint64)
+        order = np.argsort(key)
+        key = key[order]
+        if not (key[1:] == key[:-1]).any():
+            return order
+    return np.lexsort((place, far, -score, query))
+
+
 def best(query: np.ndarray, place: np.ndarray, far: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
     """The most best entries of each query, best first; ties go to the nearest by far, then to the lower place."""
-    order = np.lexsort((place, far, -score, query))
+    order = _ranked(query, place, far, score)
     query = query[order]
     keep = np.arange(len(query)) - np.searchsorted(query, query) < most
     order = order[keep]
@@ -272,18 +314,20 @@ def neighbours(state: DataFrame, seeds: tuple[np.ndarray, np.ndarray, np.ndarray
     """
     sc = state.sparkSession.sparkContext
     shared = sc.broadcast(seeds)
+    leaf = min(shard_docs, LEAF)
 
     def shards(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Shard, np.ndarray, np.ndarray]]:
-        """The free documents of the pieces, like ones together, shard_docs at a time: index, places and keys."""
+        """The free documents of the pieces, like ones of like size together, leaf at a time: index, places and keys."""
         held: list[tuple[np.ndarray, ...]] = []
         docs = terms = 0
 
         def out() -> Iterator[tuple[Shard, np.ndarray, np.ndarray]]:
             term, count, size, length, place, key, group = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order = np.argsort(group, kind="stable")
+            order = np.lexsort((-size, group >> 1))
             last = np.cumsum(size)
-            for part in np.array_split(order, max(1, -(-len(order) // shard_docs))):
+            parts = np.array_split(order, max(1, -(-len(order) // leaf)))
+            for part in sorted(parts, key=lambda x: -int(size[x].sum())):  # large documents have most of the high scores: floors rise at once
                 entry = spans(last[part] - size[part], last[part])
                 yield Shard(np.append(0, np.cumsum(size[part])), term[entry], count[entry], length[part], idf.value, mean), place[part], key[part]
 
@@ -297,7 +341,7 @@ def neighbours(state: DataFrame, seeds: tuple[np.ndarray, np.ndarray, np.ndarray
                 term, size = np.frombuffer(row["terms"], np.int32)[entries], size[free]
                 held.append((term, np.frombuffer(row["counts"], np.int32)[entries], size, np.frombuffer(row["lengths"], np.int32)[free], _places(row["piece"], len(free))[free], np.frombuffer(row["keys"], np.uint64)[free], like.group(size, term)))
                 docs, terms = docs + len(size), terms + len(term)
-                if docs >= 2 * shard_docs or terms >= 512 * shard_docs:
+                if docs >= 3 * shard_docs or terms >= 768 * shard_docs:
                     yield from out()
                     docs = terms = 0
         if held:
@@ -308,7 +352,7 @@ def neighbours(state: DataFrame, seeds: tuple[np.ndarray, np.ndarray, np.ndarray
         _, keys, ptr, terms = shared.value
         keys = keys.view(np.uint64)
         cuts = [(a, min(a + block, len(keys))) for a in range(0, len(keys), block)]
-        queries = [Queries.of(ptr[a : z + 1] - ptr[a], terms[ptr[a] : ptr[z]]) for a, z in cuts]
+        queries = Queries.blocks(ptr, terms, block)
         held: list[list[tuple[np.ndarray, ...]]] = [[] for _ in cuts]
         floor = np.full(len(keys), 0.5 / STEP, np.float32)
 
@@ -359,6 +403,7 @@ def neighbours(state: DataFrame, seeds: tuple[np.ndarray, np.ndarray, np.ndarray
     return found.groupBy("block").applyInArrow(merge, "place bigint, seed bigint, key bigint, rank int, score float")
 
 
+LEAF = 1024  # documents that are indexed together at most
 LIST = 64  # queries whose lists are sent on together
 TYPES = (np.int32, np.int64, np.uint32, np.float32)
 
@@ -406,7 +451,8 @@ def assigned(pieces: DataFrame, idf: Broadcast, mean: float, width: int, list_do
         for part in range(parts):
             own = seeds.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).toArrow()
             place, key, terms = own.column(0).to_numpy(), own.column(1).to_numpy(), [np.frombuffer(x, np.int32) for x in own.column(2).to_pylist()]
-            order = np.lexsort((place, like.group(np.array([len(x) for x in terms]), np.concatenate(terms))))
+            size = np.array([len(x) for x in terms])
+            order = np.lexsort((place, size, like.group(size, np.concatenate(terms)) >> 1))
             queries = (place[order], key[order], np.append(0, np.cumsum([len(terms[k]) for k in order])), np.concatenate([terms[k] for k in order]))
             lists.append(neighbours(state, queries, idf, mean, width, turn, list_docs, shard_docs, like))
         one = reduce(DataFrame.unionByName, lists).groupBy("place").agg(F.min(F.struct("rank", (-F.col("score")).alias("less"), "key", "seed")).alias("of"))
