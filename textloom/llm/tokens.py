@@ -81,6 +81,12 @@ def encoded(encoding, pieces: list[str]) -> list[list[int]]:
     return [encoding._core_bpe.encode_single_piece(p.encode()) if b else next(rest) for p, b in zip(pieces, blank, strict=True)]
 
 
+def token_ids(encoding, text: str, limit: int, tail: list[int]) -> np.ndarray:
+    """The ids of encoded() for all pieces of a text, then tail; no Python object is made for an id."""
+    pieces = [np.array(encoding._core_bpe.encode_single_piece(p.encode()) if len(p) >= 4095 and _BLANKS.fullmatch(p) else encoding.encode_to_numpy(p, disallowed_special=()), np.int32) for p in safe_pieces(text, limit)]
+    return np.concatenate([*pieces, np.array(tail, np.int32)])
+
+
 def token_counts(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -249,7 +255,7 @@ def pack_tokens(
             batch = batch.filter(pc.is_valid(batch.column(1)))
             distinct = batch.column(1).dictionary_encode()
             tail = [] if end_id is None else [end_id]
-            ids = [np.array(sum(encoded(encoding, safe_pieces(text, piece_chars)), []) + tail, np.int32) for text in distinct.dictionary.to_pylist()]
+            ids = [token_ids(encoding, text, piece_chars, tail) for text in distinct.dictionary.to_pylist()]
             which = distinct.indices.to_numpy()
             sizes = np.array([len(x) for x in ids], np.int64)[which] if len(which) else np.zeros(0, np.int64)
             parts = -(-sizes // width)
