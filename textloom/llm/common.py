@@ -37,14 +37,25 @@ def trimming(f: Callable) -> Callable:
         try:
             yield from f(*args)
         finally:
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):
-                pass
+            trim()
 
     return run
 
 
+def trim() -> None:
+    """Give freed memory of this worker back to the system."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def shrink_heaps(spark: SparkSession) -> None:
+    """Let the JVMs of executors give back the heap that earlier queries left empty: Python workers need it, and heaps don't shrink otherwise."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 

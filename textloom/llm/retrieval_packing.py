@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from textloom.llm.common import blobs, quoted, trimming
+from textloom.llm.common import blobs, quoted, trim, trimming
 from textloom.llm.sentences import row_key
 from textloom.llm.tokens import best_fit_decreasing
 from textloom.llm.words import Buffer, lowered, slices, words
@@ -89,6 +89,7 @@ def statistics(pieces: DataFrame) -> tuple[np.ndarray, int, int]:
     """Document frequency of each bucket of terms, number of documents and of words, over all of them."""
     schema = "part int, counts binary, n bigint, size bigint"
 
+    @trimming
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n, size = np.zeros(1 << FREQUENCY, np.int64), 0, 0
         for batch in batches:
@@ -158,6 +159,14 @@ def likeness(pieces: DataFrame, frequency: np.ndarray, n: int, terms: int = 256,
     return Likeness(raw.buckets, mean, np.ascontiguousarray(vectors[:, ::-1][:, :axes]))
 
 
+def numbered(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct terms, ascending, and the number of each of the terms among them."""
+    distinct, which = np.unique(terms), np.empty(len(terms), np.int32)
+    for a in range(0, len(terms), PART):
+        which[a : a + PART] = np.searchsorted(distinct, terms[a : a + PART])
+    return distinct, which
+
+
 class Queries(NamedTuple):
     """A block of queries: query row[i] has the term terms[term[i]]. Rows ascend."""
 
@@ -173,10 +182,14 @@ class Queries(NamedTuple):
     @classmethod
     def blocks(cls, ptr: np.ndarray, terms: np.ndarray, block: int) -> list[Queries]:
         """Blocks of at most so many queries, which share their terms."""
-        distinct, which = np.unique(terms, return_inverse=True)
-        which, n = which.astype(np.int32), len(ptr) - 1
-        cuts = [(a, min(a + block, n)) for a in range(0, max(n, 1), block)]
-        return [cls(z - a, distinct, which[ptr[a] : ptr[z]], np.repeat(np.arange(z - a, dtype=np.int32), np.diff(ptr[a : z + 1]))) for a, z in cuts]
+        distinct, which = numbered(terms)
+        n = len(ptr) - 1
+        return [cls.part(ptr, distinct, which, a, min(a + block, n)) for a in range(0, max(n, 1), block)]
+
+    @classmethod
+    def part(cls, ptr: np.ndarray, distinct: np.ndarray, which: np.ndarray, a: int, z: int) -> Queries:
+        """The queries a to z of those whose terms numbered() has told apart."""
+        return cls(z - a, distinct, which[ptr[a] : ptr[z]], np.repeat(np.arange(z - a, dtype=np.int32), np.diff(ptr[a : z + 1])))
 
 
 class Shard:
@@ -286,6 +299,11 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
         yield batch.slice(k, 1).to_pylist()[0]
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in as few bytes as they need, which is one for nearly all counts."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
 def _places(piece: int, n: int) -> np.ndarray:
     return (piece << PLACE) + np.arange(n)
 
@@ -293,6 +311,7 @@ def _places(piece: int, n: int) -> np.ndarray:
 def seeds_of(state: DataFrame, width: int, turn: int) -> DataFrame:
     """(place, key, terms) of the unused documents whose turn it is."""
 
+    @trimming
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows_of(batch):
@@ -306,14 +325,15 @@ def seeds_of(state: DataFrame, width: int, turn: int) -> DataFrame:
     return state.select("piece", "keys", "lengths", "turns", "terms", "ends", "taken").mapInArrow(pick, "place bigint, key bigint, terms binary")
 
 
-def neighbours(state: DataFrame, seeds: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], idf: Broadcast, mean: float, width: int, turn: int, most: int, shard_docs: int, like: Likeness, block: int = 512) -> DataFrame:
+def neighbours(state: DataFrame, seeds: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], idf: Broadcast, mean: float, width: int, turn: int, most: int, shard_docs: int, like: Likeness, block: int = 512) -> DataFrame:
     """(place, seed, key, rank, score): for each seed its most best documents over all shards, ranks from 1.
 
-    seeds: their places, keys, ptr and terms. Documents that are used, that
-    are seeds of this round or before, or that score 0 are in no list.
+    seeds: their places, keys, ptr, distinct terms and the numbers of each
+    one's terms among these. Documents that are used, that are seeds of this
+    round or before, or that score 0 are in no list.
     """
     sc = state.sparkSession.sparkContext
-    shared = sc.broadcast(seeds)
+    named, shared = sc.broadcast(seeds[:2]), sc.broadcast(seeds[1:])
     leaf = min(shard_docs, LEAF)
 
     def shards(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Shard, np.ndarray, np.ndarray]]:
@@ -322,8 +342,9 @@ def neighbours(state: DataFrame, seeds: tuple[np.ndarray, np.ndarray, np.ndarray
         docs = terms = 0
 
         def out() -> Iterator[tuple[Shard, np.ndarray, np.ndarray]]:
-            term, count, size, length, place, key, group = (np.concatenate(x) for x in zip(*held, strict=True))
+            columns = [list(x) for x in zip(*held, strict=True)]
             held.clear()
+            term, count, size, length, place, key, group = (np.concatenate(columns.pop(0)) for _ in range(len(columns)))  # each column's parts go at once
             order = np.lexsort((-size, group >> 1))
             last = np.cumsum(size)
             parts = np.array_split(order, max(1, -(-len(order) // leaf)))
@@ -339,7 +360,7 @@ def neighbours(state: DataFrame, seeds: tuple[np.ndarray, np.ndarray, np.ndarray
                 size = np.diff(np.frombuffer(row["ends"], np.int64), prepend=0)
                 entries = np.repeat(free, size)
                 term, size = np.frombuffer(row["terms"], np.int32)[entries], size[free]
-                held.append((term, np.frombuffer(row["counts"], np.int32)[entries], size, np.frombuffer(row["lengths"], np.int32)[free], _places(row["piece"], len(free))[free], np.frombuffer(row["keys"], np.uint64)[free], like.group(size, term)))
+                held.append((term, narrow(np.frombuffer(row["counts"], np.int32)[entries]), size, np.frombuffer(row["lengths"], np.int32)[free], _places(row["piece"], len(free))[free], np.frombuffer(row["keys"], np.uint64)[free], like.group(size, term)))
                 docs, terms = docs + len(size), terms + len(term)
                 if docs >= 3 * shard_docs or terms >= 768 * shard_docs:
                     yield from out()
@@ -349,10 +370,9 @@ def neighbours(state: DataFrame, seeds: tuple[np.ndarray, np.ndarray, np.ndarray
 
     @trimming
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, keys, ptr, terms = shared.value
+        keys, *queries = shared.value
         keys = keys.view(np.uint64)
         cuts = [(a, min(a + block, len(keys))) for a in range(0, len(keys), block)]
-        queries = Queries.blocks(ptr, terms, block)
         held: list[list[tuple[np.ndarray, ...]]] = [[] for _ in cuts]
         floor = np.full(len(keys), 0.5 / STEP, np.float32)
 
@@ -367,7 +387,7 @@ def neighbours(state: DataFrame, seeds: tuple[np.ndarray, np.ndarray, np.ndarray
 
         for shard, docs, names in shards(batches):
             for k, (a, z) in enumerate(cuts):
-                out = shard.scores(queries[k])
+                out = shard.scores(Queries.part(*queries, a, z))
                 good = out >= floor[a:z, None]
                 if shard.n > most and np.count_nonzero(good) > 2 * most * (z - a):
                     top = np.partition(out, shard.n - most, axis=1)[:, shard.n - most]
@@ -396,7 +416,9 @@ def neighbours(state: DataFrame, seeds: tuple[np.ndarray, np.ndarray, np.ndarray
         query, place, _, score = best(*map(np.concatenate, parts), most)
         rank = np.arange(len(query)) - np.searchsorted(query, query) + 1
         at = key[0].as_py() * LIST + query
-        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(shared.value[0][at]), pa.array(shared.value[1][at]), pa.array(rank.astype(np.int32)), pa.array(score)], ["place", "seed", "key", "rank", "score"])
+        parts.clear()
+        trim()
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(named.value[0][at]), pa.array(named.value[1][at]), pa.array(rank.astype(np.int32)), pa.array(score)], ["place", "seed", "key", "rank", "score"])
 
     # few tasks, so that each brings the lists of many shards together before they are sent on
     found = state.drop("ids").coalesce(sc.defaultParallelism).mapInArrow(search, "block int, query binary, place binary, far binary, score binary")
@@ -453,7 +475,7 @@ def assigned(pieces: DataFrame, idf: Broadcast, mean: float, width: int, list_do
             place, key, terms = own.column(0).to_numpy(), own.column(1).to_numpy(), [np.frombuffer(x, np.int32) for x in own.column(2).to_pylist()]
             size = np.array([len(x) for x in terms])
             order = np.lexsort((place, size, like.group(size, np.concatenate(terms)) >> 1))
-            queries = (place[order], key[order], np.append(0, np.cumsum([len(terms[k]) for k in order])), np.concatenate([terms[k] for k in order]))
+            queries = (place[order], key[order], np.append(0, np.cumsum([len(terms[k]) for k in order])), *numbered(np.concatenate([terms[k] for k in order])))
             lists.append(neighbours(state, queries, idf, mean, width, turn, list_docs, shard_docs, like))
         one = reduce(DataFrame.unionByName, lists).groupBy("place").agg(F.min(F.struct("rank", (-F.col("score")).alias("less"), "key", "seed")).alias("of"))
         one = one.select("place", "of.seed", "of.rank", (-F.col("of.less")).alias("score"))
@@ -501,6 +523,7 @@ def retrieval_packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     idf = sc.broadcast(np.log1p((np.maximum(n - frequency, 0) + 0.5) / (frequency + 0.5)).astype(np.float32))
     taken = assigned(pieces, idf, size / max(1, n), width, list_docs, shard_docs, query_bytes, likeness(pieces, frequency, n))
 
+    @trimming
     def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -515,7 +538,7 @@ def retrieval_packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select("id", "n_words", F.coalesce("seed", "place").alias("seed"), F.coalesce("rank", F.lit(0)).alias("rank"), F.coalesce("score", F.lit(0).cast("float")).alias("score"), "place")
     rows = docs.repartition("seed").sortWithinPartitions("seed", "rank", "place")
     schema = f"shard int, window int, doc_ids array<{kind}>, starts array<int>, lengths array<int>, scores array<float>, seed_ids array<{kind}>, n_words int"
-    return rows.mapInArrow(lambda batches: _filled(batches, width), schema)
+    return rows.mapInArrow(trimming(lambda batches: _filled(batches, width)), schema)
 
 
 def first_fit(lengths: list[int], width: int) -> list[list[int]]:
