@@ -33,8 +33,8 @@ K1, B = 1.2, 0.75
 TERM, FREQUENCY, PLACE = 31, 20, 8
 #: The round in which the ids of each residue modulo 20 are seeds: one in 20 at first, more as fewer documents are left.
 TURNS = [0, 1, 2, 2, 3, 3, 3, 4, 4, 4, 4, 4, 4, 5, 5, 5, 5, 5, 5, 5]
-#: An entry of a list of documents; it costs as much as so many cells of the matrix product (measured).
-ENTRY, LISTED = np.dtype([("doc", np.int32), ("impact", np.float32)]), 500
+#: An entry of a list of documents costs as much as so many cells of the matrix product (measured).
+LISTED = 250
 STEP = np.float32(256)  # scores are compared in steps of 1/256, so that sums in another order rank alike
 PIECE = "piece bigint, ids array<{id}>, keys binary, lengths binary, turns binary, terms binary, ends binary, counts binary"
 
@@ -199,7 +199,9 @@ class Shard:
     times. The dense commonest terms are also the columns of a matrix. For a
     block of queries, those of them that many of its queries have are
     multiplied as a matrix, all other terms are lists of documents that are
-    added up, some queries at a time.
+    added up, some queries at a time. Lists of about the same length are the
+    rows of one table, filled up with entries of no impact, so that whole rows
+    are copied.
     """
 
     def __init__(self, ptr: np.ndarray, term: np.ndarray, count: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float, dense: int = 1024):
@@ -211,17 +213,27 @@ class Shard:
         key = term.astype(np.uint64) << np.uint64(32) | np.arange(len(term), dtype=np.uint64)
         key.sort()
         order, term = (key & np.uint64(0xFFFFFFFF)).astype(np.int64), (key >> np.uint64(32)).astype(np.int32)
-        self.entry = np.empty(len(term), ENTRY)
-        self.entry["doc"], self.entry["impact"] = doc[order], impact[order]
-        self.first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
-        self.size = np.diff(np.append(self.first, len(term)))
-        self.terms = term[self.first]
+        doc, impact = doc[order], impact[order]
+        first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
+        self.size = np.diff(np.append(first, len(term)))
+        self.terms = term[first]
         common = np.sort(np.argpartition(-self.size, dense)[:dense]) if len(self.size) > dense else np.arange(len(self.size))
         self.column = np.full(len(self.size), -1)
         self.column[common] = np.arange(len(common))
         self.matrix = np.zeros((len(common), self.n), np.float32)
-        entry = spans(self.first[common], self.first[common] + self.size[common])
-        self.matrix[np.repeat(np.arange(len(common)), self.size[common]), self.entry["doc"][entry]] = self.entry["impact"][entry]
+        entry = spans(first[common], first[common] + self.size[common])
+        self.matrix[np.repeat(np.arange(len(common)), self.size[common]), doc[entry]] = impact[entry]
+        widths = np.unique([k << b for b in range(int(self.size.max(initial=1)).bit_length() + 1) for k in (2, 3)] + [1])
+        self.kind, self.slot = np.searchsorted(widths, self.size).astype(np.uint8), np.empty(len(self.size), np.int64)
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        for k, width in enumerate(widths.tolist()):
+            own = np.flatnonzero(self.kind == k)
+            self.slot[own] = np.arange(len(own))
+            there = np.arange(width) < self.size[own, None]
+            entry = spans(first[own], first[own] + self.size[own])
+            docs, impacts = np.tile(np.arange(width) % max(self.n, 1), (len(own), 1)), np.zeros((len(own), width))
+            docs[there], impacts[there] = doc[entry], impact[entry]
+            self.tables.append((docs, impacts))
         self.asked, self.at = None, np.zeros(0, np.int32)
 
     def _find(self, terms: np.ndarray) -> np.ndarray:
@@ -237,7 +249,7 @@ class Shard:
     def scores(self, q: Queries) -> np.ndarray:
         """Scores of all documents (columns) for each query."""
         at = self._find(q.terms)[q.term]
-        here = at >= 0
+        here = np.flatnonzero(at >= 0)
         row, at = q.row[here], at[here]
         pay = (self.column >= 0) & (LISTED * self.size * np.bincount(at, minlength=len(self.size)) > self.n * q.n)
         dense = np.flatnonzero(pay)
@@ -245,24 +257,39 @@ class Shard:
         number = np.full(len(pay), -1, np.int32)
         number[dense] = np.arange(len(dense))
         column = number[at]
-        common = column >= 0
-        asked[row[common], column[common]] = 1
+        common = np.flatnonzero(column >= 0)
+        asked.reshape(-1)[row[common].astype(np.int64) * len(dense) + column[common]] = 1
         out = asked @ self.matrix[self.column[dense]]
-        row, at = row[~common], at[~common]
-        size = self.size[at]
-        some = max(1, (1 << 15) // max(self.n, 1))
+        rest = np.flatnonzero(column < 0)
+        row, at = row[rest], at[rest]
+        some = max(1, CELLS // max(self.n, 1))
         bounds = np.searchsorted(row, np.arange(0, q.n + some, some)).tolist()
         for k, (a, z) in enumerate(zip(bounds, bounds[1:], strict=False)):
             if z > a:
                 i = k * some
                 rows = min(some, q.n - i)
-                n, first = size[a:z], self.first[at[a:z]]
-                found = self.entry.view(np.int64).take(spans(first, first + n)).view(ENTRY)
-                cell = np.repeat((row[a:z] - i) * self.n, n)
-                cell += found["doc"]
-                out[i : i + rows] += np.bincount(cell, found["impact"], rows * self.n).reshape(rows, self.n)
+                cell, impact = self._listed((row[a:z] - i).astype(np.int64) * self.n, at[a:z])
+                out[i : i + rows] += np.bincount(cell, impact, rows * self.n).reshape(rows, self.n)
         return out
 
+    def _listed(self, base: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of the lists of terms at: base plus the number of the document, and its impact."""
+        kind = self.kind[at]
+        order, number = np.argsort(kind, kind="stable"), np.bincount(kind, minlength=len(self.tables)).tolist()
+        base, slot = base[order], self.slot[at[order]]
+        total = sum(n * docs.shape[1] for n, (docs, _) in zip(number, self.tables, strict=True))
+        cell, impact = np.empty(total, np.int64), np.empty(total)
+        a = to = 0
+        for n, (docs, impacts) in zip(number, self.tables, strict=True):
+            if n:
+                own, part = slot[a : a + n], slice(to, to + n * docs.shape[1])
+                cells = cell[part].reshape(n, -1)
+                docs.take(own, axis=0, out=cells, mode="clip")
+                cells += base[a : a + n, None]
+                impacts.take(own, axis=0, out=impact[part].reshape(n, -1), mode="clip")
+                a, to = a + n, part.stop
+        return cell, impact
+
 
 def _ranked(query: np.ndarray, place: np.ndarray, far: np.ndarray, score: np.ndarray) -> np.ndarray:
     """The order by query, then falling score, then far, then place."""
@@ -393,8 +420,8 @@ def neighbours(state: DataFrame, seeds: tuple[np.ndarray, np.ndarray, np.ndarray
                     top = np.partition(out, shard.n - most, axis=1)[:, shard.n - most]
                     floor[a:z] = np.maximum(floor[a:z], top - 1 / STEP)
                     good = out >= floor[a:z, None]
-                i, j = np.nonzero(good)
-                found = _candidates(i, j, np.rint(out[i, j] * STEP) / STEP, keys[a:z], names, most)
+                cell = np.flatnonzero(good)
+                found = _candidates(*np.divmod(cell, shard.n), np.rint(out.reshape(-1)[cell] * STEP) / STEP, keys[a:z], names, most)
                 held[k].append((found[0].astype(np.int32), docs[found[1]], *found[2:]))
                 if sum(len(x[0]) for x in held[k][1:]) > most * (z - a) // 2 or len(held[k]) == 1:
                     settle(k)
@@ -426,6 +453,7 @@ def neighbours(state: DataFrame, seeds: tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 LEAF = 1024  # documents that are indexed together at most
+CELLS = 1 << 16  # scores to which lists are added at once
 LIST = 64  # queries whose lists are sent on together
 TYPES = (np.int32, np.int64, np.uint32, np.float32)
 
