@@ -214,6 +214,7 @@ class Shard:
         key.sort()
         order, term = (key & np.uint64(0xFFFFFFFF)).astype(np.int64), (key >> np.uint64(32)).astype(np.int32)
         doc, impact = doc[order], impact[order]
+        del key, order
         first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
         self.size = np.diff(np.append(first, len(term)))
         self.terms = term[first]
@@ -262,14 +263,13 @@ class Shard:
         out = asked @ self.matrix[self.column[dense]]
         rest = np.flatnonzero(column < 0)
         row, at = row[rest], at[rest]
-        some = max(1, CELLS // max(self.n, 1))
-        bounds = np.searchsorted(row, np.arange(0, q.n + some, some)).tolist()
-        for k, (a, z) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        a = 0
+        for i, j in slices(q.n, np.bincount(row, self.size[at], q.n) + self.n, CELLS):
+            z = a + int(np.searchsorted(row[a:], j))
             if z > a:
-                i = k * some
-                rows = min(some, q.n - i)
                 cell, impact = self._listed((row[a:z] - i).astype(np.int64) * self.n, at[a:z])
-                out[i : i + rows] += np.bincount(cell, impact, rows * self.n).reshape(rows, self.n)
+                out[i:j] += np.bincount(cell, impact, (j - i) * self.n).reshape(j - i, self.n)
+            a = z
         return out
 
     def _listed(self, base: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -453,7 +453,7 @@ def neighbours(state: DataFrame, seeds: tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 LEAF = 1024  # documents that are indexed together at most
-CELLS = 1 << 16  # scores to which lists are added at once
+CELLS = 1 << 17  # scores and entries of lists that are added up at once
 LIST = 64  # queries whose lists are sent on together
 TYPES = (np.int32, np.int64, np.uint32, np.float32)
 
