@@ -26,3 +26,12 @@ def test_late_chunks_leave_in_small_batches(spark, worker):
     assert len(got) > 1 and max(b.nbytes for b in got) < 2 * base.OUT_BYTES
     assert sum(b.num_rows for b in got) == 40_002 and spark.conf.get(ARROW_BYTES) == "8388608b"
     assert got[0].column(6).type == pa.list_(pa.float32()) and got[-1].column(1).to_pylist()[-3:] == [0, 1, 2]
+
+
+def test_documents_leave_in_small_batches(spark, worker):
+    df = spark.createDataFrame([(1, 0, "x", 0, 1, 1)], "doc_id bigint, pos int, text string, start_index int, end_index int, token_count int")
+    run = refine_overlap(df, mode="recursive", method="justified")
+    rows = [{"doc_id": i // 3, "pos": i % 3, "text": "a b", "start_index": 0, "end_index": 3, "token_count": 3, "context": None} for i in range(10_000)]
+    got = list(run(iter([pa.RecordBatch.from_pylist(rows)])))
+    assert sum(b.num_rows for b in got) == 10_000 and max(b.num_rows for b in got) <= 4097
+    assert spark.conf.get(ARROW_BYTES) == "8388608b"
