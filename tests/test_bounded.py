@@ -35,3 +35,14 @@ def test_documents_leave_in_small_batches(spark, worker):
     got = list(run(iter([pa.RecordBatch.from_pylist(rows)])))
     assert sum(b.num_rows for b in got) == 10_000 and max(b.num_rows for b in got) <= 4097
     assert spark.conf.get(ARROW_BYTES) == "8388608b"
+
+
+@pytest.mark.parametrize("text", ["", "...", " . a", "One. Two!  Three", "a.\n\n.b ?! c. \t", "?a", "x" * 99 + ".", "no mark", ". . a b"])
+def test_sentence_spans(text):
+    assert catalog._sentence_spans(text) == [{"start": m.start(), "end": m.end()} for m in re.finditer(r"[^.!?]+[.!?]+\s*", text)]
+
+
+def test_sentence_spans_without_marks_are_linear():
+    began = time.process_time()
+    assert len(catalog._sentence_spans("One. " + "word " * 40_000)) == 1
+    assert time.process_time() - began < 1
