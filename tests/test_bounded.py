@@ -46,3 +46,14 @@ def test_sentence_spans_without_marks_are_linear():
     began = time.process_time()
     assert len(catalog._sentence_spans("One. " + "word " * 40_000)) == 1
     assert time.process_time() - began < 1
+
+
+def test_code_is_spread_and_parsed_once(spark, sf, monkeypatch):
+    assert catalog._sources(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    parsed = []
+    real = chunkers.ast.parse
+    monkeypatch.setattr(chunkers.ast, "parse", lambda text: parsed.append(text) or real(text))
+    text = "@cached\ndef f(x):\n    return x\n\n\nclass A:\n    key = 1234\n"
+    t = chunkers.tokenizer("character")
+    assert [p[0] for p in chunkers.code_pieces(text, t, 30)] == ["@cached\ndef f(x):\n", "    return x\n\n\n", "class A:\n    key = 1234\n"]
+    assert len(parsed) == 1 and chunkers.code_pieces(text, t, 100) == [(text, 0, len(text), len(text))] and len(parsed) == 1
