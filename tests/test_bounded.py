@@ -48,6 +48,23 @@ def test_sentence_spans_without_marks_are_linear():
     assert time.process_time() - began < 1
 
 
+@pytest.mark.parametrize("parts", [["One two. ", "ΟΔΟΣ\n", "Three's it. ", "É 🙂 end"], ["ab", "cd ", "e"], ["ΑΣ. ", "ΣΑ"], ["x"]])
+def test_runs_are_vectors_of_joined_parts(parts):
+    e = embedder("hashing")
+    bounds = [(a, z) for a in range(len(parts)) for z in range(a + 1, len(parts) + 1)]
+    assert [v.tolist() for v in e.runs(parts)(bounds)] == [v.tolist() for v in Embedder.runs(e, parts)(bounds)]
+
+
+def test_parts_are_embedded_once(monkeypatch):
+    e = embedder("hashing")
+    seen = []
+    real = type(e)._totals
+    monkeypatch.setattr(type(e), "_totals", lambda self, texts: seen.append(sum(map(len, texts))) or real(self, texts))
+    parts = [f"Sentence {i} tells of thing {i % 7} and more. " for i in range(200)]
+    chunkers.semantic_groups(parts, [len(p) for p in parts], e, 3, 0.8, 1024, 1, 1, 5, 3, 0.2)
+    assert sum(seen) == sum(map(len, parts))
+
+
 def test_code_is_spread_and_parsed_once(spark, sf, monkeypatch):
     assert catalog._sources(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     parsed = []
