@@ -1,7 +1,6 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import DataFrame
 
 from textloom.operators import vectors
 from textloom.operators.vectors import METRICS, nearest
@@ -28,7 +27,7 @@ def test_blocks_and_groups(spark, metric, monkeypatch):
     x = made(400)
     ids = [f"{(i * 7919) % 400:03}é" for i in range(400)]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)] + [("none", None), ("short", [1.0])], "id string, embedding array<double>")
-    monkeypatch.setattr(DataFrame, "toArrow", lambda self: pytest.fail("queries come to the driver"))
+    monkeypatch.setattr(type(df), "toArrow", lambda self: pytest.fail("queries come to the driver"))
     got = nearest(df, df, 3, metric, query_id="id", query_bytes=4096).collect()
     assert sorted((r["query_id"], r["id"], r["rank"]) for r in got) == wanted(x, ids, list(zip(ids, x)), 3, metric)
 
