@@ -45,3 +45,9 @@ def test_few_pairs_are_scored_singly(metric, far, monkeypatch):
     got = [(n, i) for b in best.rows() for n, i in zip(b[0].to_pylist(), b[1].to_pylist())]
     assert far > 1e100 or sum(scored) < 50 * 4000 / 10
     assert sorted(got) == sorted((n, i) for n, i, _ in wanted(x, range(4000), list(enumerate(x[:50])), 4, metric))
+
+
+def test_cosines_of_equal_vectors_are_at_most_one():
+    x = made(300, 64, 2)[10:]
+    s = vectors._scores(x, x.copy(), "cosine")
+    assert s.max() == 1 and s.min() > 1 - 1e-12 and np.array_equal(s[:140], s[150:])
