@@ -51,3 +51,11 @@ def test_cosines_of_equal_vectors_are_at_most_one():
     x = made(300, 64, 2)[10:]
     s = vectors._scores(x, x.copy(), "cosine")
     assert s.max() == 1 and s.min() > 1 - 1e-12 and np.array_equal(s[:140], s[150:])
+
+
+def test_a_filtered_table_in_blocks(spark):
+    x = made(200)
+    df = spark.createDataFrame([(i, v.tolist(), i % 5) for i, v in enumerate(x)], "id int, embedding array<float>, label int")
+    got = nearest(df.where("label > 2"), df, 2, "cosine_distance", query_id="id", query_bytes=2048).collect()
+    kept = [i for i in range(200) if i % 5 > 2]
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in got) == wanted(x[kept], kept, list(enumerate(x)), 2, "cosine_distance")
