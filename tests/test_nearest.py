@@ -59,3 +59,11 @@ def test_a_filtered_table_in_blocks(spark):
     got = nearest(df.where("label > 2"), df, 2, "cosine_distance", query_id="id", query_bytes=2048).collect()
     kept = [i for i in range(200) if i % 5 > 2]
     assert sorted((r["query_id"], r["id"], r["rank"]) for r in got) == wanted(x[kept], kept, list(enumerate(x)), 2, "cosine_distance")
+
+
+def test_candidates_are_bounded_where_all_are_equal():
+    best = vectors._Best(pa.array(range(40)), np.ones((40, 4)), 3, "ip", True)
+    for a in range(9000, 0, -1000):
+        best.show(pa.array(range(a, a + 1000)), np.ones((1000, 4)))
+        assert sum(t.num_rows for t in best.found) <= 1 << 19
+    assert [b.column(1).to_pylist() for b in best.rows()] == [[1000, 1001, 1002] * 40]
